@@ -121,5 +121,5 @@ def packed(documents: DataFrame, tokenizer_path: str, kind: str = "byte", end_id
             slot = [bins[at] + nth // fits[at], offsets[at] + nth % fits[at] * length]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *map(pa.array, slot)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import arrowfile, media, packing, secrets, simhash
+from newslake.llm import arrowfile, html, langid, media, packing, secrets, simhash
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
@@ -24,6 +28,10 @@ def op4_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowfile.encoded(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(_table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -37,7 +45,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media, op4_arrow_ids, op7_pack, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op2_html, op3_media, op4_arrow_ids, op6_language, op7_pack, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
