@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import arrowfile, html, langid, media, packing, secrets, simhash
+from newslake.llm import arrowfile, html, langid, lm, media, packing, secrets, simhash
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(_table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html, op3_media, op4_arrow_ids, op6_language, op7_pack, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm, op2_html, op3_media, op4_arrow_ids, op6_language, op7_pack, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
