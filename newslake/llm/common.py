@@ -58,3 +58,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``rows`` rows (the last may have fewer) that do not cut a group of equal keys.
+
+    The input is sorted by column ``key``, an integer without nulls.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=size)[0]
+            keys = whole.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if cut:
+                yield whole.slice(0, cut)
+            held, size = [whole.slice(cut)], len(keys) - cut
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=size)[0]
+
+
+def matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
+    """Rows of equal numbers of ``kind`` from a binary column without nulls, without a copy."""
+    if not len(column):
+        return np.zeros((0, 1), kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import arrowfile, html, langid, lm, media, packing, secrets, simhash
+from newslake.llm import ann, arrowfile, html, langid, lm, media, packing, secrets, simhash
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,12 +44,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned_secrets(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_html, op3_media, op4_arrow_ids, op6_language, op7_pack, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm, op2_html, op3_media, op4_arrow_ids, op6_language, op7_pack, op8_simhash, op9_ann, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
