@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import ann, arrowfile, html, langid, lm, media, packing, secrets, simhash
+from newslake.llm import ann, arrowfile, html, langid, lm, media, mixing, packing, secrets, simhash
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +32,10 @@ def op4_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowfile.encoded(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_html, op3_media, op4_arrow_ids, op6_language, op7_pack, op8_simhash, op9_ann, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm, op2_html, op3_media, op4_arrow_ids, op5_mix, op6_language, op7_pack, op8_simhash, op9_ann, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
