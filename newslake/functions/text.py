@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from newslake.lexicons import CLICKBAIT, HIGH_IMPACT, LOW_IMPACT, PAYWALL, TITLE_PREFIXES
 
@@ -26,7 +27,7 @@ def unescaped_common(text: Column) -> Column:
     return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), REFERENCES.items(), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text):  # noqa: ANN001, ANN201
     """All HTML character references decoded, as there is no built-in for it."""
     import html

@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills ``QUERIES`` and ``ORACLES``."""
 
-from newslake.plans import pipeline, scalars  # noqa: F401
+from newslake.plans import aggregates, pipeline, scalars  # noqa: F401
 from newslake.plans.registry import ORACLES, QUERIES  # noqa: F401
