@@ -47,14 +47,19 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.filter(F.size("v") == (length.n if length else 0))
 
 
-def nodes_of(rows: DataFrame, held: int) -> DataFrame:
-    """Distinct vectors: node (smallest id), vec (float64 bytes), members (the ``held`` smallest ids)."""
+def bytes_kind(table: DataFrame, vector_column: str) -> type:
+    """Vectors of single precision travel as such: half the bytes, and nothing is lost."""
+    return np.float32 if table.schema[vector_column].dataType.simpleString() == "array<float>" else np.float64
+
+
+def nodes_of(rows: DataFrame, held: int, kind: type = np.float64) -> DataFrame:
+    """Distinct vectors: node (smallest id), vec (bytes of ``kind``), members (the ``held`` smallest ids)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(1)
-            flat = own.flatten().to_numpy().astype(np.float64) + 0.0  # -0.0 is 0.0
-            size = 8 * (len(flat) // max(1, len(own)))
+            flat = own.flatten().to_numpy().astype(kind) + kind(0)  # -0.0 is 0.0
+            size = flat.itemsize * (len(flat) // max(1, len(own)))
             ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(own), [None, ends.buffers()[1], pa.py_buffer(flat.tobytes())])], names=["id", "vec"])
 
@@ -203,10 +208,10 @@ def _local_joins(graph: DataFrame, keep: int) -> DataFrame:
     return rows.repartition("target").sortWithinPartitions("target").mapInArrow(join, "id bigint, nbr bigint, sim float")
 
 
-def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUNDS, kind: type = np.float64) -> DataFrame:
     """NN-descent over ``nodes`` (node, vec): the graph with lists of about the ``keep`` nearest nodes."""
     n = nodes.count()
-    norm = lambda batch: (matrix(batch.column(1), np.float64) ** 2).sum(axis=1)
+    norm = lambda batch: (matrix(batch.column(1), kind).astype(np.float64) ** 2).sum(axis=1)
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +222,7 @@ def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUN
 
     def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), np.float64)
+            x = matrix(batch.column(1), kind).astype(np.float64)
             more = np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))[:, None] if batch.num_rows else np.zeros((0, 1))
             rows = np.hstack([x, more]).astype(np.float32) / np.float32(most**0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "vec"])
@@ -232,10 +237,10 @@ def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUN
     return graph
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFrame, beam: int = BEAM, hops: int = HOPS, kind: type = np.float64) -> DataFrame:
     """Greedy search: columns query, node, sim (double) with up to ``beam`` nodes a query.
 
-    ``queries``: query, qvec (float64 bytes); ``seeds``: query, node to start from, one at least.
+    ``queries``: query, qvec (bytes of ``kind``, as the nodes' vec); ``seeds``: query, node to start from, one at least.
     """
     back = graph.select("id", F.explode("nbrs").alias("nbr"))
     place = F.row_number().over(Window.partitionBy("nbr").orderBy(F.xxhash64("id", "nbr")))
@@ -249,13 +254,14 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFr
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, rows=4000):
-            query, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows, found = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            query, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             qvec = batch.column(4).take(pa.array(rows))
             at = np.searchsorted(query[rows], query[found])
             nbr = batch.column(2).take(pa.array(found)).to_numpy()
-            x = matrix(pa.concat_arrays([batch.column(3).take(pa.array(found))]), np.float64)
-            sim = np.einsum("ij,ij->i", x, matrix(pa.concat_arrays([qvec]), np.float64)[at]) if len(found) else np.zeros(0)
+            x = matrix(pa.concat_arrays([batch.column(3).take(pa.array(found))]), kind).astype(np.float64)
+            asked = matrix(pa.concat_arrays([qvec]), kind).astype(np.float64)
+            sim = np.einsum("ij,ij->i", x, asked[at]) if len(found) else np.zeros(0)
             lists = [batch.column(i).take(pa.array(rows)) for i in (5, 6, 7)]
             counts = np.diff(lists[0].offsets.to_numpy())
             own = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
@@ -290,14 +296,15 @@ def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     Queries are rows of the index: a search starts from the query's own node, once for equal queries.
     """
     rows = written(usable(table, id_column, vector_column))
-    nodes = written(nodes_of(rows, k + 1))
-    graph = neighbour_graph(nodes.select("node", "vec"))
+    kind = bytes_kind(table, vector_column)
+    nodes = written(nodes_of(rows, k + 1, kind))
+    graph = neighbour_graph(nodes.select("node", "vec"), kind=kind)
 
     # the node of each query: equal vectors meet in their bytes
-    asked = nodes_of_ids(rows.filter(F.col("id") % every == 0), nodes)
+    asked = nodes_of_ids(rows.filter(F.col("id") % every == 0), nodes, kind)
     starts = written(asked.select("node").distinct())
     queries = starts.join(nodes.select("node", "vec"), "node").select(F.col("node").alias("query"), F.col("vec").alias("qvec"))
-    found = search(queries, nodes.select("node", "vec"), graph, starts.select(F.col("node").alias("query"), "node"))
+    found = search(queries, nodes.select("node", "vec"), graph, starts.select(F.col("node").alias("query"), "node"), kind=kind)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
     short = found.withColumn("p", place).filter(F.col("p") <= 2 * k).select("query", "node", "sim")
     members = short.join(nodes.select("node", "members"), "node").select("query", "sim", F.explode("members").alias("vec_id"))
@@ -308,7 +315,7 @@ def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     return own.select(F.col("id").alias("query_id"), F.posexplode(others)).select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", F.col("col.sim").alias("score"))
 
 
-def nodes_of_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def nodes_of_ids(rows: DataFrame, nodes: DataFrame, kind: type = np.float64) -> DataFrame:
     """id and node of each of ``rows`` (id, v): through the members listed, or else through the vector."""
     listed = nodes.select("node", F.explode("members").alias("id"))
     near = rows.select("id").distinct().join(listed, "id", "left")
@@ -318,7 +325,7 @@ def nodes_of_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), np.float64)
+            x = matrix(batch.column(1), kind).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["node", "w"])
 
     full = nodes.filter(F.size("members") > 1).select("node", "vec").mapInArrow(unpack, "node bigint, w array<double>")
