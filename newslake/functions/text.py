@@ -68,16 +68,27 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of ``value``, which is computed once, even where lambdas name it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(text: Column, n: int = 2) -> Column:
     """distinct single words and runs of ``n`` words."""
-    w = words(text)
+    return let(words(text), lambda w: _shingles(w, n))
+
+
+def _shingles(w: Column, n: int) -> Column:
     runs = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(w, runs))
 
 
 def word_runs(text: Column, n: int = 3) -> Column:
     """distinct runs of ``n`` words; a shorter text is one run."""
-    w = words(text)
+    return let(words(text), lambda w: _word_runs(w, n))
+
+
+def _word_runs(w: Column, n: int) -> Column:
     return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))))
 
 

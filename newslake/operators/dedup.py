@@ -160,7 +160,8 @@ def minhash_pairs(rows: DataFrame, threshold: float = 0.80, bands: int = 16, siz
 
     Rows of equal signatures are one: each is paired with the first of them.
     """
-    signed = written(rows.filter(F.size("set") > 0).select("id", minhash(F.col("set"), bands * size).alias("sig")))
+    # (the sets are written first: within one projection each hash would compute them again)
+    signed = written(written(rows.select("id", "set")).filter(F.size("set") > 0).select("id", minhash(F.col("set"), bands * size).alias("sig")))
     heads = written(signed.groupBy("sig").agg(F.min("id").alias("head")))
     parts = heads.select("head", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * size + 1, size)))).alias("band", "key"))
     a, b = parts.select(F.col("head").alias("a"), "band", "key"), parts.select(F.col("head").alias("b"), "band", "key")
