@@ -139,7 +139,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = [tuple(r) for r in counts.orderBy(F.desc("n"), "word").select("word", "suffix", "n").limit(SLOTS // 2).collect()]
+    # frequent words by a bar on their count, found from a histogram of sixteenths of powers of two
+    bin_ = F.floor(F.log2("n") * 16)
+    bar, held = None, 0
+    for b, k in sorted(((r[0], r[1]) for r in counts.groupBy(bin_.alias("b")).count().collect()), reverse=True):
+        if held + k > SLOTS // 2:
+            break
+        bar, held = b, held + k
+    top = [] if bar is None else [tuple(r) for r in counts.filter(bin_ >= bar).select("word", "suffix", "n").collect()]
+    top.sort(key=lambda t: (-t[2], t[0]))
     shares = [tuple(r) for r in counts.groupBy("suffix").agg(F.sum("n"), F.count("*")).collect()]  # at most 65,536 rows
     return Vocabulary(int(total[0] or 0), int(total[1] or 0), top, shares)
 
