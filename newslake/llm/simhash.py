@@ -187,8 +187,10 @@ def links(points: DataFrame, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in ``points`` (column print), enough to join whatever is joined."""
     spark = points.sparkSession
     n = points.count()
-    picked = points.select("print", F.xxhash64("print").alias("h")).orderBy("h").limit(SAMPLE)
+    # the sample: hashes below a bar that about SAMPLE points pass
+    picked = points.filter(F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1))))
     sample = np.array([r[0] for r in picked.select("print").collect()], np.int64).view(np.uint64)
+    sample.sort()
     forests = []
     for half in (0, 1):
         size = max(24, int(len(sample) * shard / max(n, 1)))
