@@ -30,7 +30,7 @@ from newslake.llm.common import bytes_of, written
 from newslake.llm.tokens import batches
 
 DIM = 1 << 16
-SAMPLE = 6_000  # labelled documents, the smallest hashes of (doc_id, text); texts of any length
+SAMPLE = 6_000  # labelled documents, about: those with the smallest hashes of their id; texts of any length
 EPOCHS = 40
 STEPS = 40
 TOLERANCE = 1e-4
@@ -105,11 +105,13 @@ class Classifier:
 
 
 def classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, float]) -> Classifier:
-    """Fitted on at most ``SAMPLE`` documents with one label."""
+    """Fitted on about ``SAMPLE`` documents with one label."""
     named = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL")
     one = named.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.countDistinct("domain").alias("n")).filter("n = 1")
-    # the sample is picked by ids, so that texts of few documents are sorted
-    ids = written(documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "domain"))
+    # the sample: ids whose hash is below a bar that about SAMPLE of them pass
+    known = written(documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(one, "doc_id").select("doc_id", "domain"))
+    share = min(1.0, SAMPLE / max(1, known.count()))
+    ids = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     first = texts.groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     rows = [(bytes((r.text or "").encode()), r.domain) for r in first.orderBy("doc_id").toLocalIterator()]
