@@ -7,7 +7,7 @@ that one chain of projections reports on all rows. ``now`` is always given.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,26 +44,37 @@ def fresh(articles: DataFrame, now: Column) -> DataFrame:
     return _reject(rows, "s02_freshness", F.col("freshness") == "stale", F.lit("STALE_CONTENT"))
 
 
-def relevance_columns(title: Column, body: Column, summary: Column, tags: Column, taxonomy: dict[str, list[str]], exclusions: list[str]) -> dict[str, Column]:
-    """Score, categories and keywords; a keyword counts 3 in the title, 2 in summary or tags, 1 in the first 3000 characters."""
-    t, s, b, g = F.lower(title), F.lower(summary), F.lower(F.substring(body, 1, 3000)), F.lower(F.array_join(tags, " "))
-    points = {w: T.hit_points([(t, 3.0), (s, 2.0), (g, 2.0), (b, 1.0)], w) for ws in taxonomy.values() for w in ws}
-    found = lambda ws: F.array_compact(F.array(*(F.when(points[w] > 0, F.lit(w)) for w in sorted(ws))))
-    categories = F.array_compact(F.array(*(F.when(reduce(add, (points[w] for w in taxonomy[c])) > 0, F.lit(c)) for c in sorted(taxonomy))))
-    keywords = found({w for ws in taxonomy.values() for w in ws})
-    excluded = reduce(lambda a, x: a | t.contains(x) | g.contains(x), exclusions, F.lit(False))
-    first = F.array_compact(F.array(*(F.when(t.contains(x) | g.contains(x), F.lit(f"exclusion:{x}")) for x in exclusions)))
-    total = reduce(add, (points[w] for ws in taxonomy.values() for w in ws))
+def keyword_points(title: Column, body: Column, summary: Column, tags: Column, words: list[str]) -> Column:
+    """Points of each word: 3 in the title, 2 in summary or tags, 1 in the first 3000 characters of the body."""
+    fields = [(F.lower(title), 3.0), (F.lower(summary), 2.0), (F.lower(F.array_join(tags, " ")), 2.0), (F.lower(F.substring(body, 1, 3000)), 1.0)]
+    return F.array(*(T.hit_points(fields, w) for w in words))
+
+
+def relevance_columns(points: Column, excluded: Column, taxonomy: dict[str, list[str]], words: list[str]) -> dict[str, Column]:
+    """Score, categories and keywords from the points of ``words`` and the first excluded word, null without one."""
+    hit = {w: points[i] > 0 for i, w in enumerate(words)}
+    named = lambda names, test: F.array_compact(F.array(*(F.when(test(n), F.lit(n)) for n in sorted(names))))
+    categories = named(taxonomy, lambda c: reduce(or_, (hit[w] for w in taxonomy[c])))
+    # (a word of two categories counts in each)
+    total = reduce(add, (points[words.index(w)] for ws in taxonomy.values() for w in ws))
     score = F.when(total == 0, 0.15).otherwise(F.round(F.least(F.lit(0.95), F.lit(0.45) + total * 0.08 + F.size(categories) * 0.05), 3))
     none = F.array().cast("array<string>")
-    return {"relevance_score": F.when(excluded, 0.10).otherwise(score), "categories": F.when(excluded, none).otherwise(categories), "keywords": F.when(excluded, F.slice(first, 1, 1)).otherwise(keywords)}
+    bad = excluded.isNotNull()
+    return {"relevance_score": F.when(bad, 0.10).otherwise(score), "categories": F.when(bad, none).otherwise(categories), "keywords": F.when(bad, F.array(F.concat(F.lit("exclusion:"), excluded))).otherwise(named(words, hit.get))}
 
 
 def relevant(articles: DataFrame, taxonomy: dict[str, list[str]] = NEWS_TAXONOMY, exclusions: list[str] = NEWS_EXCLUSIONS, least: float = 0.40) -> DataFrame:
-    """Relevance columns; rows below ``least`` are rejected."""
+    """Relevance columns; rows below ``least`` are rejected.
+
+    Points are a column of their own, so that each pattern is matched once, however often it is used.
+    """
     body = F.col("clean_text") if "clean_text" in articles.columns else F.lit("")
     tags = F.col("tags") if "tags" in articles.columns else F.array().cast("array<string>")
-    rows = articles.withColumns(relevance_columns(F.col("title"), body, F.col("summary"), tags, taxonomy, exclusions))
+    words = sorted({w for ws in taxonomy.values() for w in ws})
+    t, g = F.lower("title"), F.lower(F.array_join(tags, " "))
+    first = F.coalesce(*(F.when(t.contains(x) | g.contains(x), F.lit(x)) for x in exclusions)) if exclusions else F.lit(None).cast("string")
+    rows = articles.withColumns({"_points": keyword_points(F.col("title"), body, F.col("summary"), tags, words), "_excluded": first})
+    rows = rows.withColumns(relevance_columns(F.col("_points"), F.col("_excluded"), taxonomy, words)).drop("_points", "_excluded")
     return _reject(rows, "s03_relevance", F.col("relevance_score") < least, F.lit("LOW_RELEVANCE"))
 
 
