@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 #: Letters for which the regular expression engines and case rules in question agree: Latin and Cyrillic.
 PLAIN = re.compile(r"[\x20-\x7e\n¡-¬®-įı-ȳЀ-џ–—‘-„…€]*")
-CACHE = 300_000
+CACHE = 150_000
 LONGEST_KEY = 40
 
 

@@ -27,8 +27,9 @@ from newslake.llm.common import groups_of, texts_of
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
 PENALTY = 6.0
-GROUP = 1024  # texts side by side in Viterbi
-BATCH_BYTES = 1 << 21
+GROUP = 512  # texts side by side in Viterbi
+TOGETHER = 1 << 22  # characters of the texts that go through Viterbi together
+BATCH_BYTES = 1 << 19
 #: First code points of script ranges; the name holds up to the next one.
 SCRIPTS = [
     (0x0000, "other"), (0x0041, "latin"), (0x005B, "other"), (0x0061, "latin"), (0x007B, "other"), (0x00AA, "latin"), (0x00AB, "other"),
@@ -118,19 +119,19 @@ class Model:
         scores[~self.uses.T[w.script]] -= 1e4
         return scores
 
-    def labels(self, w: Words, scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-        """Viterbi labels of all words; texts of like length go side by side."""
+    def labels(self, counts: np.ndarray, scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+        """Viterbi labels of all words of texts with ``counts`` words; texts of like length go side by side."""
         n_lang = len(self.languages)
         out = np.zeros(len(scores), np.int64)
-        order = np.argsort(-w.counts, kind="stable")
-        order = order[w.counts[order] > 0]
-        first = np.concatenate([[0], np.cumsum(w.counts)])[:-1]
+        order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] > 0]
+        first = np.concatenate([[0], np.cumsum(counts)])[:-1]
         for a in range(0, len(order), GROUP):
             own = order[a : a + GROUP]
-            n, at = w.counts[own], first[own]
+            n, at = counts[own], first[own]
             best = np.zeros((len(own), n_lang), np.float32)
             stays = np.zeros((n[0], len(own), n_lang), bool)
-            came = np.zeros((n[0], len(own)), np.int32)
+            came = np.zeros((n[0], len(own)), np.int16)
             for t in range(n[0]):
                 k = int(np.searchsorted(-n, -t, "left"))  # texts with a word t
                 top = best[:k].argmax(axis=1)
@@ -151,7 +152,7 @@ class Model:
         w = Words([text])
         if not len(w.starts):
             return []
-        own = self.labels(w, self.word_scores(w))
+        own = self.labels(w.counts, self.word_scores(w))
         edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
         return [(int(w.starts[a]), int(w.ends[b - 1]), self.languages[own[a]]) for a, b in zip(edges, edges[1:])]
 
@@ -160,18 +161,21 @@ class Model:
         names, sure = ["und"] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, sure
-        for i, j in groups_of([len(x) for x in texts], BATCH_BYTES):
-            w = Words(texts[i:j])
-            if not len(w.starts):
+        for i, j in groups_of([len(x) for x in texts], TOGETHER):
+            parts = []
+            for a, b in groups_of([len(x) for x in texts[i:j]], BATCH_BYTES):
+                w = Words(texts[i + a : i + b])
+                parts.append((w.counts, self.word_scores(w) if len(w.starts) else np.zeros((0, len(self.languages)), np.float32), w.letters))
+            counts, scores, lengths = (np.concatenate(x) for x in zip(*parts))
+            if not len(scores):
                 continue
-            scores = self.word_scores(w)
-            own = self.labels(w, scores)
-            doc = np.repeat(np.arange(j - i), w.counts)
+            own = self.labels(counts, scores)
+            doc = np.repeat(np.arange(j - i), counts)
             n_lang = len(self.languages)
-            letters = np.bincount(doc * n_lang + own, w.letters, (j - i) * n_lang).reshape(-1, n_lang)
+            letters = np.bincount(doc * n_lang + own, lengths, (j - i) * n_lang).reshape(-1, n_lang)
             # mean log score of all words by language, to break ties and to tell how sure the choice is
             total = np.stack([np.bincount(doc, scores[:, k], j - i) for k in range(n_lang)], axis=1)
-            has = w.counts > 0
+            has = counts > 0
             pick = np.lexsort((np.broadcast_to(-np.arange(n_lang), letters.shape), total, letters), axis=1)[:, -1]
             rows = np.arange(j - i)
             share = letters[rows, pick] / np.maximum(letters.sum(axis=1), 1)

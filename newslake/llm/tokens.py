@@ -18,14 +18,14 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 
 
 def _multipliers(n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def segments(text: bytes, size: int = 4 * BATCH_BYTES) -> Iterator[bytes]:
+def segments(text: bytes, size: int = 8 * BATCH_BYTES) -> Iterator[bytes]:
     """``text`` cut at white space into parts of about ``size`` bytes, so that memory stays bounded."""
     at = 0
     while len(text) - at > size:
@@ -71,7 +71,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def batches(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Ranges of texts with their words, in memory-bounded batches: start, end, hashes, suffixes, counts."""
     for i, j in groups_of([len(x) for x in texts], BATCH_BYTES):
-        if j == i + 1 and len(texts[i]) > 4 * BATCH_BYTES:
+        if j == i + 1 and len(texts[i]) > 8 * BATCH_BYTES:
             parts = [words([x]) for x in segments(texts[i])]
             yield i, j, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array([sum(len(p[0]) for p in parts)])
         else:

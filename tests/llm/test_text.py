@@ -94,7 +94,7 @@ def test_viterbi_is_exact():
     model = langid.Model(["a", "b", "c"], rng.integers(1, 9, (3, langid.BUCKETS + len(langid.NAMES))).astype(float))
     w = langid.Words(["ab cd ef gh ij", "x", "", "kl mn op"])
     scores = (rng.standard_normal((len(w.starts), 3)) * 5).astype(np.float32)
-    got = model.labels(w, scores, 3.0)
+    got = model.labels(w.counts, scores, 3.0)
     at = 0
     for n in w.counts:
         if n:
