@@ -272,7 +272,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     found = near_duplicates(documents)
     kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count("*").alias("n_rows")))
     flag = kept.select(F.col("doc_id").alias("_kept"), F.col("n_rows").alias("_rows"))
-    out = documents.join(flag, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    # one plan at every size: the list of ids grows with the documents, so it is never broadcast
+    out = documents.join(flag.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")))
     if kept.filter("n_rows > 1").isEmpty():
         return out.select(*documents.columns)
     names = documents.columns
