@@ -10,8 +10,9 @@ the nodes that name it, with their vectors; all pairs of these that hold a new e
 and what beats the worst neighbour of either goes back to it. Rounds end when few edges change.
 
 A query holds a beam of the best nodes seen. In each round the best that are not yet expanded send for
-their neighbours by joins, until a beam has none left or ``hops`` rounds are over. The graph is
-approximate, so answers are; scores are exact, in double precision on the vectors given.
+their neighbours by joins, until a beam has none left or ``hops`` rounds are over. Vectors travel to the
+beams as eight-bit numbers with a scale; the best of a beam are scored again at the end, in double
+precision on the vectors given. The graph is approximate, so answers are; scores are exact.
 
 Null and zero vectors, vectors with null or non-finite components, rows with a null id, and vectors
 whose length is not the most frequent one take no part. Rows that repeat an id and vector count once. An
@@ -33,7 +34,8 @@ NEIGHBOURS, REVERSE = 28, 20
 TREES, RUN, FIRST = 3, 200, 12
 ROUNDS, SETTLED = 8, 0.01
 SENT = 6  # best new partners of a node in one local join
-BEAM, EXPANDED, HOPS = 96, 32, 4
+BEAM, EXPANDED, HOPS = 192, 64, 5
+SCORED = 72  # best of a beam that are scored exactly
 CHUNK = 192  # local joins at once
 
 
@@ -238,7 +240,7 @@ def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUN
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFrame, beam: int = BEAM, hops: int = HOPS, kind: type = np.float64) -> DataFrame:
-    """Greedy search: columns query, node, sim (double) with up to ``beam`` nodes a query.
+    """Greedy search: columns query, node, sim (exact) with up to ``SCORED`` nodes a query.
 
     ``queries``: query, qvec (bytes of ``kind``, as the nodes' vec); ``seeds``: query, node to start from, one at least.
     """
@@ -246,7 +248,16 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFr
     place = F.row_number().over(Window.partitionBy("nbr").orderBy(F.xxhash64("id", "nbr")))
     reverse = back.withColumn("k", place).filter(F.col("k") <= REVERSE).groupBy("nbr").agg(F.collect_list("id").alias("rev"))
     links = written(graph.select("id", "nbrs").join(reverse, F.col("id") == F.col("nbr"), "left").select("id", F.array_distinct(F.concat("nbrs", F.coalesce("rev", F.expr("CAST(array() AS array<bigint>)")))).alias("links")))
-    vectors = nodes.select(F.col("node").alias("nbr"), "vec")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1), kind).astype(np.float64)
+            scale = np.abs(x).max(axis=1, initial=1e-300) / 127
+            small = np.rint(x / scale[:, None]).astype(np.int8)
+            packed = np.hstack([small.view(np.uint8), scale.astype("<f8").view(np.uint8).reshape(len(x), 8)]) if len(x) else np.zeros((0, 9), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["nbr", "vec"])
+
+    vectors = written(nodes.select("node", "vec").mapInArrow(shrink, "nbr bigint, vec binary"))
     state_type = "query bigint, qvec binary, held array<bigint>, sims array<double>, done array<boolean>"
     none = lambda t: F.expr(f"CAST(array() AS array<{t}>)")
     state = queries.select("query", "qvec", none("bigint").alias("held"), none("double").alias("sims"), none("boolean").alias("done"))
@@ -259,7 +270,8 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFr
             qvec = batch.column(4).take(pa.array(rows))
             at = np.searchsorted(query[rows], query[found])
             nbr = batch.column(2).take(pa.array(found)).to_numpy()
-            x = matrix(pa.concat_arrays([batch.column(3).take(pa.array(found))]), kind).astype(np.float64)
+            packed = matrix(pa.concat_arrays([batch.column(3).take(pa.array(found))]), np.uint8)
+            x = packed[:, :-8].view(np.int8).astype(np.float64) * np.ascontiguousarray(packed[:, -8:]).view("<f8") if len(found) else np.zeros((0, 1))
             asked = matrix(pa.concat_arrays([qvec]), kind).astype(np.float64)
             sim = np.einsum("ij,ij->i", x, asked[at]) if len(found) else np.zeros(0)
             lists = [batch.column(i).take(pa.array(rows)) for i in (5, 6, 7)]
@@ -287,7 +299,16 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFr
         fronts = front.groupBy("query").agg(F.collect_list("node").alias("front"))
         expanded = F.transform(F.arrays_zip("held", "done"), lambda x: x["done"] | F.coalesce(F.array_contains("front", x["held"]), F.lit(False)))
         state = state.join(fronts, "query", "left").select("query", "qvec", "held", "sims", expanded.alias("done"))
-    return state.select("query", F.explode(F.arrays_zip("held", "sims")).alias("h")).select("query", F.col("h.held").alias("node"), F.col("h.sims").alias("sim"))
+    best = F.slice(F.col("held"), 1, SCORED)  # beams are in order
+
+    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (matrix(batch.column(i), kind).astype(np.float64) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", x, y))], names=["query", "node", "sim"])
+
+    found = state.select("query", "qvec", F.explode(best).alias("node")).join(nodes.select("node", "vec"), "node").select("query", "node", "vec", "qvec")
+    return found.mapInArrow(rescore, "query bigint, node bigint, sim double")
 
 
 def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
