@@ -21,7 +21,7 @@ def duck():
 
 def shown(frame: pd.DataFrame) -> list:
     columns = sorted(frame.columns)
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind in "fiu" or isinstance(v, int) and not isinstance(v, bool) else str(v)
+    clean = lambda v: None if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v else round(float(v), 6) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind in "fiu" or isinstance(v, int) and not isinstance(v, bool) else str(v)
     return [columns, *sorted((tuple(map(clean, r)) for r in frame[columns].itertuples(index=False)), key=str)]
 
 
