@@ -363,11 +363,11 @@ def w2_velocity(spark, sf_dir):
     return e.filter((F.col("dt") > 0) & (F.col("dv") / F.col("dt") > 2) & (F.col("value") > 20)).select("event_id", F.round(F.col("dv") / F.col("dt"), 6).alias("velocity"))
 
 
-@query("WITH s AS (SELECT date_trunc('day', ts) AS d, event_type, avg(value) AS v FROM events GROUP BY ALL) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, round(v, 4) AS mean, round(v - lag(v) OVER (PARTITION BY event_type ORDER BY d), 6) AS change FROM s")
+@query("WITH s AS (SELECT date_trunc('day', ts) AS d, event_type, avg(value) AS v FROM events GROUP BY ALL) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, round(v, 6) AS mean, round(v - lag(v) OVER (PARTITION BY event_type ORDER BY d), 6) AS change FROM s")
 def w6_trends(spark, sf_dir):
     s = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.avg("value").alias("v"))
     before = F.lag("v").over(Window.partitionBy("event_type").orderBy("w.start"))
-    return s.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", F.round("v", 4).alias("mean"), F.round(F.col("v") - before, 6).alias("change"))
+    return s.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", F.round("v", 6).alias("mean"), F.round(F.col("v") - before, 6).alias("change"))
 
 
 @query("WITH l AS (SELECT user_id, event_type, lag(event_type) OVER w AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_type AS current, before AS previous, event_type IS DISTINCT FROM before AS changed FROM l WHERE k = 1")
