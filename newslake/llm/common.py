@@ -1,30 +1,13 @@
-"""Shared folder, written intermediate tables and Arrow helpers of the llm operators."""
+"""Arrow and numpy helpers of the llm operators; written tables come from ``newslake.lake``."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new name below the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where that setting is absent (tests, a laptop) a local folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/newslake-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = spark or df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from newslake.lake import scratch_dir, written  # noqa: F401
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
