@@ -319,7 +319,17 @@ def j2_by_entity(spark, sf_dir):
 
 @query("SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n, array_to_string(list(l_linenumber || ':' || l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_orderkey IS NOT NULL), ',') AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
 def j3_hydration(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey")
+    return _hydrated(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"))
+
+
+@query("SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n, array_to_string(list(l_linenumber || ':' || l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_orderkey IS NOT NULL), ',') AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def j3_hydration_whole(spark, sf_dir):
+    """J3 over every order."""
+    return _hydrated(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _hydrated(spark, sf_dir, orders):
+    o = orders.select("o_orderkey")
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
     shown = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",")
     return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n"), shown.alias("items"))

@@ -19,8 +19,18 @@ from newslake.streaming import jobs
 
 @query("SELECT page_id AS feed_id, CAST(i AS INTEGER) AS i, 'Story ' || page_id || '-' || i AS title, 'https://f.example.com/' || page_id || '/' || i AS url, 'text ' || i AS summary, CAST(epoch(TIMESTAMP '2024-01-05 10:00:00') AS BIGINT) AS published FROM pages, range(1, 4) t(i) WHERE page_id % 5 = 0")
 def s1_rss(spark, sf_dir):
+    return _rss(table(spark, sf_dir, "pages").filter("page_id % 5 = 0"))
+
+
+@query("SELECT page_id AS feed_id, CAST(i AS INTEGER) AS i, 'Story ' || page_id || '-' || i AS title, 'https://f.example.com/' || page_id || '/' || i AS url, 'text ' || i AS summary, CAST(epoch(TIMESTAMP '2024-01-05 10:00:00') AS BIGINT) AS published FROM pages, range(1, 4) t(i)")
+def s1_rss_whole(spark, sf_dir):
+    """S1 over every page."""
+    return _rss(table(spark, sf_dir, "pages"))
+
+
+def _rss(pages):
     item = lambda i: F.concat(F.lit("<item><title>Story "), F.col("page_id").cast("string"), F.lit(f"-{i}</title><link>https://f.example.com/"), F.col("page_id").cast("string"), F.lit(f"/{i}</link><description>text {i}</description><pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate></item>"))
-    made = table(spark, sf_dir, "pages").filter("page_id % 5 = 0").select(F.col("page_id").alias("feed_id"), F.concat(F.lit("<rss><channel>"), *(item(i) for i in (1, 2, 3)), F.lit("</channel></rss>")).alias("xml"))
+    made = pages.select(F.col("page_id").alias("feed_id"), F.concat(F.lit("<rss><channel>"), *(item(i) for i in (1, 2, 3)), F.lit("</channel></rss>")).alias("xml"))
     return FE.feed_entries(made, now()).select("feed_id", "i", "title", "url", "summary", F.unix_timestamp("published_at").alias("published"))
 
 
@@ -44,16 +54,37 @@ def s4_hacker_velocity(spark, sf_dir):
 
 @query("SELECT 'repo' || page_id AS repo, CAST(i AS INTEGER) AS i, 'repo' || page_id || ' v' || i || ' released' AS title FROM pages, range(0, 3) t(i) WHERE page_id % 10 = 0")
 def s5_releases(spark, sf_dir):
-    made = table(spark, sf_dir, "pages").filter("page_id % 10 = 0").select(F.concat(F.lit("repo"), F.col("page_id").cast("string")).alias("repo"), F.to_json(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.concat(F.lit("v"), i.cast("string")).alias("tag"), F.lit("u").alias("url")))).alias("json"))
+    return _releases(table(spark, sf_dir, "pages").filter("page_id % 10 = 0"))
+
+
+@query("SELECT 'repo' || page_id AS repo, CAST(i AS INTEGER) AS i, 'repo' || page_id || ' v' || i || ' released' AS title FROM pages, range(0, 3) t(i)")
+def s5_releases_whole(spark, sf_dir):
+    """S5 over every page."""
+    return _releases(table(spark, sf_dir, "pages"))
+
+
+def _releases(pages):
+    made = pages.select(F.concat(F.lit("repo"), F.col("page_id").cast("string")).alias("repo"), F.to_json(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.concat(F.lit("v"), i.cast("string")).alias("tag"), F.lit("u").alias("url")))).alias("json"))
     return FE.releases(made).select("repo", "i", "title")
 
 
 @query("WITH u AS (SELECT 'a' AS api, url, page_id FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'b', url, page_id FROM pages WHERE page_id % 3 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, api) AS k FROM u) SELECT api, page_id FROM f WHERE k = 1")
 def s8_aggregation(spark, sf_dir):
-    from newslake.operators.dedup import first_wins
+    p = table(spark, sf_dir, "pages").select("url", "page_id")
+    return _aggregation(p.filter("page_id % 2 = 0"), p.filter("page_id % 3 = 0"))
 
+
+@query("WITH u AS (SELECT 'a' AS api, url, page_id FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'b', url, page_id FROM pages WHERE page_id % 2 <> 0 OR page_id % 3 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, api) AS k FROM u) SELECT api, page_id FROM f WHERE k = 1")
+def s8_aggregation_whole(spark, sf_dir):
+    """S8 over every page: the even ones from one interface, the odd ones and some of the even ones from the other."""
     p = table(spark, sf_dir, "pages").select("url", "page_id")
-    both = p.filter("page_id % 2 = 0").withColumn("api", F.lit("a")).unionByName(p.filter("page_id % 3 = 0").withColumn("api", F.lit("b")))
+    return _aggregation(p.filter("page_id % 2 = 0"), p.filter("page_id % 2 <> 0 OR page_id % 3 = 0"))
+
+
+def _aggregation(a, b):
+    from newslake.operators.dedup import first_wins
+
+    both = a.withColumn("api", F.lit("a")).unionByName(b.withColumn("api", F.lit("b")))
     return first_wins(both, [F.col("url")], ["page_id", "api"]).select("api", "page_id")
 
 
@@ -73,7 +104,17 @@ def s11_trending(spark, sf_dir):
 
 @query("SELECT page_id AS map_id, 'page' AS kind, url FROM pages WHERE page_id % 4 = 0 AND NOT contains(url, '&') UNION ALL SELECT page_id, 'sitemap', 'https://m.example.com/' || page_id FROM pages WHERE page_id % 4 = 0 AND NOT contains(url, '&')")
 def s12_sitemap(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").filter("page_id % 4 = 0 AND NOT contains(url, '&')")
+    return _sitemap(table(spark, sf_dir, "pages").filter("page_id % 4 = 0 AND NOT contains(url, '&')"))
+
+
+@query("SELECT page_id AS map_id, 'page' AS kind, url FROM pages UNION ALL SELECT page_id, 'sitemap', 'https://m.example.com/' || page_id FROM pages")
+def s12_sitemap_whole(spark, sf_dir):
+    """S12 over every page, with the addresses written as XML text."""
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return _sitemap(table(spark, sf_dir, "pages").withColumn("url", escaped))
+
+
+def _sitemap(p):
     made = p.select(F.col("page_id").alias("map_id"), F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url><sitemap><loc>https://m.example.com/"), F.col("page_id").cast("string"), F.lit("</loc></sitemap></urlset>")).alias("xml"))
     return FE.sitemap_urls(made)
 
