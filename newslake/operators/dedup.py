@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslake.functions import text as T
+from newslake.functions.arrays import groups_of, mix64
 from newslake.lake import written
 from newslake.operators.graph import components
 
@@ -150,18 +154,45 @@ def novelty(timeline: Column, sources: Column) -> Column:
     return F.round(F.greatest(F.lit(0.20), F.least(F.lit(1.0), fall)), 3)
 
 
-def minhash(sets: Column, n: int = 64) -> Column:
-    """Signature of ``n`` minima of seeded hashes over the members."""
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_min(F.transform(sets, lambda m: F.xxhash64(i, m))))
+def minhash(rows: DataFrame, n: int = 64, run: int = 3) -> DataFrame:
+    """Id and sig, ``n`` minima of salted hashes over the runs of ``run`` words; ``rows`` has id and words (in order).
+
+    A text of fewer words is one run, one without a word has no row.
+    """
+    odd, add = mix64(np.arange(1, n + 1)) | np.uint64(1), mix64(np.arange(n + 1, 2 * n + 1))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            known = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+            hashes = known[words.indices.to_numpy()]
+            ends = np.cumsum(sizes)
+            for i, j in groups_of(sizes.tolist(), 100_000):
+                own = hashes[ends[i] - sizes[i] : ends[j - 1]]
+                full = np.flatnonzero(sizes[i:j]) + i
+                size = np.repeat(sizes[full], sizes[full])
+                place = np.arange(len(own)) - np.repeat(np.cumsum(sizes[full]) - sizes[full], sizes[full])
+                runs = mix64(own)
+                for k in range(1, run):
+                    runs = mix64(runs + np.where(place + k < size, np.concatenate([own[k:], own[:k]]), np.uint64(k)))
+                runs = runs[place <= np.maximum(size - run, 0)]
+                counts = np.maximum(sizes[full] - run + 1, 1)
+                starts = np.cumsum(counts) - counts
+                least = np.stack([np.minimum.reduceat(runs * a + b, starts) for a, b in zip(odd, add)], axis=1) if len(full) else np.zeros((0, n), np.uint64)
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, n), pa.int32()), pa.array(least.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), sig], names=["id", "sig"])
+
+    return rows.select(F.col("id").cast("bigint").alias("id"), "words").mapInArrow(sign, "id bigint, sig array<bigint>")
 
 
 def minhash_pairs(rows: DataFrame, threshold: float = 0.80, bands: int = 16, size: int = 4) -> DataFrame:
-    """Pairs (a, b, estimate) whose signatures agree in a share of at least ``threshold``; ``rows`` has id and set.
+    """Pairs (a, b, estimate) whose signatures agree in a share of at least ``threshold``; ``rows`` has id and words.
 
     Rows of equal signatures are one: each is paired with the first of them.
     """
-    # (the sets are written first: within one projection each hash would compute them again)
-    signed = written(written(rows.select("id", "set")).filter(F.size("set") > 0).select("id", minhash(F.col("set"), bands * size).alias("sig")))
+    signed = written(minhash(rows, bands * size))
     heads = written(signed.groupBy("sig").agg(F.min("id").alias("head")))
     parts = heads.select("head", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * size + 1, size)))).alias("band", "key"))
     a, b = parts.select(F.col("head").alias("a"), "band", "key"), parts.select(F.col("head").alias("b"), "band", "key")

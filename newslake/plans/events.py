@@ -35,7 +35,7 @@ def d1_greedy_dedup(spark, sf_dir):
 
 @query()
 def d3_minhash_pairs(spark, sf_dir):
-    rows = articles(spark, sf_dir).filter(F.length("clean_text") >= 50).select(F.col("doc_id").alias("id"), T.word_runs(F.substring("clean_text", 1, 2000)).alias("set"))
+    rows = articles(spark, sf_dir).filter(F.length("clean_text") >= 50).select(F.col("doc_id").alias("id"), T.words(F.col("clean_text")).alias("words"))
     return X.minhash_pairs(rows).select("a", "b", F.round("estimate", 4).alias("estimate"))
 
 

@@ -1,8 +1,11 @@
 """Queries over every row of their tables: no id is left out."""
 
+import random
+
 import pytest
 
 from __spark_entry__ import queries
+from newslake.operators import dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +26,41 @@ def test_every_input_row(spark):
 def test_addresses_with_references(spark):
     got = {r.url for r in queries()["s12_sitemap_whole"](spark, SF).filter("kind = 'page'").collect()}
     assert got == {r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+
+@pytest.fixture
+def lake(spark, tmp_path):
+    """Writes texts as the table of documents and gives the folder."""
+
+    def put(texts):
+        rows = [(i, t, "en", f"src{i % 5}", len(t)) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+        return str(tmp_path)
+
+    return put
+
+
+def runs(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+
+
+def test_minhash_of_whole_texts(spark, lake):
+    rng = random.Random(1)
+    line = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    head, body = line(500), line(4000)
+    texts = [head + " " + line(4000), head + " " + line(4000), line(400) + " " + body, line(400) + " " + body, body + " end", "only two" + " " * 50, "only two" + " " * 60, " " * 60]
+    got = {(r.a, r.b): r.estimate for r in queries()["d3_minhash_pairs"](spark, lake(texts)).collect()}
+    jaccard = {(a, b): len(runs(texts[a]) & runs(texts[b])) / len(runs(texts[a]) | runs(texts[b])) for a in range(7) for b in range(a + 1, 7)}
+    assert len(head) > 2000 and jaccard[0, 1] < 0.1 and jaccard[2, 3] > 0.8
+    assert got.keys() == {pair for pair, j in jaccard.items() if j >= 0.8}
+    assert all(abs(got[pair] - jaccard[pair]) < 0.16 for pair in got)
+
+
+def test_minhash_estimates(spark):
+    words = [[f"w{k}" for k in range(i * 10, i * 10 + 400)] for i in range(6)]
+    signed = {r.id: r.sig for r in dedup.minhash(spark.createDataFrame(list(enumerate(words)), "id bigint, words array<string>"), 512).collect()}
+    for a in range(6):
+        for b in range(a):
+            shared = 400 - 10 * (a - b) - 2
+            assert abs(sum(x == y for x, y in zip(signed[a], signed[b])) / 512 - shared / (796 - shared)) < 0.08
