@@ -27,8 +27,16 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
+#: A private key through its closing line (single hyphens may occur in fields, another opening line may not); where that is
+#: missing, fields and lines of 16 and more base64 characters with a padded last one; or else the opening line alone. Line
+#: breaks may be escaped. Counts of lines are bounded, as Java's groups take stack.
+_LINES = r"([\x20\t\r\n\\]+(r\\)?[A-Za-z0-9+/]{16,}={0,2}){0,60}"
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(([^-]+-){0,8}[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+    r"|([\x20\t\r\n\\]+n?Proc-Type: [^\n\\]*[\x20\t\r\n\\]+n?DEK-Info: [^\n\\]*)?" + _LINES * 4 + r"([\x20\t\r\n\\]+(r\\)?[A-Za-z0-9+/]{1,15}={1,2})?)"
+)
 FURTHER = [
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("pem", PEM, 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("vendor", r"(gh[opsur]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 0),
     ("basic", r"[Bb]asic [A-Za-z0-9+/]{16,}={0,2}", 0, 0),
@@ -37,6 +45,7 @@ KINDS = BASE + FURTHER
 #: Words that mark a placeholder.
 PLACEHOLDER = "example|sample|changeme|placeholder|dummy|xxxx|your"
 MAX_OWNERS, MIN_VARIETY = 2, 6
+LONG_PEM = 200  # characters of a key from which such a word in its base64 is chance
 
 
 def _found(text: Column, order: int) -> Column:
@@ -68,7 +77,8 @@ def candidates(scanned: DataFrame) -> DataFrame:
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(upto))
     least = F.element_at(F.array(*(F.lit(k[3]) for k in KINDS)), F.col("kind") + 1)
     variety = F.size(F.array_distinct(F.split("secret", "")))
-    random = (variety >= MIN_VARIETY) & ~F.lower("secret").rlike(PLACEHOLDER)
+    key = (F.col("kind") == [k[0] for k in KINDS].index("pem")) & (F.length("secret") >= LONG_PEM)
+    random = (variety >= MIN_VARIETY) & (key | ~F.lower("secret").rlike(PLACEHOLDER))
     return placed.filter(F.length("secret") >= least).select("row", "repository", "owner", "kind", (F.col("end") - F.col("length")).alias("start"), "end", F.sha2("secret", 256).alias("hash"), random.alias("random"))
 
 
