@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,22 +36,22 @@ def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "id", set_
     return full.withColumn("sim", T.jaccard(F.col("sa"), F.col("sb"))).filter(F.col("sim") >= threshold - 1e-12).select("a", "b", "sim")
 
 
-def classes(rows: DataFrame, id_column: str, title_column: str) -> DataFrame:
-    """Rows with their sorted title shingles and the class (smallest id) of equal sets: id, set, class."""
-    sets = rows.select(F.col(id_column).alias("id"), F.array_sort(T.shingles(F.col(title_column))).alias("set")).withColumn("key", F.sha2(F.array_join("set", "\u0001"), 256))
+def classes(rows: DataFrame, id_column: str, title_column: str, members: Callable[[Column], Column] = T.shingles) -> DataFrame:
+    """Rows with their sorted title shingles (or other ``members``) and the class (smallest id) of equal sets: id, set, class."""
+    sets = rows.select(F.col(id_column).alias("id"), F.array_sort(members(F.col(title_column))).alias("set")).withColumn("key", F.sha2(F.array_join("set", "\u0001"), 256))
     sets = written(sets)
     first = sets.groupBy("key").agg(F.min("id").alias("class"))
     return sets.join(written(first), "key").select("id", "set", "class")
 
 
-def greedy(rows: DataFrame, id_column: str = "id", title_column: str = "title", threshold: float = 0.70) -> DataFrame:
-    """In order of id, a title is accepted unless an accepted earlier one is similar.
+def greedy(rows: DataFrame, id_column: str = "id", title_column: str = "title", threshold: float = 0.70, members: Callable[[Column], Column] = T.shingles) -> DataFrame:
+    """In order of id, a title is accepted unless an accepted earlier one is similar.
 
     Columns id, accepted, matched_id, similarity: the most similar accepted earlier id, the earliest of
     equals. Rows of equal titles decide together: the first of them as if alone, and the others are like
     it. Titles without a word are always accepted. Rounds settle what has no open earlier neighbour.
     """
-    own = written(classes(rows, id_column, title_column))
+    own = written(classes(rows, id_column, title_column, members))
     heads = own.filter((F.col("id") == F.col("class")) & (F.size("set") > 0))
     edges = written(similar_pairs(heads.select("id", "set"), threshold))
     state = written(heads.select(F.col("id").alias("node"), F.lit(None).cast("boolean").alias("ok")))

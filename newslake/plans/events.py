@@ -46,6 +46,14 @@ def d6_token_set(spark, sf_dir):
     return X.first_wins(a, [F.array_join(F.array_sort(F.array_distinct(T.words(F.col("title")))), " ")], ["doc_id"]).select("doc_id")
 
 
+@query()
+def d6_token_set_near(spark, sf_dir):
+    """In order of id, titles whose word set has no accepted earlier one at a Jaccard of 0.85 or more."""
+    rows = articles(spark, sf_dir).select(F.col("doc_id").alias("id"), "title")
+    found = X.greedy(rows, threshold=0.85, members=lambda title: F.array_distinct(T.words(title)))
+    return found.filter("accepted").select(F.col("id").alias("doc_id"))
+
+
 @query(f"WITH {S.PAGES}, f AS (SELECT page_id, row_number() OVER (PARTITION BY {S.canonical('url')} ORDER BY observed_at, page_id) AS k FROM obs) SELECT page_id FROM f WHERE k = 1")
 def d7_exact_url(spark, sf_dir):
     o = page_observations(table(spark, sf_dir, "pages"))
