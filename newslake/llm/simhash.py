@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from newslake.llm.common import bytes_of, written
 from newslake.operators.graph import components
@@ -229,30 +230,54 @@ def links(points: DataFrame, shard: int = SHARD) -> DataFrame:
     return shards.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(search, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of each row."""
+def _rooted(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and print of each row; print, least doc_id and root print of each distinct fingerprint."""
     rows = written(fingerprints(documents))
     points = written(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
     found = components(links(points.select("print")))
-    rooted = written(points.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root")))
+    return rows, written(points.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root")))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of each row."""
+    rows, rooted = _rooted(documents)
     names = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = written(rooted.join(names, "root").select("print", "component_id"))
     return rows.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _printed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the fingerprint of their text as _print."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(x) for x in bytes_of(batch.column(batch.num_columns - 1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], names=[*batch.schema.names[:-1], "_print"])
+
+    schema = StructType([*rows.schema.fields, StructField("_print", LongType())])
+    return rows.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(compute, schema)
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """Documents without near-duplicates: of each component the row with the smallest doc_id.
+    """Documents without near-duplicates: of each component one row, that with the smallest doc_id.
 
-    Of rows with that same doc_id one stays, the one with the least text. Columns are kept.
+    Of a component's rows with that same doc_id (or of all, if none has one) the one of the least fingerprint
+    stays, of equal ones that with the least text. Columns are kept.
     """
-    found = near_duplicates(documents)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count("*").alias("n_rows")))
-    flag = kept.select(F.col("doc_id").alias("_kept"), F.col("n_rows").alias("_rows"))
+    rows, rooted = _rooted(documents)
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "print")).alias("first")
+    best = written(rooted.groupBy("root").agg(first).select(F.col("first.least").alias("_kept"), F.col("first.print").alias("_of")))
+    times = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    named = written(best.join(times.hint("merge"), F.col("_kept") == F.col("_id")).select("_kept", "_of", "_rows"))
+    names, unnamed = documents.columns, best.filter("_kept IS NULL")
     # one plan at every size: the list of ids grows with the documents, so it is never broadcast
-    out = documents.join(flag.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")))
-    if kept.filter("n_rows > 1").isEmpty():
-        return out.select(*documents.columns)
-    names = documents.columns
-    single = out.filter("_rows = 1").select(*names)
-    first = out.filter("_rows > 1").groupBy("_kept").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
-    return single.unionByName(first.select(*(F.col("_row")[c].alias(c) for c in names)))
+    single = documents.join(named.filter("_rows = 1").select("_kept").hint("merge"), F.col("doc_id") == F.col("_kept")).select(*names)
+    if named.filter("_rows > 1").isEmpty() and unnamed.isEmpty():
+        return single
+    # rows that the id alone does not tell apart: by their fingerprints too
+    repeated = named.filter("_rows > 1").select("_kept").distinct()
+    unsure = documents.join(repeated.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(documents.filter("doc_id IS NULL"))
+    wanted = named.filter("_rows > 1").select("_kept", "_of").unionByName(unnamed)
+    told = _printed(unsure).join(wanted.hint("merge"), (F.col("_print") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_kept")))
+    least = told.groupBy("_kept", "_of").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
+    return single.unionByName(least.select(*(F.col("_row")[c].alias(c) for c in names)))
