@@ -82,9 +82,17 @@ def f8_edit_ratio(spark, sf_dir):
     return a.join(b, "doc_id").select("doc_id", F.round(T.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
+@query()
+def f8_edit_ratio_whole(spark, sf_dir):
+    """Over whole titles and all characters."""
+    a = articles(spark, sf_dir).select("doc_id", F.col("title").alias("a"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return a.join(b, "doc_id").select("doc_id", F.round(T.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
 @query()
 def f8_fuzzy_score(spark, sf_dir):
-    a = articles(spark, sf_dir).select("doc_id", F.substring("title", 1, 60).alias("a"))
+    a = articles(spark, sf_dir).select("doc_id", F.col("title").alias("a"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return a.join(b, "doc_id").select("doc_id", F.round(T.similarity_score(F.col("a"), F.col("b")), 6).alias("score"))
 
