@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newslake.llm.bpe import tokenizer
@@ -34,8 +34,23 @@ WIDTH = 1024
 ROWS = 256  # rows of a record batch
 
 
+#: Names of a store in Spark's connectors and in Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "abfss": "abfss"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as Spark resolves it, with the scheme of its file system: a path without one is not always local."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme not in SCHEMES:
+        raise ValueError(f"no Arrow file system for {uri!r}")
+    return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
 
 
 def _schema(kind: np.dtype, width: int) -> pa.Schema:
@@ -123,16 +138,16 @@ class ShardReader:
         return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)])
 
 
-def write_shards(documents: DataFrame, folder: str, encode: Callable[[], Callable[[str], bytes]], end_id: int, kind: str, width: int = WIDTH) -> DataFrame:
+def write_shards(documents: DataFrame, folder: str, encode: Callable[[], Callable[[list[str]], Iterator[np.ndarray]]], end_id: int, kind: str, width: int = WIDTH) -> DataFrame:
     """Write all documents; one row a shard: shard, name, n_docs, n_tokens. Evaluate it once (``written``)."""
     end = np.array([end_id], np.uint32)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, shard = encode(), TaskContext.get().partitionId(), None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            for doc_id, found in zip(batch.column(0).to_pylist(), ids_of(texts_of(batch.column(1)))):
                 shard = shard or ShardWriter(folder, f"shard-{part:06d}", np.dtype(kind), width)
-                shard.append(doc_id, np.concatenate([np.frombuffer(ids_of(text), "<u4"), end]))
+                shard.append(doc_id, np.concatenate([found, end]))
         if shard:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int64()), "name": [shard.close()], "n_docs": pa.array([len(shard.docs)], pa.int64()), "n_tokens": pa.array([shard.total], pa.int64())})
 
@@ -161,6 +176,6 @@ def read_documents(shards: DataFrame, folder: str) -> DataFrame:
 
 def encoded(documents: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int = 2, ids: str = "uint16", width: int = WIDTH, folder: str | None = None) -> DataFrame:
     """Write ``documents`` as shards below ``folder`` (a new one in the shared folder) and read all of them back."""
-    folder = folder or scratch_dir(documents.sparkSession)
-    shards = written(write_shards(documents, folder, lambda: tokenizer(kind, tokenizer_path).encode, end_id, ids, width))
+    folder = qualified(documents.sparkSession, folder or scratch_dir(documents.sparkSession))
+    shards = written(write_shards(documents, folder, lambda: tokenizer(kind, tokenizer_path).encode_batch, end_id, ids, width))
     return read_documents(shards, folder)

@@ -1,136 +1,119 @@
-"""Exact ids of the public byte-pair tokenizers at the speed of a lookup.
+"""Ids of the public byte-pair tokenizers: every id comes from the tokenizers library.
+
+Both vocabularies part a text into pieces before they merge, and no piece reaches over a space before a
+visible character. So the ids of a text are those of its chunks in turn, cut there, whatever the script.
+The distinct chunks of a batch of texts go to the library together, and a bounded cache keeps the ids of
+those that came in more than one batch. Texts longer than ``SEGMENT`` go through in segments cut at such
+places, so memory is bounded by a batch.
 
-Both vocabularies split a text into pieces that never reach over a plain space before a visible
-character. So the ids of a text are those of its space-delimited chunks in turn, and a bounded cache
-from chunk to ids answers most of them. Chunks of plain letters and signs are encoded by merge ranks;
-whatever falls outside the alphabet that was verified goes through the tokenizer itself.
 Vocabulary files are read from a path given by the caller.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import re
-import sys
 from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import regex
-import tiktoken
-from tokenizers import Tokenizer
-
-#: Letters for which the regular expression engines and case rules in question agree: Latin and Cyrillic.
-PLAIN = re.compile(r"[\x20-\x7e\n¡-¬®-įı-ȳЀ-џ–—‘-„…€]*")
-CACHE = 150_000
-LONGEST_KEY = 40
-
-
-def _unicode_bytes() -> dict[str, int]:
-    """The printable stand-ins for bytes that byte-level vocabularies are written in."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class _Cache(dict):
-    """Chunk to ids as little-endian unsigned 32-bit bytes; takes no more when full, and frequent chunks come early."""
+import pyarrow as pa
+import pyarrow.compute as pc
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+from newslake.llm.common import groups_of
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.encode(chunk)
-        if len(self) < CACHE and len(chunk) <= LONGEST_KEY:
-            self[chunk] = out
+#: A visible character: letters, digits and ASCII signs are white space to no engine.
+CUT = re.compile(r"(?= [\w!-~])")
+UNSURE = r"(?s) (?:[^!-~\pL\pN]|\z)"  # a space at which a text may not be cut
+CACHE, SEEN = 250_000, 500_000
+LONGEST_KEY = 40
+SEGMENT = 1 << 21
+FIRST = "\0"  # opens the first chunk of a text; the others have a space before them
+
+
+class Encoder:
+    """The tokenizer of a vocabulary file. ``words``: white space is dropped (word ends are in the vocabulary)."""
+
+    def __init__(self, path: str, words: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
+        from tokenizers import Tokenizer
+
+        self.whole, self.words = Tokenizer.from_file(path), words
+        self.known: dict[str, bytes] = {}
+        self.seen: set[int] = set()
+
+    def _chunks(self, texts: list[str]) -> pa.ListArray:
+        """The chunks of each text; see ``_spelt`` for how they are written."""
+        column = pa.array(texts, pa.string())
+        if self.words:
+            return pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        out = pc.split_pattern(pc.binary_join_element_wise(FIRST, column, ""), " ")
+        odd = np.flatnonzero(pc.match_substring_regex(column, UNSURE).to_numpy(zero_copy_only=False))
+        if len(odd):
+            cut = [CUT.split(texts[i]) for i in odd]
+            slow = pa.array([[FIRST + c[0], *(x[1:] for x in c[1:])] for c in cut], pa.list_(pa.string()))
+            order = np.arange(len(texts))
+            order[odd] = len(texts) + np.arange(len(odd))
+            out = pa.concat_arrays([out, slow]).take(pa.array(order))
         return out
 
+    def _spelt(self, chunk: str) -> str:
+        return chunk if self.words else chunk[1:] if chunk[:1] == FIRST else " " + chunk
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        known, seen = self.known, self.seen
+        out = list(map(known.get, chunks))
+        at = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(at, self.whole.encode_batch([self._spelt(chunks[i]) for i in at], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+            mark = hash(chunks[i])
+            if mark in seen and len(chunks[i]) <= LONGEST_KEY:
+                known[chunks[i]] = out[i]
+            seen.add(mark)
+        if len(seen) > SEEN:
+            seen.clear()
+        if len(known) > CACHE:  # the older half goes
+            for c in list(islice(known, CACHE // 2)):
+                del known[c]
+        return out
 
-def _le(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
-
-
-class ByteLevel:
-    """``byte_bpe_50k.json``: words carry the space before them."""
-
-    def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
-        model = json.load(open(path, encoding="utf-8"))
-        at = _unicode_bytes()
-        special = {x["content"] for x in model["added_tokens"]}
-        ranks = {bytes(at[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.core = self.fast._core_bpe
-        self.special = special
-        self.first, self.later = _Cache(self._first), _Cache(self._later)
-
-    def _first(self, chunk: str) -> bytes:
-        return _le(self.fast.encode_ordinary(chunk))
-
-    def _later(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return _le(self.core.encode_single_piece((" " + chunk).encode()))
-        return self._first(chunk if chunk[0] == "\n" else " " + chunk)
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit bytes."""
-        if any(x in text for x in self.special) or not PLAIN.fullmatch(text):
-            return _le(self.whole.encode(text, add_special_tokens=False).ids)
-        # A line end belongs to the chunk that it opens, if no white space stands next to it.
-        chunks = text.replace("\n", " \n").split(" ") if "\n" in text else text.split(" ")
-        if "" in chunks or "\n" in chunks or text[:1] == "\n":
-            return _le(self.fast.encode_ordinary(text))
-        return self.first[chunks[0]] + b"".join(map(self.later.__getitem__, chunks[1:]))
-
-
-class WordLevel:
-    """``word_bpe_49k.json``: lower case, white space dropped, the last symbol of a word marks its end."""
-
-    END = b"\xff"
-
-    def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
-        model = json.load(open(path, encoding="utf-8"))
-        self.special = {x["content"] for x in model["added_tokens"]}
-        suffix, vocab = model["model"]["end_of_word_suffix"], model["model"]["vocab"]
-        at = _unicode_bytes()
-
-        def spelt(token: str) -> bytes:
-            body = token.removesuffix(suffix)
-            return bytes(at[c] for c in body) + (self.END if body != token else b"")
-
-        # A byte before the end mark joins it first: those pairs take the lowest ranks of all.
-        order = [bytes([b]) for b in range(256)] + [bytes([b]) + self.END for b in range(256)]
-        order += [spelt("".join(m if isinstance(m, list) else m.split(" "))) for m in model["model"]["merges"]]
-        spelt_ids = {spelt(token): i for token, i in vocab.items() if token not in self.special}
-        ranks = {s: i for i, s in enumerate(dict.fromkeys(order))}
-        # (the lone end mark, byte 0xFF, never stands alone)
-        self.core = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.ids = [spelt_ids[s] for s in ranks]
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.chunks, self.pieces = _Cache(self._chunk), _Cache(self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        return _le([self.ids[x] for x in self.core.encode_single_piece(piece.encode() + self.END)])
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self.pieces[chunk.lower()]
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(chunk.lower())))
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit bytes."""
-        if any(x in text for x in self.special) or not PLAIN.fullmatch(text):
-            return _le(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-_loaded: dict[tuple[str, str], ByteLevel | WordLevel] = {}
-
-
-def tokenizer(kind: str, path: str) -> ByteLevel | WordLevel:
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        chunks = self._chunks(texts)
+        coded = chunks.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(first[at] - end + n, n) + np.arange(int(end[-1]) if len(end) else 0)]
+        return np.split(flat, np.concatenate([[0], end])[chunks.offsets.to_numpy()[1:-1] - chunks.offsets[0].as_py()])
+
+    def _segments(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > SEGMENT and (cut := CUT.search(text, at + SEGMENT)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each whole text."""
+        for i, j in groups_of([len(x) for x in texts], SEGMENT):
+            if j == i + 1 and len(texts[i]) > SEGMENT:
+                yield np.concatenate([self._batch([s])[0] for s in self._segments(texts[i])])
+            else:
+                yield from self._batch(texts[i:j])
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_batch([text]))
+
+
+_loaded: dict[tuple[str, str], Encoder] = {}
+
+
+def tokenizer(kind: str, path: str) -> Encoder:
     """The encoder of a vocabulary file, loaded once in a worker. ``kind``: byte or word."""
     if (kind, path) not in _loaded:
-        _loaded[kind, path] = {"byte": ByteLevel, "word": WordLevel}[kind](path)
+        _loaded[kind, path] = Encoder(path, {"byte": False, "word": True}[kind])
     return _loaded[kind, path]

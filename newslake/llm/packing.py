@@ -8,7 +8,7 @@ the number of documents. Pieces then take their slots by joining on rank within
 piece's place among those of its length in its own partition, plus how many stand in the partitions
 before it, so that no task holds all pieces of a frequent length.
 
-Null and empty texts give the end id alone. Repeated rows are packed as often as they occur; rows with
+Null and empty texts give the end id alone; very long texts are encoded in segments and give many pieces. Repeated rows are packed as often as they occur; rows with
 a null doc_id are packed too. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -72,11 +72,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return plan
 
 
-def document_pieces(documents: DataFrame, encode: Callable[[], Callable[[str], bytes]], end_id: int, capacity: int) -> DataFrame:
+def document_pieces(documents: DataFrame, encode: Callable[[], Callable[[list[str]], Iterator[np.ndarray]]], end_id: int, capacity: int) -> DataFrame:
     """Pieces of each document with their checksum, partition and rank by length within the partition.
 
-    ``encode()`` is called once in a worker and gives a function from text to ids as little-endian
-    unsigned 32-bit bytes.
+    ``encode()`` is called once in a worker and gives a function from texts to the ids of each.
     """
     end = np.uint32(end_id).astype("<u4").tobytes()
 
@@ -84,8 +83,8 @@ def document_pieces(documents: DataFrame, encode: Callable[[], Callable[[str], b
         ids_of, part, seen = encode(), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids = ids_of(text) + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), ids_of(texts_of(batch.column(1)))):
+                ids = found.astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
@@ -102,7 +101,7 @@ def document_pieces(documents: DataFrame, encode: Callable[[], Callable[[str], b
 def packed(documents: DataFrame, tokenizer_path: str, kind: str = "byte", end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Slots of all pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = documents.sparkSession
-    pieces = written(document_pieces(documents, lambda: tokenizer(kind, tokenizer_path).encode, end_id, capacity))
+    pieces = written(document_pieces(documents, lambda: tokenizer(kind, tokenizer_path).encode_batch, end_id, capacity))
     shares = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     # at most one row for each length up to the capacity
     counts = {r.length: r.n for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -1,6 +1,7 @@
 """Media, token files and packing: exact round trips and brute force."""
 
 import hashlib
+import random
 import struct
 import zlib
 
@@ -20,7 +21,22 @@ TEXTS = ["", " ", "\n", " a", "a ", "a  b", "a\n\nb c\n", "a \nb", "a\n b", "don
 def test_ids_are_the_tokenizers(kind, path):
     own, whole = bpe.tokenizer(kind, path), Tokenizer.from_file(path)
     for text in TEXTS + [a + " " + b for a in TEXTS for b in TEXTS]:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("kind,path", [("byte", BYTE_BPE), ("word", WORD_BPE)])
+def test_ids_of_any_script(kind, path, monkeypatch):
+    own, whole, rng = bpe.Encoder(path, kind == "word"), Tokenizer.from_file(path), random.Random(1)
+    signs = " \n\t\r\x0b\x00\x1c\x85\xa0 \u180e\u2028\u3000\u200b'sabÉΣç漢字1²½e\u0301!._-İß|<>😀"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(3000)]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode_batch(texts)] == want
+    # every id is the library's: nothing else is asked, with full caches and in segments too
+    monkeypatch.setattr(bpe, "SEGMENT", 40)
+    monkeypatch.setattr(bpe, "CACHE", 30)
+    assert [x.tolist() for x in own.encode_batch(texts)] == want
+    long = " ".join(texts)
+    assert own.encode(long).tolist() == whole.encode(long, add_special_tokens=False).ids
 
 
 def test_png_filters():
