@@ -1,20 +1,27 @@
 """Language identification of mixed-language text by Viterbi over words.
 
 The script of a word (by ranges of code points) narrows the candidates to the languages that use it;
-a word's score in a language is the sum of the log probabilities of its byte trigrams; a change of
-language between neighbouring words costs a penalty; Viterbi labels each word, and runs of a label are
-spans. A document's language is the one with the most letters in its spans.
+a word's score in a language is the sum of the log probabilities of the trigrams of its code points; a
+change of language between neighbouring words costs a penalty; Viterbi labels each word, and runs of a label
+are spans. A document's language is the one with the most letters in its spans.
 
+A word is a run of letters and their marks by Unicode category; the script ranges only narrow candidates.
 Trigram counts by language come from all labelled training documents, as hashed sums over the corpus.
 The model has ``BUCKETS`` numbers for each language and script shares, so its size is bounded by the
 number of languages, of which more than ``MAX_LANGUAGES`` are refused.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any labelled document all are
-``und``. Repeated rows each return; an empty table gives an empty result; extra columns are not read.
+``und``. Texts of any length are labelled whole; above ``LONG`` characters they go through the same recurrence in
+segments, with one bit a word and language kept for the way back (a run of letters beyond four segments is cut).
+Of languages with equal letters the more likely wins, then the first by name. Repeated rows each return; an
+empty table gives an empty result; extra columns are not read, or kept whole by ``rejected_out``.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +35,10 @@ BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
 PENALTY = 6.0
 GROUP = 512  # texts side by side in Viterbi
-TOGETHER = 1 << 22  # characters of the texts that go through Viterbi together
-BATCH_BYTES = 1 << 19
+CELLS = 1 << 24  # numbers that Viterbi holds at once: words or letters times languages
+LONG = 1 << 19  # characters of a text that goes through alone, and of a batch
+BREAK = re.compile(r"[\s!-/:-@\[-`{-~]")
+UNIFORM = -16 * float(np.log(2))  # log probability of a trigram's bucket by a guess
 #: First code points of script ranges; the name holds up to the next one.
 SCRIPTS = [
     (0x0000, "other"), (0x0041, "latin"), (0x005B, "other"), (0x0061, "latin"), (0x007B, "other"), (0x00AA, "latin"), (0x00AB, "other"),
@@ -39,11 +48,17 @@ SCRIPTS = [
     (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "more"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"),
     (0x2C80, "more"), (0x2E00, "other"), (0x3040, "kana"), (0x3100, "more"), (0x3400, "han"), (0x4DC0, "other"), (0x4E00, "han"), (0xA000, "more"),
     (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "more"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF3B, "other"),
-    (0xFF41, "latin"), (0xFF5B, "other"), (0x20000, "han"), (0x323B0, "other"),
+    (0xFF41, "latin"), (0xFF5B, "other"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x323B0, "other"),
 ]
 NAMES = sorted({n for _, n in SCRIPTS} - {"other"})
 _STARTS = np.array([a for a, _ in SCRIPTS])
-_CODES = np.array([NAMES.index(n) if n in NAMES else -1 for _, n in SCRIPTS], np.int8)
+_CODES = np.array([NAMES.index(n) if n in NAMES else NAMES.index("more") for _, n in SCRIPTS], np.int8)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """2 for a letter, 1 for a mark, 0 for any other code point."""
+    return np.frombuffer(bytes({"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8)
 
 
 class Words:
@@ -53,16 +68,22 @@ class Words:
         line = " ".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer(line.lower().encode("utf-32-le") if len(line.lower()) == len(line) else "".join(c.lower()[0] for c in line).encode("utf-32-le"), "<u4")
-        script = _CODES[np.searchsorted(_STARTS, points, "right") - 1]
-        letter = script >= 0
-        # a word is a run of letters: signs and digits say nothing of the language
+        kind = _kinds()[points]
+        letter = kind > 0
+        # a word is a run of letters and marks: signs and digits say nothing of the language
         first, last = letter.copy(), letter.copy()
         first[1:] &= ~letter[:-1]
         last[:-1] &= ~letter[1:]
-        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if len(starts):
+            bare = np.maximum.reduceat(kind, starts) < 2  # marks alone are no word
+            for a, b in zip(starts[bare], ends[bare]):
+                letter[a:b] = False
+            starts, ends = starts[~bare], ends[~bare]
+        self.starts, self.ends = starts, ends
         # ideographs stand without spaces; a run of them is one word here
         self.letters = self.ends - self.starts
-        self.script = script[self.starts]
+        self.script = _CODES[np.searchsorted(_STARTS, points[self.starts], "right") - 1]
         offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.offsets = offsets
         self.counts = np.diff(np.searchsorted(self.starts, offsets))
@@ -76,6 +97,23 @@ class Words:
         self.gram_at = np.concatenate([[0], np.cumsum(self.letters)[:-1]]) if len(self.starts) else np.zeros(0, np.int64)
 
 
+def _segments(text: str, size: int) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters that cut no word (or one of more than four times that size)."""
+    at = 0
+    while len(text) - at > size:
+        found = BREAK.search(text, at + size, at + 4 * size)
+        cut = found.start() if found else min(len(text), at + 4 * size)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def _batches(texts: list[str], size: int = LONG) -> Iterator[list[str]]:
+    """Lists of about ``size`` characters of all of ``texts``; longer ones come in segments."""
+    for i, j in groups_of([len(x) for x in texts], size):
+        yield from [[x] for x in _segments(texts[i], size)] if j == i + 1 else [texts[i:j]]
+
+
 def gram_counts(documents: DataFrame) -> DataFrame:
     """Columns lang, bucket, n over all rows of ``documents`` with a text and a lang; scripts take buckets from BUCKETS on."""
 
@@ -90,8 +128,7 @@ def gram_counts(documents: DataFrame) -> DataFrame:
                 sums = held.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
                 if len(held) > MAX_LANGUAGES:
                     raise ValueError(f"more than {MAX_LANGUAGES} languages")
-                for i, j in groups_of([len(x) for x in own], BATCH_BYTES):
-                    w = Words(own[i:j])
+                for w in map(Words, _batches(own)):
                     sums[:BUCKETS] += np.bincount(w.grams, minlength=BUCKETS)
                     sums[BUCKETS:] += np.bincount(w.script, w.letters, len(NAMES)).astype(np.int64)
         for lang, sums in held.items():
@@ -115,6 +152,8 @@ class Model:
         self.uses[:, ~self.uses.any(axis=0)] = True
 
     def word_scores(self, w: Words) -> np.ndarray:
+        if not len(w.starts):
+            return np.zeros((0, len(self.languages)), np.float32)
         scores = np.add.reduceat(self.scores[w.grams], w.gram_at, axis=0)
         scores[~self.uses.T[w.script]] -= 1e4
         return scores
@@ -126,8 +165,10 @@ class Model:
         order = np.argsort(-counts, kind="stable")
         order = order[counts[order] > 0]
         first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        for a in range(0, len(order), GROUP):
-            own = order[a : a + GROUP]
+        a = 0
+        while a < len(order):
+            own = order[a : a + min(GROUP, max(1, CELLS // int(counts[order[a]] * n_lang)))]
+            a += len(own)
             n, at = counts[own], first[own]
             best = np.zeros((len(own), n_lang), np.float32)
             stays = np.zeros((n[0], len(own), n_lang), bool)
@@ -135,10 +176,10 @@ class Model:
             for t in range(n[0]):
                 k = int(np.searchsorted(-n, -t, "left"))  # texts with a word t
                 top = best[:k].argmax(axis=1)
-                jump = best[np.arange(k), top] - penalty
-                stays[t, :k] = best[:k] >= jump[:, None]
+                best[:k] -= best[np.arange(k), top][:, None]  # only differences tell
+                stays[t, :k] = best[:k] >= -penalty
                 came[t, :k] = top
-                best[:k] = np.maximum(best[:k], jump[:, None]) + scores[at[:k] + t]
+                best[:k] = np.maximum(best[:k], np.float32(-penalty)) + scores[at[:k] + t]
             state = best.argmax(axis=1)
             for t in range(n[0] - 1, -1, -1):
                 k = int(np.searchsorted(-n, -t, "left"))
@@ -147,6 +188,36 @@ class Model:
                 state[:k] = np.where(stays[t, rows, state[:k]], state[:k], came[t, :k])
         return out
 
+    def _size(self) -> int:
+        """Characters whose trigrams' scores are held at once."""
+        return max(1 << 12, min(LONG, CELLS // 2 // len(self.languages)))
+
+    def labels_of_long(self, text: str, penalty: float = PENALTY) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Labels, letters and scores' sum under the labels and under each language, of segments of a text from the last to the first."""
+        best, held = np.zeros(len(self.languages)), []
+        for part in _segments(text, self._size()):
+            w = Words([part])
+            scores = self.word_scores(w)
+            stays, came = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int16)
+            for t, own in enumerate(scores):
+                top = best.argmax()
+                best -= best[top]
+                came[t] = top
+                np.greater_equal(best, -penalty, out=stays[t])
+                np.maximum(best, -penalty, out=best)
+                best += own
+            held.append((np.packbits(stays, axis=1), came, w.letters.astype(np.int32), part))
+        state = int(best.argmax())
+        while held:
+            packed, came, letters, part = held.pop()
+            stays = np.unpackbits(packed, axis=1, count=len(self.languages)) if len(packed) else packed
+            out = np.zeros(len(came), np.int64)
+            for t in range(len(came) - 1, -1, -1):
+                out[t] = state
+                if not stays[t, state]:
+                    state = int(came[t])
+            yield out, letters, self.word_scores(Words([part]))
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Runs of one language: start and end of their words in code points, language."""
         w = Words([text])
@@ -156,35 +227,47 @@ class Model:
         edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
         return [(int(w.starts[a]), int(w.ends[b - 1]), self.languages[own[a]]) for a, b in zip(edges, edges[1:])]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: its share of the letters, times how surely its spans are told apart."""
-        names, sure = ["und"] * len(texts), np.zeros(len(texts))
-        if not self.languages:
-            return names, sure
-        for i, j in groups_of([len(x) for x in texts], TOGETHER):
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and its fit.
+
+        The score is the language's share of the letters, times how surely its spans are told apart; the fit
+        is the mean log probability of a letter's trigram under the labels of the words (0 without a letter).
+        """
+        n_lang = len(self.languages)
+        names, sure, fit = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        if not n_lang:
+            return names, sure, fit
+        together = max(self._size(), CELLS // n_lang)
+        for i, j in groups_of([len(x) for x in texts], together):
+            letters, total, inner = np.zeros((j - i, n_lang)), np.zeros((j - i, n_lang)), np.zeros(j - i)
+
+            def add(doc: np.ndarray, own: np.ndarray, lengths: np.ndarray, scores: np.ndarray) -> None:
+                n = j - i  # noqa: B023
+                letters[:] += np.bincount(doc * n_lang + own, lengths, n * n_lang).reshape(-1, n_lang)  # noqa: B023
+                total[:] += np.stack([np.bincount(doc, scores[:, k], n) for k in range(n_lang)], axis=1)  # noqa: B023
+                inner[:] += np.bincount(doc, scores[np.arange(len(own)), own], n)  # noqa: B023
+
+            short = [k for k in range(i, j) if len(texts[k]) <= LONG]
             parts = []
-            for a, b in groups_of([len(x) for x in texts[i:j]], BATCH_BYTES):
-                w = Words(texts[i + a : i + b])
-                parts.append((w.counts, self.word_scores(w) if len(w.starts) else np.zeros((0, len(self.languages)), np.float32), w.letters))
-            counts, scores, lengths = (np.concatenate(x) for x in zip(*parts))
-            if not len(scores):
-                continue
-            own = self.labels(counts, scores)
-            doc = np.repeat(np.arange(j - i), counts)
-            n_lang = len(self.languages)
-            letters = np.bincount(doc * n_lang + own, lengths, (j - i) * n_lang).reshape(-1, n_lang)
-            # mean log score of all words by language, to break ties and to tell how sure the choice is
-            total = np.stack([np.bincount(doc, scores[:, k], j - i) for k in range(n_lang)], axis=1)
-            has = counts > 0
+            for a, b in groups_of([len(texts[k]) for k in short], self._size()):
+                w = Words([texts[k] for k in short[a:b]])
+                parts.append((w.counts, self.word_scores(w), w.letters))
+            if parts:
+                counts, scores, lengths = (np.concatenate(x) for x in zip(*parts))
+                add(np.repeat(np.array(short) - i, counts), self.labels(counts, scores), lengths, scores)
+            for k in set(range(i, j)) - set(short):
+                for own, lengths, scores in self.labels_of_long(texts[k]):
+                    add(np.full(len(own), k - i), own, lengths, scores)
+            # of equal letters the more likely language, then the first by name
             pick = np.lexsort((np.broadcast_to(-np.arange(n_lang), letters.shape), total, letters), axis=1)[:, -1]
-            rows = np.arange(j - i)
-            share = letters[rows, pick] / np.maximum(letters.sum(axis=1), 1)
+            rows, size = np.arange(j - i), letters.sum(axis=1)
             gap = np.clip(total - total[rows, pick][:, None], -700, 50)
-            posterior = 1 / np.exp(gap).sum(axis=1)
-            sure[i:j] = np.where(has, np.maximum(share * np.maximum(posterior, 0.5), 0), 0)
-            for k in rows[has]:
+            posterior = np.maximum(1 / np.exp(gap).sum(axis=1), 0.5)
+            sure[i:j] = np.where(size > 0, letters[rows, pick] / np.maximum(size, 1) * posterior, 0)
+            fit[i:j] = inner / np.maximum(size, 1)
+            for k in rows[size > 0]:
                 names[i + k] = self.languages[pick[k]]
-        return names, np.clip(sure, 0, 1)
+        return names, np.clip(sure, 0, 1), fit
 
 
 def train(documents: DataFrame) -> Model:
@@ -205,7 +288,7 @@ def identified(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sure = shared.value.predict(texts_of(batch.column(0)))
+            names, sure, _ = shared.value.predict(texts_of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"])
@@ -223,10 +306,12 @@ def language_of(documents: DataFrame) -> DataFrame:
     return identified(documents, model).select(F.col("doc_id").cast("bigint"), out.alias("held_out"), "lang_pred", "score")
 
 
-def rejected_out(documents: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """Documents with a language: those that are ``und``, or score below ``min_score``, go. Columns are kept.
+def rejected_out(documents: DataFrame, least_fit: float = UNIFORM, min_score: float = 0.0) -> DataFrame:
+    """Documents in a language that the model knows; columns are kept.
 
-    Learns from the documents themselves that are not held out.
+    It rejects what is ``und``, and texts whose letters every learned language explains worse than a guess among
+    all trigrams does (``least_fit``): noise, and languages that no labelled document has. Learns from the
+    documents themselves that are not held out; without labelled ones it knows no language and all go.
     """
     model = train(documents.filter(~F.coalesce(held_out(), F.lit(False))).select("text", "lang"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -235,7 +320,7 @@ def rejected_out(documents: DataFrame, min_score: float = 0.0) -> DataFrame:
     def keeps(text):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        names, sure = shared.value.predict([x or "" for x in text])
-        return pd.Series([n != "und" and s >= min_score for n, s in zip(names, sure)])
+        names, sure, fit = shared.value.predict([x or "" for x in text])
+        return pd.Series([n != "und" and s >= min_score and f >= least_fit for n, s, f in zip(names, sure, fit)])
 
     return documents.filter(keeps(F.col("text").cast("string")))

@@ -31,7 +31,7 @@ def test_ids_of_any_script(kind, path, monkeypatch):
     texts = ["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(3000)]
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in own.encode_batch(texts)] == want
-    # every id is the library's: nothing else is asked, with full caches and in segments too
+    # with full caches and in segments too
     monkeypatch.setattr(bpe, "SEGMENT", 40)
     monkeypatch.setattr(bpe, "CACHE", 30)
     assert [x.tolist() for x in own.encode_batch(texts)] == want
