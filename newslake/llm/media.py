@@ -5,8 +5,12 @@ up, whichever leaves the smallest residue), deflated into IDAT chunks and closed
 tests the signature and each chunk's checksum, inflates, undoes all five filter types in numpy, and
 computes a 64-bit hash from the low frequencies of the two-dimensional cosine transform.
 
-Null and empty texts give one row of zero samples. Equal texts give equal bytes. Nothing is shared
-between rows, so repeated rows and empty tables need no special case; extra columns are not read.
+``stored`` writes the images as a binary column of a table in the shared folder and ``read_back`` computes
+digests and features from that column alone; ``media_columns`` does both.
+
+Null and empty texts give one row of zero samples. Very long texts give tall images; a document's text, image
+and samples are in memory together. Equal texts give equal bytes. Nothing is shared between rows, so repeated
+rows, null ids and empty tables need no special case; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,13 +19,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.common import bytes_of
+from newslake.llm.common import bytes_of, written
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -81,23 +86,19 @@ def unfilter(rows: np.ndarray) -> np.ndarray:
         at = np.arange(len(data))
         start = np.maximum.accumulate(np.where(kinds == 2, 0, at))
         return total[1:] - total[start]
-    above = np.zeros(data.shape[1], np.int64)
-    for i, kind in enumerate(kinds):
-        if kind == 2:
-            data[i] = (data[i] + above) & 255
-        elif kind > 2:
-            left = corner = 0
-            for j in range(data.shape[1]):
-                up = int(above[j])
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((left, up, corner), key=lambda x: abs(p - x))
-                left, corner = (int(data[i, j]) + guess) & 255, up
-                data[i, j] = left
-        above = data[i].astype(np.int64)
-    return data
+    # samples whose row and column add up to the same number depend on earlier such numbers alone
+    n, width = data.shape
+    out = np.zeros((n + 1, width + 1), np.int16)  # with a row above and a column to the left
+    for d in range(n + width - 1):
+        i = np.arange(max(0, d - width + 1), min(n, d + 1))
+        j = d - i
+        left, up, corner = out[i + 1, j], out[i, j + 1], out[i, j]
+        p = left + up - corner
+        a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.choose(kinds[i], [np.int16(0), np.where(sub[i], np.int16(0), left), up, (left + up) // 2, paeth])
+        out[i + 1, j + 1] = (data[i, j] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def png_decode(media: bytes) -> np.ndarray:
@@ -152,27 +153,47 @@ def cosine_hash(image: np.ndarray) -> bytes:
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
-MEDIA_SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, media binary, feature_bits binary"
+def stored(documents: DataFrame) -> DataFrame:
+    """Columns doc_id, n_bytes and media (a PNG) of each row, written to the shared folder and read from it."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = bytes_of(batch.column(1))
+            yield from _sized(batch.column(0), ({"n_bytes": len(x), "media": png_encode(padded(x))} for x in texts), STORED)
 
+    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return written(rows.mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary"))
 
-def media_columns(documents: DataFrame, keep_media: bool = True) -> DataFrame:
-    """Each text as a PNG in a binary column with digests of what was read back from it.
 
-    ``keep_media=False`` leaves the column ``media`` null: the digests are still computed from the
-    encoded bytes, but only they leave the worker.
-    """
+def read_back(images: DataFrame) -> DataFrame:
+    """Digests and the cosine hash of each image in ``images`` (doc_id, n_bytes, media), from its samples."""
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "feature_bits"]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in bytes_of(batch.column(1)):
-                media = png_encode(padded(text))
-                image = png_decode(media)
-                back, bits = image.tobytes(), cosine_hash(image)
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), bits.hex(), media if keep_media else None, bits))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
-
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(convert, MEDIA_SCHEMA)
+            yield from _sized(batch.column(0), map(digests, batch.column(1).to_pylist(), batch.column(2).to_pylist()), READ)
+
+    return images.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, feature_bits binary")
+
+
+def digests(n_bytes: int, media: bytes) -> dict:
+    image = png_decode(media)
+    back, bits = image.tobytes(), cosine_hash(image)
+    return {"n_bytes": n_bytes, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": bits.hex(), "feature_bits": bits}
+
+
+STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("feature_bits", pa.binary())])
+OUT_ROWS = 1000
+
+
+def _sized(ids: pa.Array, rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` (without doc_id) and their ``ids``, of few rows each so that images do not pile up."""
+    for i in range(0, len(ids), OUT_ROWS):
+        own = ids.slice(i, OUT_ROWS)
+        held = list(islice(rows, len(own)))
+        yield pa.RecordBatch.from_arrays([own, *(pa.array([r[f.name] for r in held], f.type) for f in list(schema)[1:])], schema=schema)
+
+
+def media_columns(documents: DataFrame) -> DataFrame:
+    """Digests and features of each text's stored image."""
+    return read_back(stored(documents))

@@ -25,7 +25,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(_table(spark, sf_dir, "documents"), keep_media=False).drop("media")
+    return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
 def op4_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newslake.llm import arrowfile, bpe, media, packing
@@ -78,11 +79,24 @@ def test_media_rows(odd, odd_rows, none):
         pad = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
-        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+        made = media.png_encode(pad)
+        assert (r.media_sha256, r.media_bytes) == (hashlib.sha256(made).hexdigest(), len(made))
     assert got[1].feature == got[2].feature
     assert media.media_columns(none).count() == 0
 
 
+def test_media_comes_from_the_stored_column(odd):
+    """A change of the stored bytes shows in what is read back; a broken checksum stops the job."""
+    kept = media.stored(odd)
+    assert dict(kept.dtypes)["media"] == "binary" and "parquet" in kept.inputFiles()[0]
+    other = kept.withColumn("media", F.lit(bytearray(media.png_encode(b"z" * 128))))
+    assert {r.payload_sha256 for r in media.read_back(other).collect()} == {hashlib.sha256(b"z" * 128).hexdigest()}
+    bad = bytearray(media.png_encode(b"z" * 128))
+    bad[-20] ^= 1
+    with pytest.raises(Exception, match="checksum"):
+        media.read_back(kept.withColumn("media", F.lit(bad))).collect()
+
+
 def test_token_files(spark, odd, odd_rows, none, tmp_path):
     folder = f"{tmp_path}/files"
     got = arrowfile.encoded(odd, WORD_BPE, width=16, folder=folder).collect()
