@@ -3,37 +3,47 @@
 A softmax classifier, fitted on a bounded sample of labelled rows, gives each document's posteriors over
 domains; a document's tokens count towards every domain by its posterior. Rates r >= 0, one a document,
 are fitted by projected gradient so that the expected tokens of each domain, sum of r * tokens * posterior,
-meet the targets in least squares. A step scales a document's slope by its tokens, so a rate depends on
-its posteriors alone: r <- max(0, r - step * posterior . error). The errors of all steps so far
-are a few short vectors; a pass replays them on the written posteriors and sums new totals, so no
-state is kept by document and lineage does not grow.
+meet the targets in least squares, with a small ridge that keeps rates near one:
+
+    least of  |totals(r) - target|^2 / 2 + RIDGE * all tokens * sum of tokens * (r - 1)^2 / 2,  r >= 0
+
+Without the ridge the best rates are not unique, and those that meet a target of zero put all weight on the
+few documents with the smallest posterior. A move scales a document's slope by its tokens, so the rates that
+the projection reaches depend on posteriors alone: r = max(0, 1 - posterior . m) with one number m for each
+domain, and m is the error of the totals over RIDGE at the optimum. Each pass is one distributed sum of totals
+and of the curvature of the rates that may move, which gives the next step of m (Newton's, halved where the
+objective of m does not fall). Passes end when the conditions of the optimum hold to ``TOLERANCE``; if they
+never do, it raises. A target that cannot be met is told by ``Fit``: what each domain reaches and whether that
+is within ``MET`` of all tokens.
 
 A rate becomes whole copies: its whole part, and one more where a hash of the document falls below the
 rest, which any run repeats.
 
-Null and empty texts have no words: they get the prior posteriors and 0 tokens, and keep a rate. Labels
-may repeat or miss; rows with a null label are not used. Without usable labels all documents are of one
-domain. Repeated rows each get the same rate. Empty tables give empty results; other columns are kept
-whole by ``mixed``, whatever their names.
+Null and empty texts have no words: they get the prior posteriors and 0 tokens, and keep a rate. Texts of any
+length count whole, very long ones in segments. Labels may repeat or miss; rows with a null label are not used.
+Without usable labels all documents are of one domain. Repeated rows and ties get equal rates. Empty tables give
+empty results; other columns are kept whole by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.llm.common import bytes_of, written
-from newslake.llm.tokens import batches
+from newslake.llm.common import bytes_of, groups_of, written
+from newslake.llm.tokens import BATCH_BYTES, segments, words
 
 DIM = 1 << 16
 SAMPLE = 6_000  # labelled documents, about: those with the smallest hashes of their id; texts of any length
 EPOCHS = 40
-STEPS = 40
-TOLERANCE = 1e-4
+RIDGE = 1e-3
+PASSES, TOLERANCE = 100, 1e-8  # far more passes than a fit takes; the error allowed in the conditions, of all tokens
+MET = 0.01  # a target is met if the total is as close, of all tokens
 #: The domains of the labelled table and their target weights: shares of all tokens that there are.
 DOMAINS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 
@@ -42,19 +52,34 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "clean")
 
 
+def _features(hashes: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Buckets of words, and of their last two bytes as a shape."""
+    half = DIM // 2
+    return np.concatenate([(hashes >> np.uint64(49)).astype(np.int64) % half, half + suffix.astype(np.int64) % half])
+
+
 def _bags(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Ranges of texts with their hashed bags: start, end, text, feature, weight, numbers of words.
 
-    Features are words, and their last two bytes as a shape; weights have length one in each text.
+    Weights have length one in each text.
     """
-    for i, j, hashes, suffix, counts in batches(texts):
-        doc = np.repeat(np.arange(j - i), counts)
-        half = DIM // 2
-        code = np.concatenate([doc * DIM + (hashes >> np.uint64(49)).astype(np.int64) % half, doc * DIM + half + suffix.astype(np.int64) % half])
-        own, n = np.unique(code, return_counts=True)
-        rows, weight = own // DIM, 1 + np.log(n)
+    for i, j in groups_of([len(x) for x in texts], BATCH_BYTES):
+        if j == i + 1:  # by segments: no more is held than one of them and a count of each feature
+            n, own, count = 0, np.zeros(DIM, np.int64), 0
+            for part in segments(texts[i]):
+                hashes, suffix, counts = words([part])
+                own += np.bincount(_features(hashes, suffix), minlength=DIM)
+                count += int(counts[0])
+            feature = np.flatnonzero(own)
+            rows, n, counts = np.zeros(len(feature), np.int64), own[feature], np.array([count])
+        else:
+            hashes, suffix, counts = words(texts[i:j])
+            doc = np.repeat(np.arange(j - i), counts)
+            code, n = np.unique(np.concatenate([doc, doc]) * DIM + _features(hashes, suffix), return_counts=True)
+            rows, feature = code // DIM, code % DIM
+        weight = 1 + np.log(n)
         size = np.sqrt(np.bincount(rows, weight**2, j - i))
-        yield i, j, rows, own % DIM, weight / np.maximum(size[rows], 1e-12), counts
+        yield i, j, rows, feature, weight / np.maximum(size[rows], 1e-12), counts
 
 
 class Classifier:
@@ -64,20 +89,20 @@ class Classifier:
         self.domains, self.weights, self.bias = domains, weights, bias
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: list[str], domains: list[str]) -> Classifier:
+    def of_texts(cls, texts: list[bytes], labels: list[str], domains: list[str]) -> Classifier:
+        bags = list(_bags(texts))
+        row, feature, value = (np.concatenate([b[k] + (b[0] if k == 2 else 0) for b in bags] or [np.zeros(0, np.int64)]) for k in (2, 3, 4))
+        return cls.fit(row, feature, value, labels, domains)
+
+    @classmethod
+    def fit(cls, row: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: list[str], domains: list[str]) -> Classifier:
         """Weights by full-batch AdaGrad on the log likelihood, with each domain's rows weighing alike."""
-        k, n = len(domains), len(texts)
+        k, n = len(domains), len(labels)
         y = np.array([domains.index(x) for x in labels], np.int64)
-        rows, features, values = [], [], []
-        for i, _, r, f, v, _ in _bags(texts):
-            rows.append(r + i)
-            features.append(f)
-            values.append(v)
         prior = np.bincount(y, minlength=k) + 1.0
         weights, bias = np.zeros((DIM, k)), np.log(prior / prior.sum())
-        if not rows:
+        if not len(row):
             return cls(domains, weights, bias)
-        row, feature, value = map(np.concatenate, (rows, features, values))
         used, at = np.unique(feature, return_inverse=True)
         w, square, balance = np.zeros((len(used), k)), np.full((len(used), k), 1e-4), np.minimum((n / (k * prior))[y], 10.0)
         for _ in range(EPOCHS):
@@ -96,12 +121,12 @@ class Classifier:
     def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of each domain and number of words of each text."""
         k = len(self.domains)
-        out, words = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+        out, n_words = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
         for i, j, row, feature, value, counts in _bags(texts):
             z = self.bias + np.stack([np.bincount(row, value * self.weights[feature, c], j - i) for c in range(k)], axis=1)
             p = np.exp(z - z.max(axis=1, keepdims=True))
-            out[i:j], words[i:j] = p / p.sum(axis=1, keepdims=True), counts
-        return out, words
+            out[i:j], n_words[i:j] = p / p.sum(axis=1, keepdims=True), counts
+        return out, n_words
 
 
 def classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, float]) -> Classifier:
@@ -114,9 +139,26 @@ def classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, float
     ids = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     first = texts.groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
-    rows = [(bytes((r.text or "").encode()), r.domain) for r in first.orderBy("doc_id").toLocalIterator()]
-    found = [d for d in domains if any(x == d for _, x in rows)] or [next(iter(domains))]
-    return Classifier.fit([t for t, _ in rows], [x for _, x in rows], found)
+
+    def bag(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            features, values = [np.zeros(0, np.int32)] * batch.num_rows, [np.zeros(0, np.float32)] * batch.num_rows
+            for i, j, row, feature, value, _ in _bags(bytes_of(batch.column(2))):
+                for k in range(i, j):
+                    a, b = np.searchsorted(row, [k - i, k - i + 1])
+                    features[k], values[k] = feature[a:b].astype(np.int32), value[a:b].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (features, values))], names=["doc_id", "domain", "features", "weights"])
+
+    # not texts but their bags: at most DIM numbers for each of about SAMPLE rows
+    bags = written(first.mapInArrow(bag, "doc_id bigint, domain string, features binary, weights binary"))
+    labels_, rows, features, values = [], [], [], []
+    for r in bags.orderBy("doc_id").toLocalIterator():
+        features.append(np.frombuffer(r.features, np.int32).astype(np.int64))
+        values.append(np.frombuffer(r.weights, np.float32).astype(float))
+        rows.append(np.full(len(features[-1]), len(labels_)))
+        labels_.append(r.domain)
+    found = [d for d in domains if d in labels_] or [next(iter(domains))]
+    return Classifier.fit(*(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (rows, features, values)), labels_, found)
 
 
 def posteriors(documents: DataFrame, model: Classifier) -> DataFrame:
@@ -132,73 +174,95 @@ def posteriors(documents: DataFrame, model: Classifier) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(compute, "doc_id bigint, n_tokens bigint, posterior array<double>")
 
 
-def replay(p: np.ndarray, path: np.ndarray) -> np.ndarray:
-    """Rates after the steps in ``path`` (steps x domains): each is a projected move against the error."""
-    r = np.ones(len(p))
-    for error in path:
-        r = np.maximum(0, r - p @ error)
-    return r
+def rates(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rates that a projected move from one by ``m`` gives."""
+    return np.maximum(0, 1 - p @ m)
 
 
-def solve(found: DataFrame, shares: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Steps of the projected gradient, targets, totals before and totals reached, by domain.
+@dataclass(frozen=True)
+class Fit:
+    """A fit by domain: the move, targets, totals before and totals reached; and the error left in the optimum's conditions."""
 
-    A target is its share of all tokens of ``found``. Each pass is one distributed sum.
-    """
+    domains: list[str]
+    move: np.ndarray
+    target: np.ndarray
+    before: np.ndarray
+    reached: np.ndarray
+    residual: float
+    passes: int
+
+    def met(self) -> np.ndarray:
+        """Which targets are met; the optimum misses those that no rates near one can meet."""
+        return np.abs(self.reached - self.target) <= MET * max(self.before.sum(), 1.0)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """domain, target, before, reached, met."""
+        found = zip(self.domains, *(map(float, x) for x in (self.target, self.before, self.reached)), map(bool, self.met()))
+        return spark.createDataFrame(list(found), "domain string, target double, before double, reached double, met boolean")
+
+
+def solve(found: DataFrame, domains: list[str], shares: list[float], ridge: float = RIDGE) -> Fit:
+    """The least-squares rates for targets that are ``shares`` of all tokens of ``found`` (n_tokens, posterior)."""
     k = len(shares)
     context = found.sparkSession.sparkContext
 
-    def sums(path: np.ndarray) -> np.ndarray:
-        """Totals by domain at the end of ``path`` and the matrix of how steps would move them."""
-        shared = context.broadcast(path)
+    def sums(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals by domain at ``m``, the curvature, and half the sum of tokens times squared rates."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + k * k)
+            total = np.zeros(k + k * k + 1)
             for batch in batches:
                 p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                t, r = batch.column(0).to_numpy().astype(float), replay(p, shared.value)
+                t, r = batch.column(0).to_numpy().astype(float), rates(p, shared.value)
                 total[:k] += (t * r) @ p
-                total[k:] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+                total[k:-1] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+                total[-1] += (t * r * r).sum() / 2
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
 
-        rows = found.select("n_tokens", "posterior").mapInArrow(add, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k + k * k)
-        for i, x in rows:
+        shared = context.broadcast(m)
+        out = np.zeros(k + k * k + 1)
+        for i, x in found.select("n_tokens", "posterior").mapInArrow(add, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             out[i] = x
-        return out
-
-    path = np.zeros((0, k))
-    got = sums(path)
-    before = got[:k]
-    scale = max(before.sum(), 1.0)
-    target = np.array(shares) * before.sum()
-    for _ in range(STEPS):
-        error = got[:k] - target
-        if np.abs(error).max() <= TOLERANCE * scale:
-            break
-        # the step of steepest descent for the rates that may move, in the metric of the scaled slopes
-        moved = got[k:].reshape(k, k) @ error
-        size = float(error @ moved) / max(float(moved @ moved), 1e-300)
-        path = np.vstack([path, size * error])
-        got = sums(path)
-    return path, target, before, got[:k]
-
-
-def rated(documents: DataFrame, labels: DataFrame, domains: dict[str, float] = DOMAINS) -> DataFrame:
-    """doc_id, n_tokens, a posterior for each domain, rate and copies of each row of ``documents``."""
+        return out[:k], out[k:-1].reshape(k, k), out[-1]
+
+    m = np.zeros(k)
+    got, curve, half = sums(m)
+    before, all_tokens = got, max(float(got.sum()), 1.0)
+    target, weight = np.array(shares) * got.sum(), ridge * all_tokens
+    value = lambda m, half: half + m @ target + weight * (m @ m) / 2
+    for passes in range(1, PASSES + 1):
+        error = got - target - weight * m  # of the conditions: at the optimum m is the totals' error over the ridge
+        residual = float(np.abs(error).max()) / all_tokens
+        if residual <= TOLERANCE:
+            return Fit(domains, m, target, before, got, residual, passes)
+        step, share = np.linalg.solve(curve + weight * np.eye(k), error), 1.0
+        while True:
+            after = sums(m + share * step)
+            if value(m + share * step, after[2]) <= value(m, half) - 1e-4 * share * float(error @ step) + 1e-12 * all_tokens or share < 1e-6:
+                break
+            share /= 2
+        m, (got, curve, half) = m + share * step, after
+    raise ArithmeticError(f"rates did not settle: {residual} of all tokens left after {PASSES} passes")
+
+
+def rated(documents: DataFrame, labels: DataFrame, domains: dict[str, float] = DOMAINS, ridge: float = RIDGE) -> DataFrame:
+    """doc_id, n_tokens, a posterior for each domain, rate and copies of each row of ``documents``.
+
+    Then, the same in each row: target and reached tokens of each domain and whether all targets are met.
+    """
     model = classifier(documents, labels, domains)
     found = written(posteriors(documents, model))
-    path, *_ = solve(found, [domains[d] for d in model.domains])
-    shared = documents.sparkSession.sparkContext.broadcast(path)
+    fit = solve(found, model.domains, [domains[d] for d in model.domains], ridge)
+    at = {d: i for i, d in enumerate(model.domains)}
+    share = [F.col("posterior")[at[d]].alias(f"p_{d}") if d in at else F.lit(0.0).alias(f"p_{d}") for d in domains]
+    told = [F.lit(float(x[at[d]]) if d in at else 0.0).alias(f"{name}_{d}") for name, x in (("target", fit.target), ("reached", fit.reached)) for d in domains]
+    out = found.withColumn("rate", _rate(F.col("posterior"), fit))
+    return out.select("doc_id", "n_tokens", *share, "rate", copies_of(F.col("doc_id"), F.col("rate")).alias("copies"), *told, F.lit(bool(fit.met().all())).alias("met"))
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, shared.value))], names=[*batch.schema.names, "rate"])
 
-    out = found.mapInArrow(rate, "doc_id bigint, n_tokens bigint, posterior array<double>, rate double")
-    share = [F.col("posterior")[model.domains.index(d)].alias(f"p_{d}") if d in model.domains else F.lit(0.0).alias(f"p_{d}") for d in domains]
-    return out.select("doc_id", "n_tokens", *share, "rate", copies_of(F.col("doc_id"), F.col("rate")).alias("copies"))
+def _rate(posterior: Column, fit: Fit) -> Column:
+    moved = sum((posterior[i] * float(x) for i, x in enumerate(fit.move)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1 - moved)
 
 
 def copies_of(doc_id: Column, rate: Column) -> Column:
@@ -206,22 +270,23 @@ def copies_of(doc_id: Column, rate: Column) -> Column:
     return (F.floor(rate) + (part < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def mixed(documents: DataFrame, labels: DataFrame, domains: dict[str, float] = DOMAINS) -> DataFrame:
+def mixed(documents: DataFrame, labels: DataFrame, domains: dict[str, float] = DOMAINS, ridge: float = RIDGE) -> DataFrame:
     """Each document as often as its copies say; columns are kept."""
     model = classifier(documents, labels, domains)
-    path, *_ = solve(written(posteriors(documents, model)), [domains[d] for d in model.domains])
-    shared = documents.sparkSession.sparkContext.broadcast((model, path))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def rate(text):  # noqa: ANN001, ANN202
+    @F.pandas_udf("struct<n_tokens:bigint,posterior:array<double>>")
+    def told(text):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        own, steps = shared.value
-        p, _ = own.posteriors([(x or "").encode() for x in text])
-        return pd.Series(replay(p, steps))
+        p, n = shared.value.posteriors([(x or "").encode() for x in text])
+        return pd.DataFrame({"n_tokens": n, "posterior": list(p)})
 
     names = documents.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
-    copied = documents.select(row, F.coalesce(copies_of(F.col("doc_id"), rate(F.col("text").cast("string"))), F.lit(1)).alias("copies"))
+    # the documents with their posteriors: computed once, read for the sums of every pass and for the copies
+    found = written(documents.select(row, told(F.col("text").cast("string")).alias("told")))
+    fit = solve(found.select("told.n_tokens", "told.posterior"), model.domains, [domains[d] for d in model.domains], ridge)
+    copied = found.select("row", F.coalesce(copies_of(F.col("row.doc_id"), _rate(F.col("told.posterior"), fit)), F.lit(1)).alias("copies"))
     each = copied.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return each.select(*(F.col("row")[c].alias(c) for c in names))

@@ -241,13 +241,43 @@ def test_mixing(spark, documents):
     seen = got.merge(labels.toPandas(), on="doc_id")
     clean, toxic = seen[(seen.quality == 1) & (seen.toxic == 0)], seen[seen.toxic == 1]
     assert (clean.copies >= 1).all() and (toxic.copies == 0).mean() > 0.95
-    # against the solution of the same least squares by a dense solver over the distinct rates
-    p, t, r = got[["p_clean", "p_low", "p_toxic"]].values, got.n_tokens.values, got.rate.values
+    # against the same objective by a dense solver: accelerated projected gradient over all rates
+    p, t, r = got[["p_clean", "p_low", "p_toxic"]].values, got.n_tokens.values.astype(float), got.rate.values
     target = np.array([0.95, 0.05, 0.0]) * (t[:, None] * p).sum()
-    loss = lambda x: (((x * t) @ p - target) ** 2).sum()
-    for _ in range(300):
-        step = np.random.default_rng(_).standard_normal(len(r)) * 0.01
-        assert loss(np.maximum(0, r + step)) >= loss(r) * 0.98
+    assert (got.reached_clean[0], got.reached_low[0], got.reached_toxic[0]) == pytest.approx(tuple((r * t) @ p)) and got.target_clean[0] == pytest.approx(target[0])
+
+    def loss(x, ridge):
+        return (((x * t) @ p - target) ** 2).sum() / 2 + ridge * t.sum() * (t * (x - 1) ** 2).sum() / 2
+
+    def dense(ridge, steps):
+        x = y = np.ones(len(t))
+        curve = np.linalg.norm((p * t[:, None]).T @ p, 2) + ridge * t.sum()
+        for k in range(steps):
+            new = np.maximum(0, y - (p @ ((y * t) @ p - target) + ridge * t.sum() * (y - 1)) / curve)
+            y = new + k / (k + 3) * (new - x)
+            x = new
+        return x
+
+    best = dense(mixing.RIDGE, 3000)
+    assert loss(r, mixing.RIDGE) <= loss(best, mixing.RIDGE) * 1.0001 and np.abs(r - best).max() < 0.01
+    # the conditions of the optimum: no slope where a rate may move, none downwards at zero
+    slope = p @ ((r * t) @ p - target) + mixing.RIDGE * t.sum() * (r - 1)
+    assert np.abs(slope[r > 0]).max() < 1e-6 * t.sum() and slope[r == 0].min() > -1e-6 * t.sum()
+
+
+def test_targets_met_and_missed(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([1, 1, 1], 500)
+    t = rng.integers(0, 900, 500)
+    table = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "n_tokens bigint, posterior array<double>")
+    fit = mixing.solve(table, ["a", "b", "c"], [0.5, 0.3, 0.2], 1e-9)
+    assert fit.met().all() and fit.reached == pytest.approx(fit.target, rel=1e-4) and fit.residual <= mixing.TOLERANCE
+    # least squares without a ridge, by brute force over the directions that documents allow
+    missed = mixing.solve(table.withColumn("posterior", F.expr("array(0.5D, 0.25D, 0.25D)")), ["a", "b", "c"], [0.8, 0.2, 0.0], 1e-6)
+    s, ray, aim = t.sum(), np.array([0.5, 0.25, 0.25]), np.array([0.8, 0.2, 0.0])
+    assert missed.reached == pytest.approx(ray * s * (ray @ aim) / (ray @ ray), rel=1e-4) and not missed.met().all()
+    rows = {x.domain: x.met for x in missed.rows(spark).collect()}
+    assert rows == {"a": False, "b": False, "c": False}
 
 
 def test_mixing_odd(spark, odd, odd_rows, none):
