@@ -64,7 +64,7 @@ def scan(documents: DataFrame, repository: str, owner: str, keep_rows: bool = Fa
     matched = F.array_compact(F.array(*(_found(text, i) for i in range(len(KINDS)))))
     columns = [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), matched.alias("matched")]
     if keep_rows:
-        columns.append(F.struct(*documents.columns).alias("document"))
+        columns.append(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"))
     return written(documents.select(*columns))
 
 

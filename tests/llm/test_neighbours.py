@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from newslake.llm import ann, simhash
+from newslake.llm import ann, langid, mixing, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,14 +45,56 @@ def test_trees_lose_no_link(dense):
         tree, leaves = simhash.build((prints[::3] >> np.uint64(32 * half)).astype(np.uint32), 60)
         at, leaf = simhash.shards_of((prints >> np.uint64(32 * half)).astype(np.uint32), tree)
         for k in range(leaves):
-            a, b = simhash.shard_links(np.unique(prints[at[leaf == k]]), half)
-            assert (np.bitwise_count(a ^ b) >= 0).all()
+            a, b, left = simhash.shard_links(np.unique(prints[at[leaf == k]]), half)
+            assert not left
             edges += zip(np.searchsorted(prints, a).tolist(), np.searchsorted(prints, b).tolist())
     union = simhash._Union(len(prints))
     union.link(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
     assert [union.find(i) for i in range(len(prints))] == brute_components(prints, range(len(prints))).tolist()
 
 
+@pytest.mark.parametrize("spread", [8, 28])
+def test_dense_balls_over_tasks(spark, monkeypatch, spread):
+    """Fingerprints that no vantage point parts: many within a few bits of each other in one half, or in both."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    bits = lambda low, high, k: np.bitwise_or.reduce([np.uint64(1) << rng.integers(low, high, n, dtype=np.uint64) for _ in range(k)])
+    prints = np.unique(bits(32, 64, 1) ^ bits(0, 32, 1) ^ rng.integers(0, 2 ** (spread // 2), n, dtype=np.uint64))
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    monkeypatch.setattr(simhash, "LEAF", 32)
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print bigint")
+    found = simhash.links(table).collect()
+    union = simhash._Union(len(prints))
+    ends = np.searchsorted(prints, np.array([(r.a, r.b) for r in found], np.int64).view(np.uint64))
+    union.link(ends[:, 0], ends[:, 1])
+    assert [union.find(i) for i in range(len(prints))] == brute_components(prints, range(len(prints))).tolist()
+
+
+def test_fingerprints_of_very_long_texts():
+    import resource
+
+    rng = np.random.default_rng(6)
+    words = [f"w{k}".encode() for k in rng.integers(0, 9000, 400_000)]
+    text = b"  ".join(words)
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)], np.uint64)
+    ones = np.array([(hashes >> np.uint64(63 - k) & np.uint64(1)).sum() for k in range(64)])
+    assert simhash.fingerprint(text) == int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    simhash.fingerprint(b"one two three " * 700_000)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["doc_id", "text", "lang", "source", "a.b", "_kept", "_rows", "_row", "id", "row", "kept", "of", "n", "print", "least", "told", "document", "matched"]
+    rows = [(i, f"one two three four {i % 3}", "en", f"s{i}", *range(14)) for i in range(6)] + [(None, "token=abcdef123456 x", "en", "s", *range(14))]
+    table = spark.createDataFrame(rows, ", ".join(f"`{c}` {'string' if c in ('text', 'lang', 'source') else 'bigint'}" for c in names))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for stage in (langid.rejected_out, simhash.keep_one, secrets.redacted, lambda d: mixing.mixed(d, labels)):
+        got = stage(table)
+        assert got.columns == names and got.count() > 0
+        assert all(tuple(r)[4:] == tuple(range(14)) for r in got.collect())
+
+
 def test_near_duplicates(spark, odd, odd_rows, none):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sorted(map(tuple, simhash.near_duplicates(rows).collect()))
