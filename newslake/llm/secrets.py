@@ -1,16 +1,19 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions alone.
 
 Patterns find candidates in whole texts. Each candidate's hash is counted over the corpus by distinct
-repositories and owners: a value that several owners hold is a copied example, one that a single owner
-(or two) holds and that looks random is a live credential. The three base kinds are always reported;
-the further kinds only where ownership and form say "live".
+repositories and distinct owners: a value that more than ``MAX_OWNERS`` owners or ``MAX_REPOSITORIES``
+repositories hold is a copied example; one that stays below both and looks random is a live credential. The
+three base kinds are always reported; the further kinds only where ownership and form say "live".
+
+Repository and owner are parameters, SQL expressions over the documents. By default the owner is ``source``, and
+what a source has in one language is a repository of its own, so an owner may have several.
 
 ``split`` and ``regexp_extract_all`` on one pattern give the gaps and the matches in turn, so running
 sums of their lengths are the places, in code points. Only documents with a match go on from the scan.
 
-Null and empty texts have no spans. A null repository or owner counts as one name of its own. Repeated
-rows return each. An empty table gives an empty result. Extra columns are not read, or kept whole
-by ``redacted``, whatever their names.
+Null and empty texts have no spans; very long texts are matched whole, in the JVM. A null repository or owner
+counts as one name of its own. Repeated rows return each and count once. An empty table gives an empty result. Extra
+columns are not read, or kept whole by ``redacted``, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +47,8 @@ FURTHER = [
 KINDS = BASE + FURTHER
 #: Words that mark a placeholder.
 PLACEHOLDER = "example|sample|changeme|placeholder|dummy|xxxx|your"
-MAX_OWNERS, MIN_VARIETY = 2, 6
+MAX_OWNERS, MAX_REPOSITORIES, MIN_VARIETY = 2, 4, 6
+REPOSITORY, OWNER = "concat_ws('/', source, lang)", "source"
 LONG_PEM = 200  # characters of a key from which such a word in its base64 is chance
 
 
@@ -62,7 +66,7 @@ def scan(documents: DataFrame, repository: str, owner: str, keep_rows: bool = Fa
     """One row a document: a row number, its names and what each kind's pattern matched; written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     matched = F.array_compact(F.array(*(_found(text, i) for i in range(len(KINDS)))))
-    columns = [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), matched.alias("matched")]
+    columns = [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(repository).cast("string").alias("repository"), F.expr(owner).cast("string").alias("owner"), matched.alias("matched")]
     if keep_rows:
         columns.append(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"))
     return written(documents.select(*columns))
@@ -89,12 +93,12 @@ def ownership(found: DataFrame) -> DataFrame:
     return holders.groupBy("hash").agg(F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
 
 
-def judged(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def judged(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Candidates with their holders' numbers and the verdicts live and example."""
     held = written(ownership(found))
-    live = F.col("random") & (F.col("n_owners") <= max_owners)
-    out = found.join(held, "hash").select("row", "kind", "start", "end", "n_repositories", "n_owners", live.alias("live"))
-    return out.withColumn("example", F.col("n_owners") > max_owners)
+    wide = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories)
+    out = found.join(held, "hash").select("row", "kind", "start", "end", "n_repositories", "n_owners", (F.col("random") & ~wide).alias("live"))
+    return out.withColumn("example", wide)
 
 
 def _joined(spans: Column) -> Column:
@@ -103,31 +107,31 @@ def _joined(spans: Column) -> Column:
     return F.array_join(shown, ",")
 
 
-def scanned_secrets(documents: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners."""
+def scanned_secrets(documents: DataFrame, repository: str = REPOSITORY, owner: str = OWNER, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repositories."""
     scanned = scan(documents, repository, owner)
-    verdicts = judged(written(candidates(scanned)), max_owners)
+    verdicts = judged(written(candidates(scanned)), max_owners, max_repositories)
     kept = verdicts.filter((F.col("kind") < len(BASE)) | F.col("live"))
     count = lambda c: F.count_if(c)
     by_row = kept.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"),
         *(count(F.col("kind") == i).alias(f"n_{BASE[i][0]}") for i in range(len(BASE))),
-        count(F.col("live")).alias("n_live"), count(F.col("example")).alias("n_example"), F.max("n_owners").alias("most_owners"),
+        count(F.col("live")).alias("n_live"), count(F.col("example")).alias("n_example"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
     )
     joined = scanned.select("row", "doc_id").join(by_row, "row", "left")
     spans = F.coalesce("all", F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint>>)"))
     base = F.filter(spans, lambda s: s["kind"] < len(BASE))
     zero = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c)
-    return joined.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"), zero("n_live"), zero("n_example"), zero("most_owners"))
+    return joined.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"), zero("n_live"), zero("n_example"), zero("most_owners"), zero("most_repositories"))
 
 
-def redacted(documents: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+def redacted(documents: DataFrame, repository: str = REPOSITORY, owner: str = OWNER, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, mask: str = "[SECRET]") -> DataFrame:
     """All documents with their columns; live credentials in ``text`` are masked, ``n_chars`` follows if there.
 
-    Copied examples (more than ``max_owners`` owners) and values without a random form stay.
+    Copied examples (more than ``max_owners`` owners or ``max_repositories`` repositories) and values without a random form stay.
     """
     scanned = scan(documents, repository, owner, keep_rows=True)
-    live = judged(written(candidates(scanned)), max_owners).filter("live")
+    live = judged(written(candidates(scanned)), max_owners, max_repositories).filter("live")
     # islands of overlapping spans
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
@@ -149,7 +153,7 @@ def redacted(documents: DataFrame, repository: str = "source", owner: str = "sou
     return rest.unionByName(changed)
 
 
-def oracle(table: str = "documents", repository: str = "source", owner: str = "source") -> str:
+def oracle(table: str = "documents", repository: str = REPOSITORY, owner: str = OWNER) -> str:
     """``scanned_secrets`` as DuckDB SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     parts = []
@@ -162,8 +166,8 @@ def oracle(table: str = "documents", repository: str = "source", owner: str = "s
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || {repository}, '') AS rep, coalesce('=' || {owner}, '') AS own, coalesce(text, '') AS t FROM {table}),
 m AS ({' UNION ALL '.join(parts)}),
 p AS (SELECT rid, rep, own, kind, ss[i + 1] AS secret, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) AS s, length(ms[i + 1]) AS n FROM m WHERE length(ss[i + 1]) >= least),
-h AS (SELECT secret, count(DISTINCT own) AS owners FROM p GROUP BY secret),
-j AS (SELECT rid, kind, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e, owners, owners <= {MAX_OWNERS} AND len(list_distinct(string_split(secret, ''))) >= {MIN_VARIETY} AND NOT regexp_matches(lower(secret), {q(PLACEHOLDER)}) AS live FROM p JOIN h USING (secret)),
-a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {text.replace(' ORDER', ' ORDER', 1)} FILTER (kind < {len(BASE)}) AS base, {text} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (owners > {MAX_OWNERS}) AS n_example, max(owners) AS most_owners FROM j WHERE kind < {len(BASE)} OR live GROUP BY rid)
-SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example, CAST(coalesce(most_owners, 0) AS BIGINT) AS most_owners
+h AS (SELECT secret, count(DISTINCT own) AS owners, count(DISTINCT rep) AS reps FROM p GROUP BY secret),
+j AS (SELECT rid, kind, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e, owners, reps, owners <= {MAX_OWNERS} AND reps <= {MAX_REPOSITORIES} AND len(list_distinct(string_split(secret, ''))) >= {MIN_VARIETY} AND (kind = {[k[0] for k in KINDS].index('pem')} AND length(secret) >= {LONG_PEM} OR NOT regexp_matches(lower(secret), {q(PLACEHOLDER)})) AS live FROM p JOIN h USING (secret)),
+a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {text.replace(' ORDER', ' ORDER', 1)} FILTER (kind < {len(BASE)}) AS base, {text} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (owners > {MAX_OWNERS} OR reps > {MAX_REPOSITORIES}) AS n_example, max(owners) AS most_owners, max(reps) AS most_repositories FROM j WHERE kind < {len(BASE)} OR live GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example, CAST(coalesce(most_owners, 0) AS BIGINT) AS most_owners, CAST(coalesce(most_repositories, 0) AS BIGINT) AS most_repositories
 FROM d LEFT JOIN a USING (rid)"""

@@ -205,6 +205,19 @@ def test_secret_owners_and_masks(spark):
     assert got[9] == "a [SECRET] b [SECRET] c" and got[10] == "none here"
 
 
+def test_repositories_and_owners(spark):
+    """One owner with many repositories is as wide as many owners; both numbers come back."""
+    from tests.llm.conftest import frame
+
+    value = "token=Spread7788Value99q"
+    rows = [(i, f"a {value}", f"l{i}", "src0") for i in range(6)] + [(9, "password=Narrow55Value66w", "en", "src1"), (10, "password=Narrow55Value66w", "fr", "src1")]
+    got = {r.doc_id: r for r in secrets.scanned_secrets(frame(spark, rows)).collect()}
+    assert (got[0].most_owners, got[0].most_repositories, got[0].n_example, got[0].n_live) == (1, 6, 1, 0)
+    assert (got[9].most_owners, got[9].most_repositories, got[9].n_example, got[9].n_live) == (1, 2, 0, 1)
+    loose = secrets.scanned_secrets(frame(spark, rows), max_repositories=6).filter("n_live = 1").count()
+    assert loose == 8
+
+
 def test_pages(spark, none):
     model = html.fit(html.labelled_pages(300, 1))
     held = html.labelled_pages(120, 2)
