@@ -11,13 +11,16 @@ at least one half, in page order.
 Labelled pages are a bounded training set: a list of (html, main texts). ``labelled_pages`` writes
 some from invented words over many page layouts; pass others for other sites.
 
-Null and empty pages give the empty text. Broken markup is closed as browsers do in the common cases.
-Repeated rows each return; an empty table gives an empty result; extra columns are not read.
+Null and empty pages give the empty text. Broken markup is closed as browsers do in the common cases. Very long
+and very deep pages take time in proportion to their size; a page's tree is in memory at once. Texts on the edge
+of one half are kept. Repeated rows each return; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -52,6 +55,8 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.names, self.text, self.linked = [-1], ["#root"], [()], [None], [0]
         stack, tags = [0], ["#root"]
+        places: dict[str, list[int]] = {"#root": [0]}  # where in the stack each open tag stands
+        unclosed: set[str] = set()
         held: list[str] = []
         link = linked = at = 0
 
@@ -74,8 +79,20 @@ class Page:
             nonlocal link
             flush()
             link = 0
+            for shut in tags[k:]:
+                places[shut].pop()
             del stack[k:], tags[k:]
 
+        def last(names: set[str] | tuple, before: int) -> int:
+            """Place of the innermost open tag of ``names`` before a place, or -1."""
+            found = -1
+            for x in names:
+                own = places.get(x)
+                if own:
+                    i = bisect.bisect_left(own, before)
+                    found = max(found, own[i - 1] if i else -1)
+            return found
+
         while m := TOKEN.search(source, at):
             if m.start() > at:
                 say(source[at : m.start()])
@@ -90,8 +107,8 @@ class Page:
             if m[1] == "/":
                 if tag == "a":
                     link = 0
-                elif tag not in INLINE and tag in tags:
-                    pop_to(len(tags) - 1 - tags[::-1].index(tag))
+                elif tag not in INLINE and places.get(tag):
+                    pop_to(places[tag][-1])
                 continue
             if tag in INLINE:
                 if tag == "br":
@@ -101,22 +118,22 @@ class Page:
                 continue
             # a block: close what it cannot stand in
             k = len(tags)
-            if "p" in tags:
-                p = len(tags) - 1 - tags[::-1].index("p")
-                if not PARAGRAPH_KEEPS.intersection(tags[p:]):
-                    k = p
+            if places.get("p") and last(PARAGRAPH_KEEPS, k) < places["p"][-1]:
+                k = places["p"][-1]
             if shut := CLOSES.get(tag):
-                stop = BARRIER.get(tag, ())
-                for i in range(k - 1, 0, -1):
-                    if tags[i] in stop:
-                        break
-                    if tags[i] in shut:
-                        k = i
+                stop = last(BARRIER.get(tag, ()), k)
+                for x in shut:
+                    own = places.get(x, [])
+                    i = bisect.bisect_right(own, stop)
+                    if i < len(own):
+                        k = min(k, own[i])
             if k < len(tags):
                 pop_to(k)
             flush()
             if tag in RAW:
-                end = END[tag].search(source, at)
+                end = None if tag in unclosed else END[tag].search(source, at)
+                if not end:
+                    unclosed.add(tag)  # not looked for again
                 if end or tag != "select":
                     at = end.end() if end else len(source)
                 if m[3].rstrip().endswith("/") and tag in ("svg", "math", "iframe", "object"):
@@ -129,6 +146,7 @@ class Page:
                     names += ("#hidden",)
             i = self._add(stack[-1], tag, names, None, 0)
             if tag not in VOID and not (tag in ("svg", "math") and m[3].endswith("/")):
+                places.setdefault(tag, []).append(len(tags))
                 stack.append(i)
                 tags.append(tag)
         if at < len(source):
@@ -163,6 +181,10 @@ def _edge(page: Page, i: int) -> int:
     return 2 * (page.text[i] is not None) + wide
 
 
+def _log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 class Forest:
     """Nodes of several pages as arrays, by depth."""
 
@@ -195,12 +217,20 @@ class Forest:
         belief[:, 1] = np.bincount(self.node, weights[self.feature], self.n)
         message = np.zeros((self.n, 2))
         for own in reversed(self.levels):
+            if len(own) == 1:  # the lone nodes of deep pages: numpy's calls cost more than the sums
+                i = int(own[0])
+                (a, b), (c, d) = pairs[self.edge[i]].tolist()
+                off, on = belief[i].tolist()
+                message[i] = _log_sum(a + off, b + on), _log_sum(c + off, d + on)
+                belief[self.parent[i]] += message[i]
+                continue
             both = pairs[self.edge[own]] + belief[own][:, None, :]
             message[own] = np.logaddexp(both[..., 0], both[..., 1])
-            for state in (0, 1):
-                belief[:, state] += np.bincount(self.parent[own], message[own, state], self.n)
+            np.add.at(belief, self.parent[own], message[own])
         joint = np.zeros((self.n, 2, 2))
         for own in self.levels:
+            if len(own) == 1:
+                own = slice(int(own[0]), int(own[0]) + 1)
             cavity = belief[self.parent[own]] - message[own]
             both = pairs[self.edge[own]] + cavity[:, :, None]
             joint[own] = both + belief[own][:, None, :]

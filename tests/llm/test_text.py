@@ -230,6 +230,22 @@ def test_pages(spark, none):
     assert html.extracted(pages.limit(0)).count() == 0
 
 
+def test_very_deep_pages():
+    import time
+
+    model = html.fit(html.labelled_pages(60, 1), 20)
+    prose = "One two three four five six seven eight nine ten eleven twelve."
+    start = time.process_time()
+    got = model.extract(["<div>" * 200_000 + f"<p>{prose}</p>", "<select><p>x" * 20_000, f"<article><p>{prose}</p></article>", "<ul><li>a" * 50_000, "<p><table>" * 30_000 + prose])
+    assert len(got) == 5 and got[2] == prose and prose in got[0] + got[4]
+    assert time.process_time() - start < 40
+
+
+def test_tags_close_as_before():
+    page = html.Page("<table><tr><td>a<table><tr><td>b<tr><td>c</table><td>d</table><p>e<ul><li>f<li>g<ul><li>h</ul><li>i</ul><dl><dt>j<dd>k<dt>l</dl><p>m<button><p>n</button>o")
+    assert [(t, page.tag[page.parent[i]]) for i, t in enumerate(page.text) if t] == [("a", "td"), ("b", "td"), ("c", "td"), ("d", "td"), ("e", "p"), ("f", "li"), ("g", "li"), ("h", "li"), ("i", "li"), ("j", "dt"), ("k", "dd"), ("l", "dt"), ("m", "p"), ("n", "p"), ("o", "#root")]
+
+
 def test_messages_are_exact():
     import itertools
 
