@@ -10,18 +10,20 @@ the nodes that name it, with their vectors; all pairs of these that hold a new e
 and what beats the worst neighbour of either goes back to it. Rounds end when few edges change.
 
 A query holds a beam of the best nodes seen. In each round the best that are not yet expanded send for
-their neighbours by joins, until a beam has none left or ``hops`` rounds are over. Vectors travel to the
-beams as eight-bit numbers with a scale; the best of a beam are scored again at the end, in double
+their neighbours by joins, until every node of every beam is expanded. Vectors travel as eight-bit numbers
+with a scale, in the descent and to the beams; the best of a beam are scored again at the end, in double
 precision on the vectors given. The graph is approximate, so answers are; scores are exact.
 
-Null and zero vectors, vectors with null or non-finite components, rows with a null id, and vectors
-whose length is not the most frequent one take no part. Rows that repeat an id and vector count once. An
-empty table gives an empty result; extra columns are not read.
+Null and zero vectors, vectors with null or non-finite components and rows with a null id take no part. Vectors
+of different lengths have no inner product: each length is a graph and a search of its own. Rows that repeat an
+id and vector count once. Equal scores come in order of id. An empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ NEIGHBOURS, REVERSE = 28, 20
 TREES, RUN, FIRST = 3, 200, 12
 ROUNDS, SETTLED = 8, 0.01
 SENT = 6  # best new partners of a node in one local join
-BEAM, EXPANDED, HOPS = 192, 64, 5
+BEAM, EXPANDED = 192, 64
 SCORED = 72  # best of a beam that are scored exactly
 CHUNK = 192  # local joins at once
 
@@ -45,8 +47,7 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     rows = table.select(F.col(id_column).cast("bigint").alias("id"), v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(fine)
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (length.n if length else 0))
+    return rows
 
 
 def bytes_kind(table: DataFrame, vector_column: str) -> type:
@@ -71,6 +72,20 @@ def nodes_of(rows: DataFrame, held: int, kind: type = np.float64) -> DataFrame:
     return kept.groupBy("vec").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("members")).select("node", "vec", "members")
 
 
+def _small(x: np.ndarray) -> pa.Array:
+    """Rows as eight-bit numbers with a scale of four bytes behind."""
+    scale = np.maximum(np.abs(x).max(axis=1, initial=0), 1e-30).astype("<f4") / np.float32(127)
+    packed = np.hstack([np.rint(x / scale[:, None]).astype(np.int8).view(np.uint8), scale.view(np.uint8).reshape(-1, 4)]) if len(x) else np.zeros((0, 4), np.uint8)
+    ends = pa.array(np.arange(len(packed) + 1, dtype=np.int32) * packed.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(packed), [None, ends.buffers()[1], pa.py_buffer(packed.tobytes())])
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    """Rows that ``_small`` packed, in single precision."""
+    packed = matrix(column, np.uint8)
+    return packed[:, :-4].view(np.int8).astype(np.float32) * np.ascontiguousarray(packed[:, -4:]).view("<f4") if len(column) else np.zeros((0, 1), np.float32)
+
+
 def _lists(ids: np.ndarray, values: list[np.ndarray], counts: np.ndarray, names: list[str]) -> pa.RecordBatch:
     """One row an id, with lists of ``counts`` values each."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
@@ -98,7 +113,7 @@ def _first_graph(space: DataFrame, n: int, width: int) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1))
+            x = _points(batch.column(1))
             for tree in range(TREES):
                 planes = np.random.default_rng(1000 + tree).standard_normal((x.shape[1], bits + 1)).astype(np.float32)
                 z = x @ planes
@@ -109,7 +124,7 @@ def _first_graph(space: DataFrame, n: int, width: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def out(table: pa.RecordBatch) -> pa.RecordBatch:
-            ids, x = table.column(0).to_numpy(), matrix(table.column(1))
+            ids, x = table.column(0).to_numpy(), _points(table.column(1))
             sims = x @ x.T
             np.fill_diagonal(sims, -np.inf)
             k = min(FIRST, len(ids) - 1)
@@ -184,7 +199,7 @@ def _local_joins(graph: DataFrame, keep: int) -> DataFrame:
         for batch in whole_groups(batches):
             target, member, worst = (batch.column(i).to_numpy() for i in (0, 1, 3))
             fresh = batch.column(4).to_numpy(zero_copy_only=False)
-            vec = matrix(batch.column(2))
+            vec = _points(batch.column(2))
             order = np.lexsort((~fresh, member, target))
             t, m = target[order], member[order]
             order = order[np.concatenate([[True], (t[1:] != t[:-1]) | (m[1:] != m[:-1])])]
@@ -227,7 +242,7 @@ def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUN
             x = matrix(batch.column(1), kind).astype(np.float64)
             more = np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))[:, None] if batch.num_rows else np.zeros((0, 1))
             rows = np.hstack([x, more]).astype(np.float32) / np.float32(most**0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _small(rows)], names=["id", "vec"])
 
     space = written(nodes.select("node", "vec").mapInArrow(lift, "id bigint, vec binary"))
     graph = written(_merged(space, _first_graph(space, n, keep), keep))
@@ -239,7 +254,7 @@ def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUN
     return graph
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFrame, beam: int = BEAM, hops: int = HOPS, kind: type = np.float64) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFrame, beam: int = BEAM, kind: type = np.float64) -> DataFrame:
     """Greedy search: columns query, node, sim (exact) with up to ``SCORED`` nodes a query.
 
     ``queries``: query, qvec (bytes of ``kind``, as the nodes' vec); ``seeds``: query, node to start from, one at least.
@@ -251,11 +266,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFr
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), kind).astype(np.float64)
-            scale = np.abs(x).max(axis=1, initial=1e-300) / 127
-            small = np.rint(x / scale[:, None]).astype(np.int8)
-            packed = np.hstack([small.view(np.uint8), scale.astype("<f8").view(np.uint8).reshape(len(x), 8)]) if len(x) else np.zeros((0, 9), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["nbr", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _small(matrix(batch.column(1), kind).astype(np.float64))], names=["nbr", "vec"])
 
     vectors = written(nodes.select("node", "vec").mapInArrow(shrink, "nbr bigint, vec binary"))
     state_type = "query bigint, qvec binary, held array<bigint>, sims array<double>, done array<boolean>"
@@ -270,8 +281,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFr
             qvec = batch.column(4).take(pa.array(rows))
             at = np.searchsorted(query[rows], query[found])
             nbr = batch.column(2).take(pa.array(found)).to_numpy()
-            packed = matrix(pa.concat_arrays([batch.column(3).take(pa.array(found))]), np.uint8)
-            x = packed[:, :-8].view(np.int8).astype(np.float64) * np.ascontiguousarray(packed[:, -8:]).view("<f8") if len(found) else np.zeros((0, 1))
+            x = _points(pa.concat_arrays([batch.column(3).take(pa.array(found))])).astype(np.float64)
             asked = matrix(pa.concat_arrays([qvec]), kind).astype(np.float64)
             sim = np.einsum("ij,ij->i", x, asked[at]) if len(found) else np.zeros(0)
             lists = [batch.column(i).take(pa.array(rows)) for i in (5, 6, 7)]
@@ -284,12 +294,10 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, seeds: DataFr
             out = _lists(query[rows], [held, sims, done], full, ["query", "held", "sims", "done"])
             yield pa.RecordBatch.from_arrays([out.column(0), qvec, *out.columns[1:]], names=["query", "qvec", "held", "sims", "done"])
 
-    for hop in range(hops + 1):
+    while True:
         scored = wanted.join(vectors, "nbr").select("query", F.lit(1).alias("kind"), "nbr", "vec", F.lit(None).cast("binary").alias("qvec"), none("bigint").alias("held"), none("double").alias("sims"), none("boolean").alias("done"))
         rows = state.select("query", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("nbr"), F.lit(None).cast("binary").alias("vec"), "qvec", "held", "sims", "done")
         state = written(rows.union(scored).repartition("query").sortWithinPartitions("query").mapInArrow(step, state_type))
-        if hop == hops:
-            break
         # the best nodes that are not expanded yet send for their neighbours
         open_ = F.slice(F.filter(F.arrays_zip("held", "done"), lambda x: ~x["done"]), 1, EXPANDED)
         front = written(state.select("query", F.explode(open_).alias("o")).select("query", F.col("o.held").alias("node")))
@@ -318,6 +326,13 @@ def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     """
     rows = written(usable(table, id_column, vector_column))
     kind = bytes_kind(table, vector_column)
+    lengths = [r.n for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    found = [_nearest_of(rows.filter(F.size("v") == n) if len(lengths) > 1 else rows, kind, every, k) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_of(rows: DataFrame, kind: type, every: int, k: int) -> DataFrame:
+    """``nearest`` among ``rows`` (id, v) of one length."""
     nodes = written(nodes_of(rows, k + 1, kind))
     graph = neighbour_graph(nodes.select("node", "vec"), kind=kind)
 

@@ -6,11 +6,12 @@ IPC file whose record batches hold two fixed-size lists of ``width`` values a ro
 plain arithmetic, and a memory-mapped batch gives its values without a copy. A second small file has
 the documents of the shard with their first position and length.
 
-Shards are range partitions by doc_id, sorted by (doc_id, text), so they follow each other in order.
+Shards are range partitions by doc_id, sorted, so they follow each other in order; rows of one doc_id come in
+order of a hash of their text.
 A shard is written under a name of its own and renamed when whole; a task that runs again
 writes the same bytes. Files go to the shared folder through ``pyarrow.fs``.
 
-Null and empty texts have the end id alone. Rows with a null doc_id come first. Repeated rows are
+Null and empty texts have the end id alone; very long texts run over as many rows as they need. Rows with a null doc_id come first. Repeated rows are
 written each. An empty table gives an empty result; extra columns are not read.
 """
 
@@ -151,8 +152,11 @@ def write_shards(documents: DataFrame, folder: str, encode: Callable[[], Callabl
         if shard:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int64()), "name": [shard.close()], "n_docs": pa.array([len(shard.docs)], pa.int64()), "n_tokens": pa.array([shard.total], pa.int64())})
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard bigint, name string, n_docs bigint, n_tokens bigint")
+    # ties of ids by a hash of the text and the row's place, so that no id is bound to one task
+    order = ["doc_id", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place")]
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select(*order, "text")
+    keys = ["doc_id", "mark", "place"]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(write, "shard bigint, name string, n_docs bigint, n_tokens bigint")
 
 
 def read_documents(shards: DataFrame, folder: str) -> DataFrame:

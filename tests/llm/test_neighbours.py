@@ -116,7 +116,7 @@ def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((700, 16)).astype(np.float32)
     x[50:110] = x[40]
-    rows = [(i, v.tolist(), 1, 2.0) for i, v in enumerate(x)] + [(2000, None, 1, 1.0), (2020, [0.0] * 16, 1, 1.0), (2040, [float("nan")] * 16, 1, 1.0), (2060, [1.0, None] * 8, 1, 1.0), (None, [1.0] * 16, 1, 1.0), (2080, [1.0] * 5, 1, 1.0)]
+    rows = [(i, v.tolist(), 1, 2.0) for i, v in enumerate(x)] + [(2000, None, 1, 1.0), (2020, [0.0] * 16, 1, 1.0), (2040, [float("nan")] * 16, 1, 1.0), (2060, [1.0, None] * 8, 1, 1.0), (None, [1.0] * 16, 1, 1.0), (2080, [1.0] * 5, 1, 1.0), (2081, [2.0] * 5, 1, 1.0)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id int, sim double")
     got = {}
     for r in ann.nearest(table).collect():
@@ -132,6 +132,7 @@ def test_nearest(spark):
         if q in (40, 60, 80, 100):
             assert own == [i for i in [40, *range(50, 110)] if i != q][:20]
         found.append(len(set(own) & set(want.tolist())) / 20)
+    assert got.pop(2080) == {1: (2081, 10.0)}  # among vectors of its own length
     assert len(got) == 35 and np.mean(found) > 0.95
 
 
