@@ -8,26 +8,29 @@ of the two before; the second also hashes the class. A shared unit's words follo
 absolute discount, whose mass goes to the unknown word of that unit, so that probabilities sum to one
 over known words and one unknown word a unit.
 
-Training is one pass over all training documents in ``ROUNDS`` rounds of disjoint documents: each task
-starts from the broadcast weights, makes AdaGrad steps in numpy batches and returns what it changed, by
-blocks of rows; Spark averages a row's changes by how often each task used it. Weights have a fixed
-size, whatever the corpus.
+Training is one pass over all training documents in rounds of disjoint documents (``rounds_of``: more for larger
+corpora, at no more work): each task starts from the broadcast weights, makes AdaGrad steps in numpy batches and
+returns what it changed, by blocks of rows; Spark averages a row's changes by how often each task used it, with
+many tasks in two steps. The weights, which each task broadcasts and sends back, have a fixed size; scores depend a
+little on how rows are dealt to tasks, as tasks learn apart.
 
 Counts cover all training tokens: words are 64-bit hashes, counted in numpy within a task and summed by
 Spark. Scores need every token's count, so frequent words (a fixed number) are broadcast and the rest
 of the tokens are joined with the counts.
 
-Null and empty texts have the end token alone. A null doc_id is a training document. Repeated rows each
+Null and empty texts have the end token alone; very long texts are read in segments. A null doc_id is a training document. Repeated rows each
 count and each return. Without training documents the base and the score of a token are those of one
 unknown word (0). Empty tables give empty results; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ ALONE = 160  # words with a unit of their own
 SLOTS = 1 << 18  # of the table of frequent words
 ROWS = (1 << 15, 1 << 16)  # of the weights of classes and of units
 BLOCK = 256  # rows of weights that travel together
-ROUNDS = 2
+ROUNDS, ROUND_TOKENS = 2, 1 << 29  # rounds, and the tokens from which fourfold ones have one more
+GROUPED = 64  # parts that changes of more than four times as many tasks are merged in first
 STEP = 4096  # tokens of a gradient step
 RATE = 0.15
 DISCOUNT = 0.6
@@ -242,9 +246,9 @@ def _train(documents: DataFrame, vocabulary, start: tuple) -> DataFrame:  # noqa
             blocks = [(b, change[b : b + BLOCK].tobytes(), uses[level][b : b + BLOCK].tobytes()) for b in range(0, len(change), BLOCK) if uses[level][b : b + BLOCK].any()]
             if blocks:
                 at, changes, used = zip(*blocks)
-                yield pa.RecordBatch.from_arrays([pa.array([level] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(changes, pa.binary()), pa.array(used, pa.binary())], names=["level", "block", "change", "uses"])
+                yield pa.RecordBatch.from_arrays([pa.array([level] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([TaskContext.get().partitionId() % GROUPED] * len(at), pa.int32()), pa.array(changes, pa.binary()), pa.array(used, pa.binary())], names=["level", "block", "part", "change", "uses"])
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(train, "level int, block int, change binary, uses binary")
+    return documents.select(F.col("text").cast("string")).mapInArrow(train, "level int, block int, part int, change binary, uses binary")
 
 
 def _averaged(changes: DataFrame) -> DataFrame:
@@ -257,23 +261,31 @@ def _averaged(changes: DataFrame) -> DataFrame:
                 n = np.frombuffer(used, np.float32).astype(np.float64)
                 x = np.frombuffer(change, np.float16).reshape(len(n), -1) * n[:, None]
                 total, uses = (x, n) if total is None else (total + x, uses + n)
-        mean = (total / np.maximum(uses, 1)[:, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([mean.tobytes()], pa.binary())], names=["level", "block", "mean"])
+        mean = total / np.maximum(uses, 1)[:, None]
+        names = ["level", "block", "part"][: len(key)]
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), pa.array([mean.astype(np.float16).tobytes()], pa.binary()), pa.array([uses.astype(np.float32).tobytes()], pa.binary())], names=[*names, "change", "uses"])
 
-    return changes.groupBy("level", "block").applyInArrow(merge, "level int, block int, mean binary")
+    if changes.rdd.getNumPartitions() > 4 * GROUPED:
+        changes = changes.groupBy("level", "block", "part").applyInArrow(merge, "level int, block int, part int, change binary, uses binary")
+    return changes.groupBy("level", "block").applyInArrow(merge, "level int, block int, change binary, uses binary")
 
 
-def trained(documents: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
+def rounds_of(tokens: int) -> int:
+    return ROUNDS + max(0, math.ceil(math.log(max(1, tokens) / ROUND_TOKENS, 4)))
+
+
+def trained(documents: DataFrame, voc: Vocabulary, rounds: int | None = None) -> MaxEnt:
     """A model from one pass over ``documents`` in rounds of disjoint rows."""
+    rounds = rounds or rounds_of(voc.tokens)
     context = documents.sparkSession.sparkContext
     model, shared = MaxEnt(voc), context.broadcast(voc)
     for k in range(rounds):
         part = documents.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
         start = context.broadcast((model.bias, model.weights))
         # at most one row for each block of the weights
-        for level, block, mean in _averaged(_train(part, shared, start)).collect():
+        for level, block, mean, _ in _averaged(_train(part, shared, start)).collect():
             weights = model.weights[level]
-            weights[block : block + BLOCK] += np.frombuffer(bytes(mean), np.float32).reshape(-1, weights.shape[1])
+            weights[block : block + BLOCK] += np.frombuffer(bytes(mean), np.float16).astype(np.float32).reshape(-1, weights.shape[1])
         start.unpersist()
     return model
 

@@ -68,6 +68,23 @@ def test_lm_is_a_distribution():
     assert total == pytest.approx(np.ones(50), abs=1e-4)
 
 
+def test_changes_of_many_tasks(spark, monkeypatch):
+    """Two steps give the mean of one; rounds grow with the corpus."""
+    rng = np.random.default_rng(1)
+    rows = [(0, 256 * int(b), int(k % 4), rng.standard_normal((256, 16)).astype(np.float16).tobytes(), rng.integers(0, 5, 256).astype(np.float32).tobytes()) for k in range(20) for b in (0, 1)]
+    table = spark.createDataFrame(rows, "level int, block int, part int, change binary, uses binary").repartition(20)
+    one = {r.block: np.frombuffer(r.change, np.float16).astype(float) for r in lm._averaged(table).collect()}
+    monkeypatch.setattr(lm, "GROUPED", 4)
+    two = {r.block: np.frombuffer(r.change, np.float16).astype(float) for r in lm._averaged(table).collect()}
+    for b in (0, 256):
+        own = [r for r in rows if r[1] == b]
+        n = np.array([np.frombuffer(r[4], np.float32) for r in own])
+        x = np.array([np.frombuffer(r[3], np.float16).reshape(256, 16) for r in own])
+        want = (x * n[:, :, None]).sum(axis=0) / np.maximum(n.sum(axis=0), 1)[:, None]
+        assert one[b] == pytest.approx(want.ravel(), abs=2e-3) and two[b] == pytest.approx(want.ravel(), abs=4e-3)
+    assert lm.rounds_of(10**6) == 2 and lm.rounds_of(2 * 10**13) > 8
+
+
 def test_lm_odd(odd, odd_rows, none):
     got = lm.scored(odd).collect()
     assert len(got) == len(odd_rows) and all(np.isfinite([r.base_score, r.score]).all() for r in got)
