@@ -147,21 +147,21 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return reduce(or_, (text.rlike(f"(?i){p}") for p in patterns))
 
 
-def clickbait(title: Column) -> Column:
-    return any_of(title, CLICKBAIT)
+def clickbait(title: Column, patterns: list[str] = CLICKBAIT) -> Column:
+    return any_of(title, patterns)
 
 
-def paywalled(text: Column) -> Column:
-    return any_of(text, PAYWALL)
+def paywalled(text: Column, patterns: list[str] = PAYWALL) -> Column:
+    return any_of(text, patterns)
 
 
-def importance(text: Column) -> Column:
+def importance(text: Column, high_impact: list[tuple[str, float]] = HIGH_IMPACT, low_impact: str = LOW_IMPACT) -> Column:
     """C4: one half, plus the first high pattern, minus the low one, within 0.1 and 1."""
     high = None
-    for pattern, boost in HIGH_IMPACT:
+    for pattern, boost in high_impact:
         p = text.rlike(f"(?i){pattern}")
         high = F.when(p, boost) if high is None else high.when(p, boost)
-    low = F.when(text.rlike(f"(?i){LOW_IMPACT}"), -0.20).otherwise(0.0)
+    low = F.when(text.rlike(f"(?i){low_impact}"), -0.20).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.10), F.least(F.lit(1.0), F.lit(0.5) + high.otherwise(0.0) + low)), 3)
 
 

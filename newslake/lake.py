@@ -3,18 +3,56 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []  # folders written within each open scope
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new name below ``spark.checkpoint.dir``; a local folder stands in only where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/newslake-{uuid.uuid4().hex}"
+    """A new name below ``spark.checkpoint.dir``; a local folder stands in only on a local master that has none set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/newslake-{uuid.uuid4().hex}"
+    for held in _open:
+        held.append(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends, lost executors cost nothing."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Remove what ``written`` wrote for ``tables``, which nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            removed(df.sparkSession, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end every scratch folder that was named within; results must be stored elsewhere by then."""
+    held: list[str] = []
+    _open.append(held)
+    try:
+        yield
+    finally:
+        _open.remove(held)
+        for path in held:
+            removed(spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslake.lake import written
+from newslake.lake import forgotten, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = written(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
-        joined = large.join(low, "a")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        edges = written(small.filter("a <> b").distinct())
+        old, edges = edges, written(small.filter("a <> b").distinct())
+        forgotten(old, low, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

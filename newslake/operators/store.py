@@ -1,13 +1,15 @@
 """Tables with upserts, cascades, retention and erasure (K1-K9).
 
 Parquet has no MERGE, so a change of a table is a new version of it: the union of what is there and
-what comes, one row a key. Callers write it with ``replaced``, which swaps the folders only once the new
-one is whole.
+what comes, one row a key. Callers write it with ``replaced``, which points to the new folder only once it
+is whole, and read it with ``current``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,16 +47,31 @@ def exported(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias("json"))
 
 
-def replaced(rows: DataFrame, path: str) -> None:
-    """Write ``rows`` beside ``path`` and swap: readers see the old table or the new one."""
+def replaced(rows: DataFrame, path: str, kept: int = 2) -> None:
+    """Make ``rows`` the table at ``path``: a new version in a folder of its own, then one rename of the pointer to it.
+
+    Readers (``current``) see the old table or the new one, and a crash at any point leaves one of them. The
+    last ``kept`` versions stay for those that still read them.
+    """
     spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = f"{path}.new", f"{path}.old"
-    rows.write.mode("overwrite").parquet(new)
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at(old), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(new), at(path))
-    fs.delete(at(old), True)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join((path, *p)))
+    fs = at().getFileSystem(conf)
+    name = f"v-{jvm.java.lang.System.currentTimeMillis():015d}-{uuid.uuid4().hex[:8]}"
+    rows.write.parquet(f"{path}/{name}")
+    new = at(f"new-{name}")
+    out = fs.create(new, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(at("CURRENT")), overwrite)
+    versions = sorted(x.getPath().getName() for x in fs.listStatus(at()) if x.getPath().getName().startswith("v-"))
+    for old in versions[: -kept]:
+        if old != name:
+            fs.delete(at(old), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``replaced`` last made at ``path``."""
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")

@@ -28,16 +28,24 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def available(stream: DataFrame, mode: str, schema: str | None = None, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run ``stream`` over all there is into a table of the shared folder, and read that."""
+    """Run ``stream`` over all there is into a table of the shared folder, and read that.
+
+    A batch has a folder of its own, which a batch that runs again overwrites: each row is there once.
+    """
     spark = stream.sparkSession
     out, state = scratch_dir(spark), scratch_dir(spark)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink or batch_writer(out, mode)).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def batch_writer(out: str, mode: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch to a folder of its number below ``out``; with complete output all batches share one."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else f'batch-{number:012d}'}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink or write).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return write
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "48 hours") -> DataFrame:

@@ -143,6 +143,6 @@ def test_store(spark, tmp_path):
     assert sorted((r.k, r.v) for r in store.upserted(old, new, ["k"], "t").collect()) == [(1, "a"), (2, "c"), (3, "e")]
     path = f"{tmp_path}/t"
     store.replaced(old, path)
-    store.replaced(store.upserted(spark.read.parquet(path), new, ["k"], "t"), path)
-    assert spark.read.parquet(path).count() == 3
+    store.replaced(store.upserted(store.current(spark, path), new, ["k"], "t"), path)
+    assert store.current(spark, path).count() == 3
     assert store.inserted_or_ignored(old, new.filter("v <> 'e'"), ["k"]).count() == 3
