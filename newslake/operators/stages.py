@@ -123,7 +123,7 @@ def breaking_gate(published: Column, scraped: Column, now: Column) -> dict[str,
 
 def legacy_verdict(title: Column, body: Column, age_hours: Column, words: list[str], max_age_hours: float = 48.0) -> Column:
     """First failing rule of spam, low quality, off topic, stale; else passed."""
-    low = F.lower(F.concat_ws(" ", title, F.substring(body, 1, 2000)))
+    low = F.lower(F.concat_ws(" ", title, body))
     spam = T.clickbait(title) | title.rlike(r"(?i)\b(casino|viagra|lottery|free money)\b")
     return F.when(spam, "spam").when((F.length(title) < 15) | (T.word_count(body) < 20), "low_quality").when(F.size(T.matched(low, words)) == 0, "not_tech").when(age_hours > max_age_hours, "stale").otherwise("passed")
 

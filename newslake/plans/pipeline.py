@@ -94,7 +94,7 @@ def p5_breaking_gate(spark, sf_dir):
 
 _WORDS = sorted(CORPUS_TAXONOMY["alpha"] + CORPUS_TAXONOMY["beta"])
 _SPAM = f"({_ANY('title', CLICKBAIT)} OR regexp_matches(title, {q(r'(?i)' + chr(92) + 'b(casino|viagra|lottery|free money)' + chr(92) + 'b')}))"
-_TECH = " OR ".join(S.has("lower(title || ' ' || substring(clean_text, 1, 2000))", w) for w in _WORDS)
+_TECH = " OR ".join(S.has("lower(title || ' ' || clean_text)", w) for w in _WORDS)
 
 
 @query(f"WITH {S.ARTICLES}, v AS (SELECT CASE WHEN {_SPAM} THEN 'spam' WHEN length(title) < 15 OR {S.word_count('clean_text')} < 20 THEN 'low_quality' WHEN NOT ({_TECH}) THEN 'not_tech' WHEN {S.minutes('discovered_at', q('2024-01-03') + '::TIMESTAMP')} / 60 > 40 THEN 'stale' ELSE 'passed' END AS reason FROM art) SELECT reason, count(*) AS n FROM v GROUP BY reason")

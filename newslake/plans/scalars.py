@@ -73,11 +73,11 @@ def f7_shingles(spark, sf_dir):
     return articles(spark, sf_dir).select("doc_id", F.size(T.shingles(F.col("title"))).cast("bigint").alias("n_shingles"), F.size(T.word_runs(F.col("title"))).cast("bigint").alias("n_runs"))
 
 
-@query(rf"""WITH {S.ARTICLES}, p AS (SELECT a.doc_id, regexp_replace(substring(a.title, 1, 60), '[^ -~]', '', 'g') AS a, regexp_replace(substring(b.title, 1, 60), '[^ -~]', '', 'g') AS b FROM art a JOIN art b ON b.doc_id = a.doc_id + 1),
+@query(rf"""WITH {S.ARTICLES}, p AS (SELECT a.doc_id, regexp_replace(a.title, '[^ -~]', '', 'g') AS a, regexp_replace(b.title, '[^ -~]', '', 'g') AS b FROM art a JOIN art b ON b.doc_id = a.doc_id + 1),
 r AS (SELECT doc_id, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS e FROM p) SELECT doc_id, round(e, 6) AS ratio FROM r""")
 def f8_edit_ratio(spark, sf_dir):
     """Over ASCII characters, as DuckDB counts edits in bytes."""
-    a = articles(spark, sf_dir).select("doc_id", F.regexp_replace(F.substring("title", 1, 60), "[^ -~]", "").alias("a"))
+    a = articles(spark, sf_dir).select("doc_id", F.regexp_replace("title", "[^ -~]", "").alias("a"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return a.join(b, "doc_id").select("doc_id", F.round(T.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
@@ -333,5 +333,5 @@ def m3_arrays(spark, sf_dir):
 
 @query(f"WITH {S.ARTICLES} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0.75 WHEN doc_id % 4 = 1 THEN 0.7 WHEN doc_id % 4 = 2 THEN 0.3 ELSE 0.65 END AS importance FROM art")
 def c4_importance(spark, sf_dir):
-    made = F.concat_ws(" ", F.when(F.col("doc_id") % 4 == 0, "zero-day in").when(F.col("doc_id") % 4 == 1, "merger of").when(F.col("doc_id") % 4 == 2, "how to").otherwise("data breach at"), "title")
+    made = F.concat_ws(" ", F.when(F.col("doc_id") % 4 == 0, "backdoor in").when(F.col("doc_id") % 4 == 1, "takeover of").when(F.col("doc_id") % 4 == 2, "changelog of").otherwise("outage at"), "title")
     return articles(spark, sf_dir).select("doc_id", T.importance(made).alias("importance"))

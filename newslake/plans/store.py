@@ -52,20 +52,13 @@ def k5_erasure(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("SELECT user_id, '[' || string_agg('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}', ',' ORDER BY event_id) || ']' AS json FROM events WHERE user_id % 10 = 3 GROUP BY user_id")
+@query("SELECT user_id, '[' || string_agg('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}', ',' ORDER BY event_id) || ']' AS json FROM events GROUP BY user_id")
 def k5_export(spark, sf_dir):
-    return K.exported(table(spark, sf_dir, "events").filter("user_id % 10 = 3").select("user_id", "event_id", "event_type"), "user_id")
-
-
-@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
-def k8_insert_or_ignore(spark, sf_dir):
-    """K8, K9."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return K.inserted_or_ignored(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0"), ["doc_id"]).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+    return K.exported(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM documents WHERE doc_id % 2 <> 0 OR doc_id % 3 = 0)")
-def k8_insert_or_ignore_whole(spark, sf_dir):
+def k8_insert_or_ignore(spark, sf_dir):
     """K8, K9 over every document: odd ids are new, some of the even ones are there already."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return K.inserted_or_ignored(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 <> 0 OR doc_id % 3 = 0"), ["doc_id"]).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))

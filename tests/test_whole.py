@@ -12,19 +12,19 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name, key, source, column", [("s1_rss", "feed_id", "pages", "page_id"), ("s5_releases", "repo", "pages", "'repo' || page_id"), ("s12_sitemap", "map_id", "pages", "page_id"), ("j3_hydration", "o_orderkey", "orders", "o_orderkey")])
 def test_every_id(spark, name, key, source, column):
-    got = queries()[f"{name}_whole"](spark, SF)
+    got = queries()[name](spark, SF)
     want = spark.read.parquet(f"{SF}/{source}.parquet").selectExpr(f"{column} AS {key}")
     assert want.subtract(got.select(key)).isEmpty() and got.select(key).distinct().count() == want.distinct().count()
 
 
 def test_every_input_row(spark):
     pages, documents = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
-    assert queries()["s8_aggregation_whole"](spark, SF).count() == pages.select("url").distinct().count()
-    assert queries()["k8_insert_or_ignore_whole"](spark, SF).first()["ids"] == documents.select("doc_id").distinct().count()
+    assert queries()["s8_aggregation"](spark, SF).count() == pages.select("url").distinct().count()
+    assert queries()["k8_insert_or_ignore"](spark, SF).first()["ids"] == documents.select("doc_id").distinct().count()
 
 
 def test_addresses_with_references(spark):
-    got = {r.url for r in queries()["s12_sitemap_whole"](spark, SF).filter("kind = 'page'").collect()}
+    got = {r.url for r in queries()["s12_sitemap"](spark, SF).filter("kind = 'page'").collect()}
     assert got == {r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
 
 
