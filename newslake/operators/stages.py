@@ -6,11 +6,15 @@ that one chain of projections reports on all rows. ``now`` is always given.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add, or_
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newslake.functions import dates as D
 from newslake.functions import text as T
@@ -137,3 +141,42 @@ def valid_content(text: Column) -> Column:
     """400 characters at least; words of a paywall only in texts of 5000 and more."""
     n = F.length(F.coalesce(text, F.lit("")))
     return (n >= 400) & ((n >= 5000) | ~T.paywalled(text))
+
+
+def gate(title: Column, body: Column, age_hours: Column, max_age_hours: float = 48.0, strict: bool = False) -> Column:
+    """OK or a reason code; the strict gate asks for longer titles and texts."""
+    n = T.word_count(body)
+    standard = F.when(F.length(title) < 15, "TITLE_TOO_SHORT").when(n < 20, "TOO_FEW_WORDS").when(age_hours > max_age_hours, "TOO_OLD")
+    return (standard.when(F.length(title) < 30, "TITLE_TOO_SHORT").when(n < 60, "TOO_FEW_WORDS") if strict else standard).otherwise("OK")
+
+
+def is_breaking(freshness: Column, confidence: Column, importance: Column) -> Column:
+    """C7."""
+    return (freshness == "breaking") & (confidence >= 0.70) & (importance >= 0.60)
+
+
+def published(rows: DataFrame, mode: str) -> DataFrame:
+    """Column published by the run's mode: shadow and legacy runs publish nothing, active ones what passed."""
+    if mode not in ("shadow", "active", "legacy"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return rows.withColumn("published", F.col("passed") & F.lit(mode == "active"))
+
+
+def enriched(rows: DataFrame, analyst: Callable[[Any], str | None], fallback: Column) -> DataFrame:
+    """Stage 9: columns note and status by a pluggable ``analyst`` of a row; its failures and empty answers take ``fallback``.
+
+    Rows go through in Arrow batches. The analyst brings its own time limit and raises when it is over.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            notes = []
+            for row in batch.itertuples(index=False):
+                try:
+                    notes.append(analyst(row) or None)
+                except Exception:  # an analyst of someone else's: any failure of it is a fallback
+                    notes.append(None)
+            yield batch.assign(_note=notes)
+
+    told = rows.withColumn("_fallback", fallback).mapInPandas(run, StructType([*rows.schema.fields, StructField("_fallback", StringType()), StructField("_note", StringType())]))
+    return told.select(*rows.columns, F.coalesce("_note", "_fallback").alias("note"), F.when(F.col("_note").isNull(), "fallback").otherwise("enriched").alias("status"))

@@ -8,6 +8,7 @@ is whole, and read it with ``current``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,3 +76,20 @@ def replaced(rows: DataFrame, path: str, kept: int = 2) -> None:
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table that ``replaced`` last made at ``path``."""
     return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
+
+
+def user_state(actions: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """K7: of actions (user_id, item, event_type, ts, event_id) each user's history, bookmarks and preference.
+
+    A view adds to the history once an item; a click sets and an error clears a bookmark, the last one counts; a
+    signup states the preferred item, the last one counts. ``keep`` stores the aggregates that are joined.
+    """
+    when = F.struct("ts", "event_id")
+    kind = lambda *names: actions.filter(F.col("event_type").isin(*names))
+    read = kind("view").select("user_id", "item").distinct().groupBy("user_id").agg(F.count("*").alias("read"))
+    marks = kind("click", "error").groupBy("user_id", "item").agg(F.max_by("event_type", when).alias("last"))
+    marks = marks.groupBy("user_id").agg(F.count_if(F.col("last") == "click").alias("bookmarks"))
+    wish = kind("signup").groupBy("user_id").agg(F.max_by("item", when).alias("preferred"))
+    users = actions.select("user_id").distinct()
+    out = users.join(keep(read), "user_id", "left").join(keep(marks), "user_id", "left").join(keep(wish), "user_id", "left")
+    return out.select("user_id", F.coalesce("read", F.lit(0)).alias("read"), F.coalesce("bookmarks", F.lit(0)).alias("bookmarks"), "preferred")

@@ -168,7 +168,7 @@ def r12_stream_windows(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def r1_stream_dedup(spark, sf_dir):
     keys = ["user_id", "event_type"]
-    return jobs.available(jobs.idempotent(jobs.file_stream(spark, sf_dir, "events").select("user_id", "event_type", "ts"), keys), "append").select(*keys).distinct()
+    return jobs.available(jobs.idempotent(jobs.file_stream(spark, sf_dir, "events").select("user_id", "event_type", "ts"), keys, "60 days"), "append").select(*keys)
 
 
 @query()

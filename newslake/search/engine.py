@@ -172,3 +172,12 @@ def analyzed(query: str, vocabulary: list[str], synonyms: dict[str, list[str]],
     score = round(sum(t in vocabulary for t in terms) / max(1, len(terms)), 3)
     ok = intent != "search" or score >= least
     return Analysis(q, intent, terms, score, ok, "" if ok else "NOT_TECH")
+
+
+def sanitized(query: Column) -> Column:
+    """F10 as a column: quoted phrases, then the other words as prefixes; operators and signs are dropped."""
+    phrases = F.filter(F.transform(F.regexp_extract_all(query, F.lit('"([^"]+)"'), F.lit(1)), lambda p: F.lower(F.trim(p))), lambda p: p.rlike(T.WORD))
+    rest = F.regexp_replace(query, '"[^"]*"?', " ")
+    words = F.filter(F.regexp_extract_all(rest, F.lit(f"({T.WORD})"), F.lit(1)), lambda w: ~w.isin("AND", "OR", "NOT", "NEAR"))
+    quoted = F.transform(phrases, lambda p: F.concat(F.lit('"'), p, F.lit('"')))
+    return F.array_join(F.concat(quoted, F.transform(words, lambda w: F.concat(F.lit('"'), F.lower(w), F.lit('"*')))), " ")

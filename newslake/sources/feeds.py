@@ -85,3 +85,34 @@ def telemetry(spark: SparkSession, path: str) -> DataFrame:
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """The JSON registry of sources in order of tier and name."""
     return spark.read.schema("id string, name string, url string, tier int, kind string").json(path).orderBy("tier", "name")
+
+
+def corporate_entries(feeds: DataFrame, now: Column) -> DataFrame:
+    """S3: a company's feed: as S1, of the first tier and primary."""
+    return feed_entries(feeds, now).withColumns({"source_tier": F.lit(1), "is_primary": F.lit(True)})
+
+
+#: Fields of the interfaces' records.
+RECORDS = {
+    "newsapi": "title string, url string, description string, publishedAt string, source struct<name:string>",
+    "duckduckgo": "title string, href string, body string",
+    "x": "text string, id string, author struct<username:string>",
+}
+
+
+def adapted(rows: DataFrame, kind: str) -> DataFrame:
+    """Title, url and source of records of an interface in a JSON column, beside the other columns."""
+    j = lambda path: F.col(f"j.{path}")
+    shapes = {
+        "newsapi": (j("title"), j("url"), F.coalesce(j("source.name"), F.lit("NewsAPI"))),
+        "duckduckgo": (j("title"), j("href"), F.lit("DuckDuckGo")),
+        "x": (F.substring_index(j("text"), "\n", 1), j("id"), F.concat(F.lit("@"), j("author.username"))),
+    }
+    parsed = rows.withColumn("j", F.from_json("json", RECORDS[kind]))
+    title, url, source = shapes[kind]
+    return parsed.select(*(c for c in rows.columns if c != "json"), title.alias("title"), url.alias("url"), source.alias("source"))
+
+
+def database(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32) -> DataFrame:
+    """A table over JDBC, read in ``parts`` ranges of ``key``; needs a driver on the class path."""
+    return spark.read.jdbc(url, name, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
