@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,10 +14,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from newslake.functions import text as T
 from newslake.functions.arrays import groups_of, mix64
-from newslake.lake import written
+from newslake.lake import forgotten, written
 from newslake.operators.graph import components
 
 
@@ -54,16 +59,65 @@ def greedy(rows: DataFrame, id_column: str = "id", title_column: str = "title",
     own = written(classes(rows, id_column, title_column, members))
     heads = own.filter((F.col("id") == F.col("class")) & (F.size("set") > 0))
     edges = written(similar_pairs(heads.select("id", "set"), threshold))
+    return greedy_of(own.select("id", "class"), heads.select("id"), edges)
+
+
+def settled(heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """Columns node, ok: in order of node, each of ``heads`` (id) is accepted unless an accepted earlier one has an edge to it.
+
+    ``edges`` has a, b with a < b. Rounds settle what has no open earlier neighbour.
+    """
     state = written(heads.select(F.col("id").alias("node"), F.lit(None).cast("boolean").alias("ok")))
     while True:
         a = state.select(F.col("node").alias("a"), F.col("ok").alias("a_ok"))
         seen = edges.join(a, "a").groupBy("b").agg(F.max(F.coalesce("a_ok", F.lit(False))).alias("hit"), F.max(F.col("a_ok").isNull()).alias("open"))
         judged = state.join(seen, F.col("node") == F.col("b"), "left")
         new = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        state = written(judged.select("node", new.alias("ok")))
+        old, state = state, written(judged.select("node", new.alias("ok")))
+        forgotten(old)
+        if state.filter("ok IS NULL").isEmpty():
+            return state
+
+
+@dataclass(frozen=True)
+class Tier:
+    """Rows (id, class) and the pairs (a, b) of classes that are alike; rows of one class are alike too."""
+
+    own: DataFrame
+    pairs: DataFrame | None = None
+
+    def nearest(self, state: DataFrame) -> DataFrame:
+        """id, first_ok and first_open of each row: the smallest accepted and open rows alike to it, by classes alone."""
+        held = self.own.join(state, F.col("id") == F.col("node"))
+        firsts = written(held.groupBy("class").agg(F.min(F.when(F.col("ok"), F.col("id"))).alias("first_ok"), F.min(F.when(F.col("ok").isNull(), F.col("id"))).alias("first_open")))
+        near = firsts
+        if self.pairs is not None:
+            both = self.pairs.select("a", "b").union(self.pairs.select("b", "a"))
+            across = both.join(firsts, F.col("a") == F.col("class")).select(F.col("b").alias("class"), "first_ok", "first_open")
+            near = written(firsts.union(across).groupBy("class").agg(F.min("first_ok").alias("first_ok"), F.min("first_open").alias("first_open")))
+        return self.own.join(near, "class").select("id", "first_ok", "first_open")
+
+
+def settled_by(rows: DataFrame, tiers: list[Tier]) -> DataFrame:
+    """``settled`` where rows are alike by any of ``tiers``: classes are aggregates, so a frequent class makes no pairs."""
+    state = written(rows.select(F.col("id").alias("node"), F.lit(None).cast("boolean").alias("ok")))
+    while True:
+        seen = reduce(DataFrame.unionByName, (t.nearest(state) for t in tiers)).groupBy("id").agg(F.min("first_ok").alias("first_ok"), F.min("first_open").alias("first_open"))
+        judged = state.join(seen, F.col("node") == F.col("id"), "left")
+        earlier = lambda c: F.coalesce(F.col(c) < F.col("node"), F.lit(False))
+        new = F.when(F.col("ok").isNotNull(), F.col("ok")).when(earlier("first_ok"), F.lit(False)).when(~earlier("first_open"), F.lit(True))
+        old, state = state, written(judged.select("node", new.alias("ok")))
+        forgotten(old)
         if state.filter("ok IS NULL").isEmpty():
-            break
-    ok = state.filter("ok").select("node")
+            return state
+
+
+def greedy_of(own: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """``greedy`` for any likeness: ``own`` has id and class (its smallest id), ``heads`` the classes that may have edges.
+
+    Rows of a class decide together and are like their head; ``edges`` has a, b and sim between heads.
+    """
+    ok = settled(heads.select("id"), edges).filter("ok").select("node")
     # accepted earlier neighbours of a class, its own head among them
     near = edges.select(F.col("b").alias("class"), F.col("a").alias("other"), "sim").union(edges.select(F.col("a").alias("class"), F.col("b").alias("other"), "sim"))
     near = near.union(heads.select(F.col("id").alias("class"), F.col("id").alias("other"), F.lit(1.0).alias("sim")))
@@ -72,6 +126,97 @@ def greedy(rows: DataFrame, id_column: str = "id", title_column: str = "title",
     return own.select("id").join(best, "id", "left").select("id", F.col("m").isNull().alias("accepted"), F.col("m.other").alias("matched_id"), F.round("m.sim", 6).alias("similarity"))
 
 
+def ratio_pairs(rows: DataFrame, threshold: float, length_share: float = 1.0) -> DataFrame:
+    """Pairs (a, b, sim), a < b, of distinct titles (id, title) whose matching-block ratio exceeds ``threshold``.
+
+    The ratio is 2 m / s for m characters in matching blocks and s in both titles. Above the threshold fewer than
+    (1 - t) s characters are unmatched, which part the m into at most one block more; a block of n characters has n - 2
+    trigrams. So two such titles share at least t s / 2 - 2 (1 - t) s - 2 trigrams (a repeated one as often as both have
+    it), and only the rarest ones that this lets them miss are joined. Titles too short for that bound are joined by
+    length. ``length_share``: the most that lengths may differ by, of the longer.
+    """
+    t = threshold
+    titles = written(rows.select("id", "title", F.length("title").alias("n")).filter("n > 0"))
+    # a bound for a title of n against any that its own length allows: the shorter s, the weaker
+    fewest = F.ceil(F.col("n") * (1 + t / (2 - t)) * (t / 2 - 2 * (1 - t)) - 2 - 1e-9)
+    long, short = (titles.filter(fewest >= 1), titles.filter(fewest < 1)) if t / 2 > 2 * (1 - t) else (titles.limit(0), titles)
+    each = long.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substr("title", i, F.lit(3)))).alias("pos", "gram"))
+    each = each.withColumn("k", F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))).select("id", "n", F.xxhash64("gram", "k").alias("gram"))
+    rare = each.groupBy("gram").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
+    first = written(each.join(rare, "gram").withColumn("p", place).filter(F.col("p") <= F.col("n") - 2 - fewest + 1).select("id", "n", "gram"))
+    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * F.lit(max(t / (2 - t), 1 - length_share) - 1e-9))
+    side = lambda d, x, *more: d.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *more)
+    by_gram = side(first, "a", "gram").join(side(first, "b", "gram"), "gram").filter(fit).select("a", "b")
+    # short titles with short ones, and with long ones of about their length
+    step = F.explode(F.sequence(F.floor(F.col("n") * (t / (2 - t))), F.ceil(F.col("n") * ((2 - t) / t)))).alias("at")
+    few = side(short, "a", step).join(side(titles, "b", F.col("n").alias("at")), "at").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").filter(fit).select("a", "b")
+    candidates = by_gram.union(few).distinct()
+    full = candidates.join(titles.select(F.col("id").alias("a"), F.col("title").alias("x")), "a").join(titles.select(F.col("id").alias("b"), F.col("title").alias("y")), "b")
+    return full.select("a", "b", matching_ratio(F.col("x"), F.col("y")).alias("sim")).filter(F.col("sim") > threshold)
+
+
+@F.pandas_udf(DoubleType())
+def matching_ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters, as Python's difflib counts them."""
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y)], dtype=float)
+
+
+def edit_dedup(rows: DataFrame, threshold: float = 0.85, length_share: float = 0.20) -> DataFrame:
+    """As ``greedy`` over rows (id in order of reading, title): earlier titles of like length and a ratio above ``threshold``."""
+    low = written(rows.select("id", F.lower(F.trim("title")).alias("title")))
+    first = written(low.groupBy("title").agg(F.min("id").alias("class")))
+    own = written(low.join(first, "title").select("id", "class", "title"))
+    heads = own.filter("id = class AND title <> ''").select("id", "title")
+    return greedy_of(own.select("id", "class"), heads.select("id"), written(ratio_pairs(heads, threshold, length_share)))
+
+
+def minhash_gate(rows: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """As ``greedy`` over texts (id, words) by signatures of 64 permutations modulo 2^61 - 1 over MD5 of word runs."""
+    signed = written(minhash(rows, 64, family="md5"))
+    first = written(signed.groupBy("sig").agg(F.min("id").alias("class")))
+    own = written(signed.join(first, "sig").select("id", "class"))
+    edges = written(minhash_pairs(rows, threshold, signed=signed).join(own.filter("id = class").select(F.col("id").alias("b")), "b").select("a", "b", F.col("estimate").alias("sim")))
+    return greedy_of(own, own.filter("id = class").select("id"), edges)
+
+
+def three_tiers(rows: DataFrame, title_ratio: float = 0.90, content: float = 0.80, least_chars: int = 50) -> DataFrame:
+    """D3: rows (id, url, title, body) in order of id against accepted earlier ones: by address, then title, then content.
+
+    Content of ``least_chars`` and more is compared by signatures, shorter by equality. Columns id, accepted, and the
+    first tier that rejects: url, title or content.
+    """
+    rows = written(rows.select("id", "url", F.lower(F.trim("title")).alias("title"), F.coalesce("body", F.lit("")).alias("body")))
+    titled = rows.filter("title <> ''")
+    first = written(titled.groupBy("title").agg(F.min("id").alias("class")))
+    long = rows.filter(F.length("body") >= least_chars).select("id", T.words(F.col("body")).alias("words"))
+    signed = written(minhash(long, 64))
+    alike = written(signed.groupBy("sig").agg(F.min("id").alias("class")))
+    short = rows.filter((F.length("body") < least_chars) & (F.col("body") != ""))
+    same = written(short.groupBy("body").agg(F.min("id").alias("class")))
+    near = minhash_pairs(long, content, signed=signed).join(alike.select(F.col("class").alias("b")), "b").select("a", "b")
+    addresses = written(rows.filter("url IS NOT NULL").groupBy("url").agg(F.min("id").alias("class")))
+    tiers = {
+        "url": Tier(written(rows.join(addresses, "url").select("id", "class"))),
+        "title": Tier(written(titled.join(first, "title").select("id", "class")), written(ratio_pairs(first.select(F.col("class").alias("id"), "title"), title_ratio - 1e-12).select("a", "b"))),
+        "content": Tier(written(signed.join(alike, "sig").select("id", "class").union(short.join(same, "body").select("id", "class"))), written(near)),
+    }
+    ok = settled_by(rows, list(tiers.values()))
+    hits = reduce(DataFrame.unionByName, (t.nearest(ok).filter("first_ok < id").select("id", F.lit(i).alias("rank"), F.lit(name).alias("tier")) for i, (name, t) in enumerate(tiers.items())))
+    told = written(hits.groupBy("id").agg(F.min_by("tier", "rank").alias("tier")))
+    return rows.select("id").join(told, "id", "left").select("id", F.col("tier").isNull().alias("accepted"), "tier")
+
+
+def committed(index: DataFrame, evaluated: DataFrame, cap: int = 20_000) -> DataFrame:
+    """The index (id, key, at) with the rows of ``evaluated`` that passed and were accepted; the newest ``cap`` stay.
+
+    A row whose id is there already changes nothing, so a commit may run again.
+    """
+    new = evaluated.filter("passed AND accepted").select("id", "key", "at").dropDuplicates(["id"])
+    every = index.unionByName(new.join(index.select("id"), "id", "left_anti"))
+    return every.orderBy(F.desc("at"), F.desc("id")).limit(cap)
+
+
 EVENT_SCHEMA = "id bigint, event bigint, similarity double, action string"
 
 
@@ -154,10 +299,24 @@ def novelty(timeline: Column, sources: Column) -> Column:
     return F.round(F.greatest(F.lit(0.20), F.least(F.lit(1.0), fall)), 3)
 
 
-def minhash(rows: DataFrame, n: int = 64, run: int = 3) -> DataFrame:
+PRIME = np.uint64((1 << 61) - 1)
+
+
+def times(x: np.ndarray, a: np.uint64) -> np.ndarray:
+    """x * a modulo 2^61 - 1, for numbers below it: halves of 31 bits, and 2^61 counts as one."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    x1, x0, a1, a0 = x >> half, x & low, a >> half, a & low
+    middle = x1 * a0 + x0 * a1
+    total = np.uint64(2) * x1 * a1 + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + x0 * a0
+    total = (total & PRIME) + (total >> np.uint64(61))
+    return np.where(total >= PRIME, total - PRIME, total)
+
+
+def minhash(rows: DataFrame, n: int = 64, run: int = 3, family: str = "mixed") -> DataFrame:
     """Id and sig, ``n`` minima of salted hashes over the runs of ``run`` words; ``rows`` has id and words (in order).
 
-    A text of fewer words is one run, one without a word has no row.
+    A text of fewer words is one run, one without a word has no row. ``family``: mixed multiplies hashes modulo 2^64;
+    md5 takes 64 bits of a run's MD5 through linear maps modulo 2^61 - 1.
     """
     odd, add = mix64(np.arange(1, n + 1)) | np.uint64(1), mix64(np.arange(n + 1, 2 * n + 1))
 
@@ -180,19 +339,27 @@ def minhash(rows: DataFrame, n: int = 64, run: int = 3) -> DataFrame:
                 runs = runs[place <= np.maximum(size - run, 0)]
                 counts = np.maximum(sizes[full] - run + 1, 1)
                 starts = np.cumsum(counts) - counts
-                least = np.stack([np.minimum.reduceat(runs * a + b, starts) for a, b in zip(odd, add)], axis=1) if len(full) else np.zeros((0, n), np.uint64)
+                if family == "md5":
+                    texts = lists.flatten().slice(int(ends[i] - sizes[i]), int(ends[j - 1] - ends[i] + sizes[i])).to_pylist()
+                    at = np.flatnonzero(place <= np.maximum(size - run, 0))
+                    stop = (at - place[at] + size[at]).tolist()
+                    runs = np.array([int.from_bytes(hashlib.md5(" ".join(texts[a : min(a + run, e)]).encode()).digest()[:8], "big") for a, e in zip(at.tolist(), stop)], np.uint64) % PRIME
+                    moved = lambda a, b: (times(runs, a % PRIME) + b % PRIME) % PRIME  # noqa: E731, B023
+                else:
+                    moved = lambda a, b: runs * a + b  # noqa: E731, B023
+                least = np.stack([np.minimum.reduceat(moved(a, b), starts) for a, b in zip(odd, add)], axis=1) if len(full) else np.zeros((0, n), np.uint64)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, n), pa.int32()), pa.array(least.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), sig], names=["id", "sig"])
 
     return rows.select(F.col("id").cast("bigint").alias("id"), "words").mapInArrow(sign, "id bigint, sig array<bigint>")
 
 
-def minhash_pairs(rows: DataFrame, threshold: float = 0.80, bands: int = 16, size: int = 4) -> DataFrame:
+def minhash_pairs(rows: DataFrame, threshold: float = 0.80, bands: int = 16, size: int = 4, signed: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, estimate) whose signatures agree in a share of at least ``threshold``; ``rows`` has id and words.
 
     Rows of equal signatures are one: each is paired with the first of them.
     """
-    signed = written(minhash(rows, bands * size))
+    signed = signed if signed is not None else written(minhash(rows, bands * size))
     heads = written(signed.groupBy("sig").agg(F.min("id").alias("head")))
     parts = heads.select("head", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * size + 1, size)))).alias("band", "key"))
     a, b = parts.select(F.col("head").alias("a"), "band", "key"), parts.select(F.col("head").alias("b"), "band", "key")

@@ -10,6 +10,7 @@ from newslake.functions import text as T
 from newslake.functions import url as U
 from newslake.lexicons import CORPUS_NEGATIVE, CORPUS_POSITIVE, CORPUS_WEIGHTS
 from newslake.operators import dedup as X
+from newslake.operators.bloom import Bloom
 from newslake.plans import sql as S
 from newslake.plans.registry import q, query
 from newslake.plans.scalars import NOW, _sent, articles, joined, now
@@ -66,24 +67,47 @@ def d8_url_and_title(spark, sf_dir):
     return X.first_wins(o, [F.col("url"), F.when(F.length("title") > 20, F.lower("title"))], ["page_id"]).select("page_id")
 
 
-def bloom(rows, column: str, n: int, p: float):
-    """A Bloom filter in SQL: distinct bits of k seeded hashes, its size, fill and the share of false positives to expect."""
-    import math
+@query()
+def d9_bloom(spark, sf_dir):
+    """A filter merged from two halves of the addresses: what it misses, finds wrongly, holds and weighs."""
+    urls = page_observations(table(spark, sf_dir, "pages")).select("url").distinct()
+    n = urls.count()
+    held = urls.filter(F.crc32("url") % 2 == 0)
+    made = Bloom.of(held.filter(F.crc32("url") % 4 == 0), "url", n, 0.001).merged(Bloom.of(held.filter(F.crc32("url") % 4 != 0), "url", n, 0.001))
+    hit, own = made.held(urls, "url"), F.crc32("url") % 2 == 0
+    fill = made.fill().select("fill", "expected_false_share", "bytes")
+    out = hit.agg(F.count_if(own & ~F.col("maybe")).alias("missed"), (F.count_if(~own & F.col("maybe")) / F.greatest(F.count_if(~own), F.lit(1))).alias("false_share"), F.lit(made.m).alias("bits"), F.lit(made.k).alias("hashes"))
+    return out.crossJoin(F.broadcast(fill))  # one row each
+
+
+@query()
+def d3_three_tiers(spark, sf_dir):
+    """D3: address, title and content of pages against accepted earlier ones."""
+    o = page_observations(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("id"), U.canonical_url(F.col("url")).alias("url"), "title", F.col("summary").alias("body"))
+    return X.three_tiers(o)
+
 
-    m = math.ceil(-n * math.log(p) / math.log(2) ** 2)
-    k = max(1, round(m / n * math.log(2)))
-    bits = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.pmod(F.xxhash64(column), F.lit(m)) + i * F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(m)), F.lit(m)))).alias("bit")).distinct()
-    return bits, m, k
+@query()
+def d4_minhash_gate(spark, sf_dir):
+    """Whole texts through the gate of signatures."""
+    return X.minhash_gate(articles(spark, sf_dir).select(F.col("doc_id").alias("id"), T.words(F.col("clean_text")).alias("words")))
 
 
 @query()
-def d9_bloom(spark, sf_dir):
-    urls = page_observations(table(spark, sf_dir, "pages")).select("url")
-    bits, m, k = bloom(urls.filter(F.crc32("url") % 2 == 0), "url", 200_000, 0.001)
-    probes = urls.distinct().select("url", F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.pmod(F.xxhash64("url"), F.lit(m)) + i * F.pmod(F.xxhash64(F.col("url"), F.lit(7)), F.lit(m)), F.lit(m)))).alias("bit"))
-    hit = probes.join(bits.withColumn("set", F.lit(1)), "bit", "left").groupBy("url").agg((F.count("set") == k).alias("maybe"))
-    held = F.crc32("url") % 2 == 0
-    return hit.agg(F.count_if(held & ~F.col("maybe")).alias("missed"), (F.count_if(~held & F.col("maybe")) / F.greatest(F.count_if(~held), F.lit(1))).alias("false_share"), F.lit(m).alias("bits"), F.lit(k).alias("hashes"))
+def d5_edit_dedup(spark, sf_dir):
+    """Newest first, titles of like length and a ratio above 0.85 go."""
+    found = X.edit_dedup(articles(spark, sf_dir).select((-F.col("doc_id")).alias("id"), "title"))
+    return found.select((-F.col("id")).alias("doc_id"), "accepted", (-F.col("matched_id")).alias("matched_id"), "similarity")
+
+
+@query("WITH e AS (SELECT doc_id AS id, md5(text) AS key, doc_id % 5 <> 0 AS passed, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1 AS accepted FROM documents), k AS (SELECT id, key FROM e WHERE passed AND accepted ORDER BY id DESC LIMIT 100) SELECT id, key FROM k")
+def d2_commit(spark, sf_dir):
+    """What passed and was accepted goes into the index, twice over without effect; the newest hundred stay."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("key"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("id")) == 1
+    e = d.withColumns({"passed": F.col("id") % 5 != 0, "accepted": first, "at": F.col("id")})
+    index = X.committed(e.filter("false").select("id", "key", "at"), e, 100)
+    return X.committed(index, e, 100).select("id", "key")
 
 
 @query("WITH f AS (SELECT doc_id, row_number() OVER (PARTITION BY substring(md5(text), 1, 16) ORDER BY doc_id) AS k, substring(md5(text), 1, 16) AS h FROM documents) SELECT doc_id, h AS content_hash FROM f WHERE k = 1")
