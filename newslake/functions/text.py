@@ -134,13 +134,12 @@ def bounded(word: str) -> str:
     return plain if " " in word else f"(?:^|{EDGE}){plain}(?:{EDGE}|$)"
 
 
-def hit_points(fields: list[tuple[Column, float]], word: str) -> Column:
-    """Weight of the first field that holds ``word``, else 0; fields are lower-case."""
-    pattern = bounded(word)
-    out = None
-    for text, weight in fields:
-        out = F.when(text.rlike(pattern), weight) if out is None else out.when(text.rlike(pattern), weight)
-    return out.otherwise(0.0)
+def present_words(text: Column, vocabulary: list[str]) -> Column:
+    """Those of ``vocabulary`` in a lower-case text, in one pass for plain words: as words, phrases anywhere."""
+    plain = [w for w in vocabulary if re.fullmatch(r"\w+", w)]
+    other = [w for w in vocabulary if w not in plain]
+    own = F.array_intersect(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array(*map(F.lit, plain)).cast("array<string>"))
+    return F.concat(own, F.array_compact(F.array(*(F.when(text.contains(w) if " " in w else present(text, w), F.lit(w)) for w in other)).cast("array<string>")))
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
@@ -204,7 +203,7 @@ def set_sentiment(text: Column, positive: list[str], negative: list[str]) -> Col
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def reading_minutes(text: Column) -> Column:

@@ -48,10 +48,10 @@ def fresh(articles: DataFrame, now: Column) -> DataFrame:
     return _reject(rows, "s02_freshness", F.col("freshness") == "stale", F.lit("STALE_CONTENT"))
 
 
-def keyword_points(title: Column, body: Column, summary: Column, tags: Column, words: list[str]) -> Column:
-    """Points of each word: 3 in the title, 2 in summary or tags, 1 in the first 3000 characters of the body."""
-    fields = [(F.lower(title), 3.0), (F.lower(summary), 2.0), (F.lower(F.array_join(tags, " ")), 2.0), (F.lower(F.substring(body, 1, 3000)), 1.0)]
-    return F.array(*(T.hit_points(fields, w) for w in words))
+def keyword_points(found: list[tuple[Column, float]], words: list[str]) -> Column:
+    """Points of each of ``words``: the weight of the first field whose words (arrays) hold it."""
+    none = F.lit(0.0)
+    return F.array(*(F.coalesce(*(F.when(F.array_contains(own, w), weight) for own, weight in found), none) for w in words))
 
 
 def relevance_columns(points: Column, excluded: Column, taxonomy: dict[str, list[str]], words: list[str]) -> dict[str, Column]:
@@ -70,28 +70,30 @@ def relevance_columns(points: Column, excluded: Column, taxonomy: dict[str, list
 def relevant(articles: DataFrame, taxonomy: dict[str, list[str]] = NEWS_TAXONOMY, exclusions: list[str] = NEWS_EXCLUSIONS, least: float = 0.40) -> DataFrame:
     """Relevance columns; rows below ``least`` are rejected.
 
-    Points are a column of their own, so that each pattern is matched once, however often it is used.
+    A field's words are a column of their own, so that each text is read once, however many words are asked for.
     """
     body = F.col("clean_text") if "clean_text" in articles.columns else F.lit("")
     tags = F.col("tags") if "tags" in articles.columns else F.array().cast("array<string>")
     words = sorted({w for ws in taxonomy.values() for w in ws})
     t, g = F.lower("title"), F.lower(F.array_join(tags, " "))
     first = F.coalesce(*(F.when(t.contains(x) | g.contains(x), F.lit(x)) for x in exclusions)) if exclusions else F.lit(None).cast("string")
-    rows = articles.withColumns({"_points": keyword_points(F.col("title"), body, F.col("summary"), tags, words), "_excluded": first})
-    rows = rows.withColumns(relevance_columns(F.col("_points"), F.col("_excluded"), taxonomy, words)).drop("_points", "_excluded")
+    # 3 points in the title, 2 in summary or tags, 1 in the first 3000 characters of the body
+    fields = [(t, 3.0), (F.lower("summary"), 2.0), (g, 2.0), (F.lower(F.substring(body, 1, 3000)), 1.0)]
+    rows = articles.withColumns({f"_words{i}": T.present_words(text, words) for i, (text, _) in enumerate(fields)} | {"_excluded": first})
+    rows = rows.withColumn("_points", keyword_points([(F.col(f"_words{i}"), w) for i, (_, w) in enumerate(fields)], words))
+    rows = rows.withColumns(relevance_columns(F.col("_points"), F.col("_excluded"), taxonomy, words)).drop("_points", "_excluded", *(f"_words{i}" for i in range(len(fields))))
     return _reject(rows, "s03_relevance", F.col("relevance_score") < least, F.lit("LOW_RELEVANCE"))
 
 
-def quality_columns(title: Column, body: Column, summary: Column, strict: bool = False) -> dict[str, Column]:
-    """Score and reasons of the content's hygiene."""
-    n = T.word_count(F.trim(F.concat(body, F.lit(" "), summary)))
+def quality_columns(title: Column, n: Column, walled: Column, summary: Column, strict: bool = False) -> dict[str, Column]:
+    """Score and reasons of the content's hygiene; ``n`` words, ``walled`` if it reads like the front of a paywall."""
     letters = F.regexp_replace(title, r"[^\p{L}]", "")
     capitals = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))
     short = (n < 15) & (summary == "")
     rules = [
         ("EXTREMELY_SHORT_CONTENT", 0.45, short), ("LOW_WORD_COUNT", 0.25, ~short & (n < 30)),
         ("ALL_CAPS_HEADLINE", 0.30, (F.length(letters) >= 10) & (capitals / F.greatest(F.length(letters), F.lit(1)) > 0.70)),
-        ("CLICKBAIT_HEADLINE", 0.35, T.clickbait(title)), ("PAYWALL_TRUNCATED", 0.30, T.paywalled(body) | T.paywalled(summary)),
+        ("CLICKBAIT_HEADLINE", 0.35, T.clickbait(title)), ("PAYWALL_TRUNCATED", 0.30, walled),
     ]
     if strict:
         rules.append(("STRICT_LENGTH_REQUIREMENT_UNMET", 0.20, n < 60))
@@ -103,7 +105,9 @@ def quality_columns(title: Column, body: Column, summary: Column, strict: bool =
 def good(articles: DataFrame, strict: bool = False, least: float = 0.50, least_relevance: float = 0.40) -> DataFrame:
     """Quality columns; passing needs enough quality and relevance. Reasons stay on failure only."""
     body = F.col("clean_text") if "clean_text" in articles.columns else F.lit("")
-    rows = articles.withColumns(quality_columns(F.col("title"), body, F.col("summary"), strict))
+    # what reads the whole body is a column of its own, so that it is computed once for all rules
+    rows = articles.withColumns({"_n": T.word_count(F.concat(body, F.lit(" "), F.col("summary"))), "_walled": T.paywalled(body) | T.paywalled(F.col("summary"))})
+    rows = rows.withColumns(quality_columns(F.col("title"), F.col("_n"), F.col("_walled"), F.col("summary"), strict)).drop("_n", "_walled")
     passed = (F.col("quality_score") >= least) & (F.col("relevance_score") >= least_relevance) if "relevance_score" in rows.columns else F.col("quality_score") >= least
     rows = rows.withColumn("is_passed", passed).withColumn("quality_reasons", F.when(F.col("is_passed"), F.array().cast("array<string>")).otherwise(F.col("quality_reasons")))
     return _reject(rows, "s04_quality", ~F.col("is_passed"), F.coalesce(F.try_element_at("quality_reasons", F.lit(1)), F.lit("LOW_RELEVANCE")))
