@@ -11,7 +11,9 @@ from datetime import datetime, timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Step = Callable[[dict[str, Any], Any], dict[str, Any]]
 
@@ -143,3 +145,36 @@ def lease_step(state: dict[str, Any], row: Any, ttl: float) -> dict[str, Any]:
     if won:
         state.update(holder=row.worker, until=now + ttl)
     return {"key": row.key, "event_id": row.event_id, "acquired": bool(won), "token": state["token"]}
+
+
+def clamped_walks(rows: DataFrame, key: str, order: list[str], step: Column, start: float, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """For each key the end of a walk from ``start`` by the rows' steps in order, held within bounds after each: key, value.
+
+    A step is x -> min(high, max(low, x + a)), and steps compose to x -> min(h, max(l, x + a)). So rows are dealt by
+    ranges of (key, order), a frequent key over many tasks; each gives the three numbers of its part of the walk, and
+    the parts of a key are applied in turn.
+    """
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, now, held = TaskContext.get().partitionId(), None, (0.0, low, high)
+        for batch in batches:
+            done = []
+            for k, a in zip(batch["key"].tolist(), batch["step"].tolist()):
+                if k != now:
+                    if now is not None:
+                        done.append((now, part, *held))
+                    now, held = k, (0.0, low, high)
+                total, least, most = held
+                held = total + a, min(high, max(low, least + a)), min(high, max(low, most + a))
+            if done:
+                yield pd.DataFrame(done, columns=["key", "part", "total", "least", "most"])
+        if now is not None:
+            yield pd.DataFrame([(now, part, *held)], columns=["key", "part", "total", "least", "most"])
+
+    places = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    dealt = rows.select(F.col(key).alias("key"), step.cast("double").alias("step"), *places).filter("key IS NOT NULL AND step IS NOT NULL")
+    names = ["key", *(f"o{i}" for i in range(len(order)))]
+    kind = rows.schema[key].dataType.simpleString()
+    parts = dealt.repartitionByRange(*names).sortWithinPartitions(*names).select("key", "step").mapInPandas(compose, f"key {kind}, part int, total double, least double, most double")
+    walk = F.aggregate(F.array_sort("parts"), F.lit(float(start)), lambda x, p: F.least(p["most"], F.greatest(p["least"], x + p["total"])))
+    return parts.groupBy("key").agg(F.collect_list(F.struct("part", "total", "least", "most")).alias("parts")).select(F.col("key").alias(key), walk.alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newslake.functions import text as T
 from newslake.functions import url as U
 from newslake.lexicons import CORPUS_NEGATIVE, CORPUS_POSITIVE, CORPUS_STOP, CORPUS_TAXONOMY
-from newslake.operators.folds import folded, last_state
+from newslake.operators.folds import clamped_walks
 from newslake.operators.quantiles import at_ranks
 from newslake.plans import sql as S
 from newslake.plans.registry import q, query
@@ -388,27 +388,19 @@ def w4_trailing_hour(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("in_hour"))
 
 
-def _reliability(state, row):
-    state["score"] = max(0.0, min(1.0, state["score"] + (0.05 if row.success else -0.2)))
-    return {"source_id": row.source_id, "score": state["score"]}
-
-
 @query(f"WITH {S.ATTEMPTS} SELECT source_id, round(list_reduce(list(CASE WHEN success THEN 0.05::DOUBLE ELSE -0.2::DOUBLE END ORDER BY ts, event_id), lambda a, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, a + x)), 0.5::DOUBLE), 6) AS score FROM att GROUP BY source_id")
 def p9_reliability(spark, sf_dir):
     """+0.05 for a success, -0.2 for a failure, within 0 and 1, from one half."""
-    return last_state(attempts(spark, sf_dir), "source_id", ["ts", "event_id"], lambda: {"score": 0.5}, _reliability, "source_id bigint, score double").select("source_id", F.round("score", 6).alias("score"))
-
-
-def _hunger(state, row):
-    state["h"] = max(0.0, min(1.0, state["h"] + (0.3 + 0.05 * min(row.k % 7, 5) if row.success else -0.1)))
-    return {"source_id": row.source_id, "hunger": state["h"]}
+    walks = clamped_walks(attempts(spark, sf_dir), "source_id", ["ts", "event_id"], F.when(F.col("success"), 0.05).otherwise(-0.2), 0.5)
+    return walks.select("source_id", F.round("value", 6).alias("score"))
 
 
 @query(f"WITH {S.ATTEMPTS} SELECT source_id, round(list_reduce(list(CASE WHEN success THEN 0.3::DOUBLE + 0.05::DOUBLE * least(k % 7, 5) ELSE -0.1::DOUBLE END ORDER BY ts, event_id), lambda a, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, a + x)), 0.5::DOUBLE), 6) AS hunger, round(300 - 270 * list_reduce(list(CASE WHEN success THEN 0.3::DOUBLE + 0.05::DOUBLE * least(k % 7, 5) ELSE -0.1::DOUBLE END ORDER BY ts, event_id), lambda a, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, a + x)), 0.5::DOUBLE), 4) AS delay FROM att GROUP BY source_id")
 def s18_hunger(spark, sf_dir):
     """Hunger by hits and misses, and the delay between 300 and 30 seconds that follows."""
-    h = last_state(attempts(spark, sf_dir), "source_id", ["ts", "event_id"], lambda: {"h": 0.5}, _hunger, "source_id bigint, hunger double")
-    return h.select("source_id", F.round("hunger", 6).alias("hunger"), F.round(300 - 270 * F.col("hunger"), 4).alias("delay"))
+    step = F.when(F.col("success"), 0.3 + 0.05 * F.least(F.col("k") % 7, F.lit(5))).otherwise(-0.1)
+    h = clamped_walks(attempts(spark, sf_dir), "source_id", ["ts", "event_id"], step, 0.5)
+    return h.select("source_id", F.round("value", 6).alias("hunger"), F.round(300 - 270 * F.col("value"), 4).alias("delay"))
 
 
 @query("WITH l AS (SELECT event_id, user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 6e7 AS gap FROM events) SELECT event_id, user_id FROM l WHERE gap IS NULL OR gap >= 30")
