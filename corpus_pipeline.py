@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows to the cluster's shared folder and reads them again.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns
+of any name: an empty table stays empty, other columns pass through as they are, and each stage says the rest.
 """
 
 from __future__ import annotations
@@ -16,27 +19,46 @@ from newslake.llm.queries import BYTE_BPE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; empty ones and those without a letter go."""
+    """Documents in a language that the model of the labelled ones knows.
+
+    Null and empty texts and those without a letter go, and texts that every learned language explains worse than a
+    guess. Without a labelled document all go. Rows that repeat are judged alike, a null id or source is no reason.
+    """
     return langid.rejected_out(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of SimHash near-duplicates: the one with the smallest doc_id.
+
+    Rows with a null id stay only where a group has no other; of rows that share the id, the one of the least
+    fingerprint, then of the least text. Null and empty texts are one group.
+    """
     return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live credentials masked."""
+    """All documents, with live credentials masked in ``text`` and ``n_chars`` following.
+
+    Null texts stay null. Rows that repeat count one holder; a null source or language is a name of its own.
+    """
     return secrets.redacted(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: clean ones once or twice, toxic and poor ones less."""
+    """Documents as often as their rates say: clean ones once or twice, toxic and poor ones less.
+
+    Texts without a word keep the rate of the prior; a null id has one copy at least where its rate says so. Rows that
+    repeat have equal rates and copies. Without usable labels every document stays once.
+    """
     return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Slots of all documents in sequences of 2048 tokens."""
+    """Slots of all documents in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; a longer one than a sequence is cut into pieces; rows that repeat are
+    packed as often as they occur.
+    """
     return packing.packed(docs, BYTE_BPE)
 
 
