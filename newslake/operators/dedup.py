@@ -225,8 +225,9 @@ def clusters(rows: DataFrame, threshold: float = 0.55, bonus: float = 0.10, wind
 
     ``rows`` has id, title, tags and discovered_at. An event keeps its founder's title, and a match
     needs a founder's Jaccard of ``threshold - bonus``; so articles of different components of that
-    graph never meet, and each component is folded in order of (discovered_at, id), an Arrow batch
-    at a time. An event stays open for ``window_hours`` after its last article.
+    graph never meet. An event stays open for ``window_hours`` after its last article, so a component falls
+    apart where its articles pause for longer. Each part is folded in order of (discovered_at, id), an Arrow
+    batch at a time, with open events found by the shingles that they share with an article.
     """
     least = threshold - bonus
     own = written(classes(rows, "id", "title"))
@@ -234,21 +235,33 @@ def clusters(rows: DataFrame, threshold: float = 0.55, bonus: float = 0.10, wind
     found = written(components(pairs.select("a", "b")))
     grouped = own.join(found, F.col("class") == F.col("node"), "left").select("id", "set", F.coalesce("root", "class").alias("part"))
     full = grouped.join(rows.select("id", "tags", "discovered_at"), "id")
+    order = Window.partitionBy("part").orderBy("discovered_at", "id")
+    gap = F.unix_micros("discovered_at") - F.lag(F.unix_micros("discovered_at")).over(order)
+    pauses = F.count_if("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    full = full.withColumn("opens", F.coalesce(gap > window_hours * 3.6e9, F.lit(False))).withColumn("pause", pauses).drop("opens")
+    width = pd.Timedelta(hours=window_hours)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, events = None, []
+        now, events, held, founded = None, {}, {}, 0
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                if row.part != now:
-                    now, events = row.part, []
+                if (row.part, row.pause) != now:
+                    now, events, held = (row.part, row.pause), {}, {}
                 words, tags = set(row.set), {str(t).lower() for t in row.tags if t is not None}
-                # (closed events never open again: articles come in order of time)
-                events = [e for e in events if row.discovered_at - e["last"] <= pd.Timedelta(hours=window_hours)]
+                shared: dict[int, int] = {}
+                for w in words:
+                    for k in held.get(w, ()):
+                        shared[k] = shared.get(k, 0) + 1
                 best, sim = None, 0.0
-                for e in events:
-                    both = len(words & e["words"])
-                    s = (both / len(words | e["words"]) if both else 0.0) + (bonus if tags & e["tags"] else 0.0)
+                for k in sorted(shared):  # in order of founding: of equals the first stays
+                    e = events[k]
+                    if row.discovered_at - e["last"] > width:  # closed, and articles come in order of time
+                        for w in e["words"]:
+                            held[w].discard(k)
+                        del events[k]
+                        continue
+                    s = shared[k] / (len(words) + len(e["words"]) - shared[k]) + (bonus if tags & e["tags"] else 0.0)
                     if s > sim:
                         best, sim = e, s
                 if best is not None and sim >= threshold:
@@ -256,12 +269,15 @@ def clusters(rows: DataFrame, threshold: float = 0.55, bonus: float = 0.10, wind
                     best["tags"] |= tags
                     out.append((row.id, best["id"], round(sim, 6), "merged_existing"))
                 else:
-                    events.append({"id": row.id, "words": words, "tags": tags, "last": row.discovered_at})
+                    k, founded = founded, founded + 1
+                    events[k] = {"id": row.id, "words": words, "tags": tags, "last": row.discovered_at}
+                    for w in words:
+                        held.setdefault(w, set()).add(k)
                     out.append((row.id, row.id, 0.0, "created_new"))
             if out:
                 yield pd.DataFrame(out, columns=["id", "event", "similarity", "action"])
 
-    return full.repartition("part").sortWithinPartitions("part", "discovered_at", "id").mapInPandas(run, EVENT_SCHEMA)
+    return full.repartition("part", "pause").sortWithinPartitions("part", "pause", "discovered_at", "id").mapInPandas(run, EVENT_SCHEMA)
 
 
 def first_wins(rows: DataFrame, keys: list[Column], order: list[Column | str]) -> DataFrame:
