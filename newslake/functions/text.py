@@ -110,6 +110,20 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return edit_ratio(line(a), line(b))
 
 
+def partial_ratio(a: Column, b: Column) -> Column:
+    """F8: the best edit ratio of the shorter text with a stretch of the longer one of its length."""
+    swap = F.length(a) > F.length(b)
+    pair = F.struct(F.when(swap, b).otherwise(a).alias("short"), F.when(swap, a).otherwise(b).alias("long"))
+
+    def best(p: Column) -> Column:
+        n = F.length(p["short"])
+        at = F.sequence(F.lit(1), F.length(p["long"]) - n + 1)
+        near = F.array_min(F.transform(at, lambda i: F.levenshtein(p["short"], F.substr(p["long"], i, n))))
+        return F.when(n == 0, F.when(F.length(p["long"]) == 0, 1.0).otherwise(0.0)).otherwise(1 - near / n)
+
+    return let(pair, best)
+
+
 def similarity_score(a: Column, b: Column) -> Column:
     """F8: the best of edit ratio, token-sort ratio and word Jaccard."""
     return F.greatest(edit_ratio(a, b), token_sort_ratio(a, b), jaccard(F.array_distinct(words(a)), F.array_distinct(words(b))))

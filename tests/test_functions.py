@@ -44,7 +44,7 @@ def test_dates(spark):
 
 
 def test_importance(spark):
-    assert values(spark, T.importance(F.col("x")), ["A zero-day exploit", "how to merge", "how to fix a data breach", "x"]) == [0.75, 0.3, 0.45, 0.5]
+    assert values(spark, T.importance(F.col("x")), ["A backdoor found", "changelog of a merge", "a walkthrough of an outage", "x"]) == [0.75, 0.3, 0.45, 0.5]
 
 
 def test_pii(spark):

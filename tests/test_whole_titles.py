@@ -1,6 +1,9 @@
 """F8 over whole titles against edit distances by the textbook."""
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import queries
+from newslake.functions import text as T
 
 
 def edits(a, b):
@@ -20,3 +23,15 @@ def test_titles_beyond_60_characters(spark, tmp_path):
     assert {r.doc_id: r.ratio for r in queries()["f8_edit_ratio_whole"](spark, str(tmp_path)).collect()} == want
     score = {r.doc_id: r.score for r in queries()["f8_fuzzy_score"](spark, str(tmp_path)).collect()}
     assert want[0] <= score[0] < 1
+
+
+def test_partial_ratio(spark):
+    pairs = [("abc", "xxabcxx"), ("abd", "xxabcxx"), ("", ""), ("", "a"), ("same", "same"), ("été", "un été chaud"), ("a longer one", "long")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = [r.p for r in rows.select(T.partial_ratio(F.col("a"), F.col("b")).alias("p")).collect()]
+
+    def want(a, b):
+        s, t = sorted((a, b), key=len)
+        return (1.0 if not t else 0.0) if not s else max(1 - edits(s, t[i : i + len(s)]) / len(s) for i in range(len(t) - len(s) + 1))
+
+    assert got == [want(a, b) for a, b in pairs]
