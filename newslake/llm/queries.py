@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import ann, arrowfile, html, langid, lm, media, mixing, packing, secrets, simhash
+from newslake.llm import ann, arrowfile, html, langid, lm, media, mixing, packing, periodic, secrets, simhash, spelling, urlfilter
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,9 +56,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filtered_urls(_table(spark, sf_dir, "pages"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic(_table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_html, op3_media, op4_arrow_ids, op5_mix, op6_language, op7_pack, op8_simhash, op9_ann, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm, op2_html, op3_media, op4_arrow_ids, op5_mix, op6_language, op7_pack, op8_simhash, op9_ann, op10_secrets, op11_spelling, op12_urls, op13_periodic)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_secrets": secrets.oracle()}
+    return {"op10_secrets": secrets.oracle(), "op12_urls": urlfilter.oracle()}
