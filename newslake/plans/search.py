@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newslake.functions import text as T
+from newslake.lake import scratch_dir
 from newslake.lexicons import CORPUS_TAXONOMY
 from newslake.plans import sql as S
 from newslake.plans.registry import query
 from newslake.plans.scalars import articles
 from newslake.search import engine as E
+from newslake.search.index import TextIndex
 from newslake.sources.adapters import table
 
 
@@ -28,6 +30,20 @@ def q2_bm25(spark, sf_dir):
     return E.bm25(articles(spark, sf_dir), "thon erin", {"title": 5.0, "clean_text": 1.0}, k=50)
 
 
+@query(rf"""WITH {S.ARTICLES}, w AS (SELECT doc_id, {S.words('title')} AS a, {S.words('clean_text')} AS b, {S.words("coalesce(lang, '')")} AS c FROM art WHERE doc_id % 7 <> 3), t AS (SELECT doc_id, len(a) + len(b) + len(c) AS n,
+CAST(len(list_filter(a, lambda x: starts_with(x, 'thon'))) * 5 + len(list_filter(b, lambda x: starts_with(x, 'thon'))) + len(list_filter(c, lambda x: starts_with(x, 'thon'))) * 3 AS DOUBLE) AS t0, CAST(len(list_filter(a, lambda x: x = 'en')) * 5 + len(list_filter(b, lambda x: x = 'en')) + len(list_filter(c, lambda x: x = 'en')) * 3 AS DOUBLE) AS t1 FROM w),
+s AS (SELECT count(*) AS nn, avg(n) AS an, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM t)
+SELECT doc_id, round(greatest(1e-6, ln((nn - d0 + 0.5) / (d0 + 0.5))) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / an)) + greatest(1e-6, ln((nn - d1 + 0.5) / (d1 + 0.5))) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / an)), 6) AS score FROM t, s WHERE t0 > 0 AND t1 > 0""")
+def q2_indexed(spark, sf_dir):
+    """Q2 through the kept index: all documents in two batches, some replaced, some (a seventh, as a user's erasure would) deleted."""
+    a = articles(spark, sf_dir)
+    index = TextIndex(spark, scratch_dir(spark), {"title": 5.0, "clean_text": 1.0, "tags": 3.0})
+    index.add(a.filter("doc_id % 3 = 0").withColumn("clean_text", F.lit("an earlier version")).unionByName(a.filter("doc_id % 3 = 1")))
+    index.add(a.filter("doc_id % 3 <> 1"))
+    index.delete(a.filter("doc_id % 7 = 3"))
+    return index.search('thon "en"')
+
+
 @query(rf"WITH {S.ARTICLES}, w AS (SELECT doc_id, source_name, list_distinct({S.words('title')}) AS a, list_distinct({S.words('clean_text')}) AS b FROM art WHERE lang IN ('en', 'fr') AND doc_id >= 10 AND source_name NOT IN ('src3')), s AS (SELECT doc_id, round(greatest((CASE WHEN list_contains(a, 'thon') OR list_contains(a, 'ther') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(a, 'erin') THEN 1.0 ELSE 0 END) / 2 * 3, (CASE WHEN list_contains(b, 'thon') OR list_contains(b, 'ther') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(b, 'erin') THEN 1.0 ELSE 0 END) / 2), 6) AS score FROM w) SELECT doc_id, CAST(score AS DOUBLE) AS score FROM s WHERE score >= 0.5 ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5")
 def q3_builder(spark, sf_dir):
     a = articles(spark, sf_dir).withColumn("lang", F.col("tags")[0])
@@ -35,11 +51,10 @@ def q3_builder(spark, sf_dir):
     return s.build(a).select("doc_id", "score")
 
 
-@query(rf"WITH {S.ARTICLES}, w AS (SELECT doc_id, regexp_extract_all(lower(title), '[a-z]+') AS a FROM art) SELECT doc_id FROM w WHERE len(list_filter(a, lambda x: levenshtein(x, 'thonan') <= 1)) > 0")
+@query(rf"WITH {S.ARTICLES}, w AS (SELECT doc_id, {S.words('title')} AS a FROM art) SELECT doc_id FROM w WHERE len(list_filter(a, lambda x: {S.one_edit('x', 'thonan')})) > 0")
 def q4_fuzzy(spark, sf_dir):
-    """Q4: words within an edit of the query's, over ASCII words as DuckDB counts bytes."""
-    w = F.regexp_extract_all(F.lower("title"), F.lit("([a-z]+)"), F.lit(1))
-    return articles(spark, sf_dir).filter(F.exists(w, lambda x: F.levenshtein(x, F.lit("thonan")) <= 1)).select("doc_id")
+    """Q4: titles with a word within an edit of the query's."""
+    return articles(spark, sf_dir).filter(F.exists(T.words(F.col("title")), lambda x: F.levenshtein(x, F.lit("thonan")) <= 1)).select("doc_id")
 
 
 @query(rf"WITH {S.ARTICLES} SELECT source_name, count(*) AS n FROM art WHERE list_contains({S.words('clean_text')}, 'thon') GROUP BY source_name ORDER BY n DESC, source_name LIMIT 20")

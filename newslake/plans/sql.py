@@ -23,6 +23,12 @@ def has(text: str, word: str) -> str:
     return f"regexp_matches({text}, {q(bounded(word))})"
 
 
+def one_edit(text: str, word: str) -> str:
+    """``text`` is within one edit of ``word`` in code points, which DuckDB's own distance counts in bytes."""
+    ways = [word[:i] + ".?" + word[i + 1 :] for i in range(len(word))] + [word[:i] + "." + word[i:] for i in range(len(word) + 1)]
+    return f"regexp_full_match({text}, {q('(?s)' + '|'.join(ways))})"
+
+
 def literal_list(items: list[str]) -> str:
     return "[" + ", ".join(q(x) for x in items) + "]"
 
