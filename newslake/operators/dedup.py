@@ -19,7 +19,6 @@ from pyspark.sql.types import DoubleType
 from newslake.functions import text as T
 from newslake.functions.arrays import groups_of, mix64
 from newslake.lake import forgotten, written
-from newslake.operators.graph import components
 
 
 def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "id", set_column: str = "set") -> DataFrame:
@@ -217,9 +216,6 @@ def committed(index: DataFrame, evaluated: DataFrame, cap: int = 20_000) -> Data
     return every.orderBy(F.desc("at"), F.desc("id")).limit(cap)
 
 
-EVENT_SCHEMA = "id bigint, event bigint, similarity double, action string"
-
-
 def clusters(rows: DataFrame, threshold: float = 0.55, bonus: float = 0.10, window_hours: float = 48.0) -> DataFrame:
     """Each article joins the active event most like it, or founds one: id, event (founder's id), similarity, action.
 
@@ -227,57 +223,15 @@ def clusters(rows: DataFrame, threshold: float = 0.55, bonus: float = 0.10, wind
     needs a founder's Jaccard of ``threshold - bonus``; so articles of different components of that
     graph never meet. An event stays open for ``window_hours`` after its last article, so a component falls
     apart where its articles pause for longer. Each part is folded in order of (discovered_at, id), an Arrow
-    batch at a time, with open events found by the shingles that they share with an article.
+    batch at a time, with open events found by the shingles that they share with an article. For batches that
+    follow each other see ``stories.EventStore``.
     """
-    least = threshold - bonus
-    own = written(classes(rows, "id", "title"))
-    pairs = similar_pairs(own.filter(F.col("id") == F.col("class")).select("id", "set"), least)
-    found = written(components(pairs.select("a", "b")))
-    grouped = own.join(found, F.col("class") == F.col("node"), "left").select("id", "set", F.coalesce("root", "class").alias("part"))
-    full = grouped.join(rows.select("id", "tags", "discovered_at"), "id")
-    order = Window.partitionBy("part").orderBy("discovered_at", "id")
-    gap = F.unix_micros("discovered_at") - F.lag(F.unix_micros("discovered_at")).over(order)
-    pauses = F.count_if("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    full = full.withColumn("opens", F.coalesce(gap > window_hours * 3.6e9, F.lit(False))).withColumn("pause", pauses).drop("opens")
-    width = pd.Timedelta(hours=window_hours)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, events, held, founded = None, {}, {}, 0
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.part, row.pause) != now:
-                    now, events, held = (row.part, row.pause), {}, {}
-                words, tags = set(row.set), {str(t).lower() for t in row.tags if t is not None}
-                shared: dict[int, int] = {}
-                for w in words:
-                    for k in held.get(w, ()):
-                        shared[k] = shared.get(k, 0) + 1
-                best, sim = None, 0.0
-                for k in sorted(shared):  # in order of founding: of equals the first stays
-                    e = events[k]
-                    if row.discovered_at - e["last"] > width:  # closed, and articles come in order of time
-                        for w in e["words"]:
-                            held[w].discard(k)
-                        del events[k]
-                        continue
-                    s = shared[k] / (len(words) + len(e["words"]) - shared[k]) + (bonus if tags & e["tags"] else 0.0)
-                    if s > sim:
-                        best, sim = e, s
-                if best is not None and sim >= threshold:
-                    best["last"] = row.discovered_at
-                    best["tags"] |= tags
-                    out.append((row.id, best["id"], round(sim, 6), "merged_existing"))
-                else:
-                    k, founded = founded, founded + 1
-                    events[k] = {"id": row.id, "words": words, "tags": tags, "last": row.discovered_at}
-                    for w in words:
-                        held.setdefault(w, set()).add(k)
-                    out.append((row.id, row.id, 0.0, "created_new"))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "event", "similarity", "action"])
-
-    return full.repartition("part", "pause").sortWithinPartitions("part", "pause", "discovered_at", "id").mapInPandas(run, EVENT_SCHEMA)
+    from newslake.operators import stories
+
+    at = F.col("discovered_at")
+    own = rows.select(F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"), F.array_sort(T.shingles(F.col("title"))).alias("set"), "tags", at.alias("at"), at.alias("last"), F.lit(0).cast("bigint").alias("since"))
+    parts = stories.parted(own, threshold - bonus, window_hours)
+    return stories.folded(parts, threshold, bonus, window_hours).filter("kind = 1").select("id", "event", "similarity", "action")
 
 
 def first_wins(rows: DataFrame, keys: list[Column], order: list[Column | str]) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslake.functions import dates as D
 from newslake.functions import text as T
 from newslake.functions import url as U
 from newslake.lexicons import CORPUS_NEGATIVE, CORPUS_POSITIVE, CORPUS_WEIGHTS
+from newslake.lake import scratch_dir
 from newslake.operators import dedup as X
 from newslake.operators.bloom import Bloom
+from newslake.operators.stories import EventStore, TitleIndex
 from newslake.plans import sql as S
 from newslake.plans.registry import q, query
 from newslake.plans.scalars import NOW, _sent, articles, joined, now
@@ -144,6 +148,32 @@ def c1_event_clusters(spark, sf_dir):
     return X.clusters(articles(spark, sf_dir).select(F.col("doc_id").alias("id"), "title", "tags", "discovered_at"))
 
 
+def _thirds(rows, column):
+    """``rows`` in three batches that follow each other by ``column``."""
+    span = rows.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    if span.low is None:
+        return [rows]
+    cuts = [span.low + (span.high - span.low) * k // 3 for k in (1, 2)]
+    return [rows.filter(F.col(column) <= cuts[0]), rows.filter((F.col(column) > cuts[0]) & (F.col(column) <= cuts[1])), rows.filter(F.col(column) > cuts[1])]
+
+
+@query()
+def c1_event_store(spark, sf_dir):
+    """All articles in three batches through the kept events; as ``c1_event_clusters`` over all at once."""
+    store = EventStore(spark, scratch_dir(spark))
+    for batch in _thirds(articles(spark, sf_dir).select(F.col("doc_id").alias("id"), "title", "tags", "discovered_at"), "id"):
+        store.add(batch)
+    return store.members().drop("at")
+
+
+@query()
+def j7_title_index(spark, sf_dir):
+    """All titles in three batches through the kept index, without a cap; as ``d1_greedy_dedup`` over all at once."""
+    index = TitleIndex(spark, scratch_dir(spark), cap=None)
+    told = [index.add(batch) for batch in _thirds(articles(spark, sf_dir).select(F.col("doc_id").alias("id"), "title"), "id")]
+    return reduce(DataFrame.unionByName, told)
+
+
 def evidence(spark, sf_dir):
     """Deterministic evidence: articles of a tenth of the ids are one event."""
     a = articles(spark, sf_dir)
