@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newslake.functions import text as T
-from newslake.lake import written
+from newslake.lake import forgotten, written
 from newslake.operators import dedup
 from newslake.operators.graph import components
 from newslake.operators.segments import Segments
@@ -161,6 +161,7 @@ class EventStore:
         changed = out.filter("kind = 0").select("event", "set", "tags", "last", "founded", "since", F.lit(version + 1).cast("bigint").alias("version"))
         told = written(joined.join(batch.select("id", "at"), "id"))
         self.parts.commit(version, [*entries, self.parts.stored(changed, "events"), self.parts.stored(told, "members")])
+        forgotten(batch, out)
         return told.drop("at").unionByName(known.drop("at"))
 
     def expired(self, now: Any) -> int:
@@ -248,6 +249,7 @@ class TitleIndex:
         decisions = self.parts.stored(told.drop("passed"), "decisions")
         entries = self._capped([*entries, titles, prefixes, decisions])
         self.parts.commit(version, entries)
+        forgotten(rows, new, own, heads, hits, edges, free, between, ok, near, kept)
         return told.drop("passed").unionByName(known)
 
     def _capped(self, entries: list[dict]) -> list[dict]:

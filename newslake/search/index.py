@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslake.functions import text as T
-from newslake.lake import written
+from newslake.lake import forgotten, written
 from newslake.operators.segments import Segments
 from newslake.search.engine import K1, B, parsed
 
@@ -65,6 +65,7 @@ class TextIndex:
         postings = words.mapInArrow(_postings(len(self.weights), version + 1), self.posting.rpartition(",")[0])
         dealt = postings.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
         new = [self.parts.stored(dealt, "postings", "bucket"), self.parts.stored(words.select("id", F.lit(version + 1).cast("bigint").alias("version"), size.alias("n")), "documents", docs=total.docs, words=total.words)]
+        forgotten(words)
         return self.parts.commit(version, entries + gone + new)
 
     def delete(self, ids: DataFrame) -> int:
@@ -76,7 +77,9 @@ class TextIndex:
         live = self._live(self.parts.read(entries, "documents", "id bigint, version bigint, n int"), entries)
         dead = written(live.join(ids, "id", "left_semi").select("id", F.lit(version).cast("bigint").alias("before"), "n"))
         total = dead.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-        return [self.parts.stored(dead, "gone", docs=-total.docs, words=-total.words)] if total.docs else []
+        stored = [self.parts.stored(dead, "gone", docs=-total.docs, words=-total.words)] if total.docs else []
+        forgotten(dead)
+        return stored
 
     def _live(self, rows: DataFrame, entries: list[dict]) -> DataFrame:
         if not any(e["kind"] == "gone" for e in entries):
