@@ -31,10 +31,12 @@ def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "id", set_
     members = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("m"))
     rare = members.groupBy("m").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "m"))
-    first = members.join(rare, "m").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "m")
+    first = members.join(rare, "m").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "m", "k")
     first = written(first)
-    a, b = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "m"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "m")
+    a, b = (first.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "m", F.col("k").alias(f"k{x}")) for x in "ab")
     fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9))
+    # the first shared member leaves enough behind it in both sets
+    fit &= 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
     candidates = a.join(b, "m").filter(fit).select("a", "b").distinct()
     full = candidates.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     return full.withColumn("sim", T.jaccard(F.col("sa"), F.col("sb"))).filter(F.col("sim") >= threshold - 1e-12).select("a", "b", "sim")

@@ -5,6 +5,8 @@ are parquet folders, partitioned by a hash of the first ``HEAD`` letters of the
 term or a prefix reads one partition, and of it the row groups that can hold it (``StartsWith`` and equality are pushed down).
 Terms of a third of all documents are many files: Spark splits large partitions when it rebalances them by that hash.
 
+A document has one row more, without a term, in a partition of its own.
+
 Documents are added and deleted in batches, each a commit of ``Segments``: an added batch is a folder more; a deleted or
 replaced document is a row (id, version) that hides its postings of earlier versions. Numbers of documents and words
 are sums over commits. ``merged`` makes one folder of all. Searches score exactly as ``engine.bm25`` does over the live rows.
@@ -14,21 +16,26 @@ Null columns are empty; rows with a null id are not indexed; of rows that repeat
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from operator import add, and_, or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.functions import text as T
 from newslake.lake import forgotten, written
 from newslake.operators.segments import Segments
 from newslake.search.engine import K1, B, parsed
 
 HEAD, BUCKETS = 2, 64
+DOCUMENT = -1  # the bucket of the documents' own rows
+ROWS = 50_000  # postings at once
+WORD = re.compile(r"\w+")  # letters, numbers and _, as ``text.WORD``
 
 
 def bucket(term: Column) -> Column:
@@ -55,26 +62,29 @@ class TextIndex:
     def add(self, rows: DataFrame) -> int:
         """Index ``rows``; those whose id is there take its place. The new version; one commit, all or nothing."""
         version, entries = self.parts.state()
-        own = [F.coalesce(F.array_join(c, " ") if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string"), F.lit("")).alias(f"w{i}") for i, c in enumerate(self.weights)]
+        own = [F.lower(F.coalesce(F.array_join(c, " ") if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string"), F.lit(""))).alias(f"w{i}") for i, c in enumerate(self.weights)]
         texts = rows.select(F.col(self.id_column).cast("bigint").alias("id"), *own).filter("id IS NOT NULL")
-        last = F.max(F.struct(*(f"w{i}" for i in range(len(self.weights))))).alias("t")
-        words = written(texts.groupBy("id").agg(last).select("id", *(T.words(F.col(f"t.w{i}")).alias(f"w{i}") for i in range(len(self.weights)))))
-        size = reduce(add, (F.size(f"w{i}") for i in range(len(self.weights))))
-        total = words.agg(F.count("*").alias("docs"), F.coalesce(F.sum(size), F.lit(0)).alias("words")).first()
-        gone = self._gone(entries, words.select("id"), version + 1)
-        postings = words.mapInArrow(_postings(len(self.weights), version + 1), self.posting.rpartition(",")[0])
-        dealt = postings.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-        new = [self.parts.stored(dealt, "postings", "bucket"), self.parts.stored(words.select("id", F.lit(version + 1).cast("bigint").alias("version"), size.alias("n")), "documents", docs=total.docs, words=total.words)]
-        forgotten(words)
-        return self.parts.commit(version, entries + gone + new)
+        if not texts.groupBy("id").count().filter("count > 1").isEmpty():
+            texts = texts.groupBy("id").agg(F.max(F.struct(*(f"w{i}" for i in range(len(self.weights))))).alias("t")).select("id", "t.*")
+        postings = texts.mapInArrow(_postings(len(self.weights), version + 1), self.posting.rpartition(",")[0])
+        dealt = postings.withColumn("bucket", F.when(F.col("term").isNull(), DOCUMENT).otherwise(bucket(F.col("term")))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+        new = self.parts.stored(dealt, "postings", "bucket")
+        documents = self._documents([new])
+        total = documents.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+        gone = self._gone(entries, documents.select("id"), version + 1)
+        return self.parts.commit(version, [*entries, *gone, new | {"docs": total.docs, "words": total.words}])
 
     def delete(self, ids: DataFrame) -> int:
         """Take the documents of ``ids`` (the id column) out of the index; the new version."""
         version, entries = self.parts.state()
         return self.parts.commit(version, entries + self._gone(entries, ids.select(F.col(self.id_column).cast("bigint").alias("id")).distinct(), version + 1))
 
+    def _documents(self, entries: list[dict]) -> DataFrame:
+        """id, version, n: each document's own row, dead ones too."""
+        return self.parts.read(entries, "postings", self.posting).filter(F.col("bucket") == DOCUMENT).select("id", "version", "n")
+
     def _gone(self, entries: list[dict], ids: DataFrame, version: int) -> list[dict]:
-        live = self._live(self.parts.read(entries, "documents", "id bigint, version bigint, n int"), entries)
+        live = self._live(self._documents(entries), entries)
         dead = written(live.join(ids, "id", "left_semi").select("id", F.lit(version).cast("bigint").alias("before"), "n"))
         total = dead.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
         stored = [self.parts.stored(dead, "gone", docs=-total.docs, words=-total.words)] if total.docs else []
@@ -91,10 +101,9 @@ class TextIndex:
         """Rewrite all live postings as one folder; the new version. Old folders stay until ``parts.vacuumed``."""
         version, entries = self.parts.state()
         live = self._live(self.parts.read(entries, "postings", self.posting), entries)
-        documents = self._live(self.parts.read(entries, "documents", "id bigint, version bigint, n int"), entries)
         dealt = live.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
         docs, words = self.totals(entries)
-        return self.parts.commit(version, [self.parts.stored(dealt, "postings", "bucket"), self.parts.stored(documents, "documents", docs=docs, words=words)])
+        return self.parts.commit(version, [self.parts.stored(dealt, "postings", "bucket", docs=docs, words=words)])
 
     # --- queries ------------------------------------------------------------------------------------------------------
 
@@ -110,7 +119,7 @@ class TextIndex:
         if all(exact or len(w) >= HEAD for w, exact in where):
             heads = sorted({w[:HEAD] for w, _ in where})
             rows = rows.filter(F.col("bucket").isin(*(bucket(F.lit(h)) for h in heads)))
-        return self._live(rows.filter(reduce(or_, (_fits(w, exact) for w, exact in where))), entries)
+        return self._live(rows.filter((F.col("bucket") != DOCUMENT) & reduce(or_, (_fits(w, exact) for w, exact in where))), entries)
 
     def search(self, query: str, k: int | None = None, within: DataFrame | None = None) -> DataFrame:
         """Q2: id and score of documents that hold all terms, best first, then smaller id; as ``engine.bm25``.
@@ -168,15 +177,15 @@ class TextIndex:
     def expanded(self, word: str, most: int = 50) -> dict[str, int]:
         """Q4: terms within ``edits_of`` the word, with their numbers of documents: fewest edits, then most documents, ``most`` at most.
 
-        Edits are insertions, deletions, replacements and swaps of neighbours, in code points. Only the dictionary's
-        two columns are read, and of it terms of a near length that share a letter's place with the word.
+        Edits are insertions, deletions, replacements and swaps of neighbours, in code points. The terms' column
+        alone is read; what passes the distance in the JVM is a few terms, counted there.
         """
         edits = edits_of(word)
         if not edits:
             return {r.term: r.df for r in self.postings([(word, True)]).groupBy("term").agg(F.count("*").alias("df")).collect()}
         _, entries = self.parts.state()
         rows = self._live(self.parts.read(entries, "postings", self.posting), entries)
-        near = rows.filter(F.length("term").between(len(word) - edits, len(word) + edits)).select("term").filter(F.levenshtein("term", F.lit(word), 2 * edits) >= 0)  # a swap is two edits
+        near = rows.filter(F.col("bucket") != DOCUMENT).filter(F.length("term").between(len(word) - edits, len(word) + edits)).select("term").filter(F.levenshtein("term", F.lit(word), 2 * edits) >= 0)  # a swap is two edits
         counted = near.groupBy("term").agg(F.count("*").alias("df"))
         found = [(within, -r.df, r.term) for r in counted.toLocalIterator() if (within := _apart(word, r.term)) <= edits]
         return {term: -df for _, df, term in sorted(found)[:most]}
@@ -205,31 +214,42 @@ def _apart(a: str, b: str) -> int:
 
 
 def _postings(columns: int, version: int):  # noqa: ANN202
-    """Arrow batches of (id, words of each column) as postings."""
+    """Arrow batches of (id, lower-case texts) as postings, and a row without a term for each document."""
+
+    def rows_of(terms: list, ids: list, sizes: list, places: list) -> pa.RecordBatch:
+        out = {"term": pa.array(terms, pa.string()), "id": pa.array(ids, pa.int64()), "version": pa.array([version] * len(ids), pa.int64()), "n": pa.array(sizes, pa.int32())}
+        for c in range(columns):
+            own = [p[c] for p in places]
+            ends = np.cumsum([0, *map(len, own)])
+            out[f"f{c}"] = pa.array(np.diff(ends), pa.int32())
+            out[f"p{c}"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(own), np.int32, int(ends[-1]))))
+        return pa.record_batch({name: out[name] for name in ["term", "id", "version", "n", *(f"f{c}" for c in range(columns)), *(f"p{c}" for c in range(columns))]})
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [], [], [], []
         for batch in batches:
-            terms: list[str] = []
-            ids: list[int] = []
-            sizes: list[int] = []
-            places: list[list[list[int]]] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(columns + 1))):
-                held: dict[str, list[list[int]]] = {}
-                for c, words in enumerate(row[1:]):
+            ids = batch.column(0).to_pylist()
+            for at, id_ in enumerate(ids):
+                found: dict[str, list[list[int]]] = {}
+                n = 0
+                for c in range(columns):
+                    words = WORD.findall(batch.column(c + 1)[at].as_py())
+                    n += len(words)
                     for p, w in enumerate(words):
-                        at = held.get(w)
-                        if at is None:
-                            at = held[w] = [[] for _ in range(columns)]
-                        at[c].append(p)
-                n = sum(map(len, row[1:]))
-                terms += held
-                places += held.values()
-                ids += [row[0]] * len(held)
-                sizes += [n] * len(held)
-            out = {"term": pa.array(terms, pa.string()), "id": pa.array(ids, pa.int64()), "version": pa.array([version] * len(ids), pa.int64()), "n": pa.array(sizes, pa.int32())}
-            out |= {f"f{c}": pa.array([len(p[c]) for p in places], pa.int32()) for c in range(columns)}
-            out |= {f"p{c}": pa.array([p[c] for p in places], pa.list_(pa.int32())) for c in range(columns)}
-            yield pa.record_batch(out)
+                        own = found.get(w)
+                        if own is None:
+                            own = found[w] = [[] for _ in range(columns)]
+                        own[c].append(p)
+                terms, docs, sizes, places = held
+                terms += [None, *found]
+                places += [[[]] * columns, *found.values()]
+                docs += [id_] * (len(found) + 1)
+                sizes += [n] * (len(found) + 1)
+                if len(terms) > ROWS:
+                    yield rows_of(*held)
+                    held = [], [], [], []
+        if held[0]:
+            yield rows_of(*held)
 
     return compute
 
