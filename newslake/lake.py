@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open: list[list[str]] = []  # folders written within each open scope
+#: Folders named within each scope that is open in this thread of work; other threads have scopes of their own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("_open", default=())
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -19,7 +21,7 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "/tmp/checkpoints"
     path = f"{base.rstrip('/')}/newslake-{uuid.uuid4().hex}"
-    for held in _open:
+    for held in _open.get():
         held.append(path)
     return path
 
@@ -49,10 +51,10 @@ def forgotten(*tables: DataFrame) -> None:
 def scope(spark: SparkSession) -> Iterator[None]:
     """Remove at its end every scratch folder that was named within; results must be stored elsewhere by then."""
     held: list[str] = []
-    _open.append(held)
+    token = _open.set((*_open.get(), held))
     try:
         yield
     finally:
-        _open.remove(held)
+        _open.reset(token)
         for path in held:
             removed(spark, path)

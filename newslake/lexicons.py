@@ -45,3 +45,9 @@ HIGH_IMPACT = [
     (r"\b(outage|recall|kernel release|supply chain|standard approved|end of life)\b", 0.15),
 ]
 LOW_IMPACT = r"\b(walkthrough|for beginners|weekly roundup|changelog|rumou?rs?|column|in review)\b"
+#: Links that lead to no page: schemes, sections of a site, endings of files.
+NO_PAGES = "data javascript mailto sms tel".split()
+ASIDE = "about account basket careers checkout events feedback help imprint jobs legal login newsletter register rss search settings shop sitemap subscribe support tags terms".split()
+FILES = "avi css csv docx exe gif ics jpeg jpg js mov mp3 mp4 pdf png pptx svg tar webm webp xlsx xml zip".split()
+#: Sections that hold articles.
+SECTIONS = "analysis article dispatch features interview live news reports reviews stories".split()

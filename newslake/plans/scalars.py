@@ -12,6 +12,7 @@ from newslake.functions import pii
 from newslake.functions import text as T
 from newslake.functions import url as U
 from newslake.lexicons import CORPUS_GAZETTEER, CORPUS_NEGATIVE, CORPUS_POSITIVE, CORPUS_STOP, CORPUS_TAXONOMY, CORPUS_WEIGHTS, TRACKING
+from newslake.operators.automaton import tallies
 from newslake.plans import sql as S
 from newslake.plans.registry import q, query
 from newslake.sources.adapters import document_articles, event_attempts, page_observations, table
@@ -269,6 +270,14 @@ def f11_prefix_words(spark, sf_dir):
     return w.filter(F.col("word").startswith("ther")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+@query(rf"WITH {S.ARTICLES}, p AS (SELECT DISTINCT unnest({S.words('text')}) AS word FROM benchmark), w AS (SELECT doc_id, unnest({S.words('clean_text')}) AS word FROM art) SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS n FROM w JOIN p USING (word) GROUP BY word")
+def f11_all_matches(spark, sf_dir):
+    """every word of the benchmark's items, a bounded set, in all texts at once: documents and occurrences."""
+    patterns = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("word"))
+    found = tallies(articles(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lower("clean_text").alias("text")), patterns)
+    return found.groupBy("word").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+
+
 @query(f"WITH p AS (SELECT page_id, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(TIMESTAMP '2024-01-31' + to_minutes(CAST(page_id AS BIGINT)))) / 60e6 + (page_id % 40) * 360 AS age FROM pages) SELECT page_id, CASE WHEN age < 1 THEN 'just now' WHEN age < 60 THEN CAST(floor(age) AS BIGINT) || ' min' || CASE WHEN floor(age) = 1 THEN '' ELSE 's' END || ' ago' WHEN age < 1440 THEN CAST(floor(age / 60) AS BIGINT) || ' hour' || CASE WHEN floor(age / 60) = 1 THEN '' ELSE 's' END || ' ago' WHEN age < 10080 THEN CAST(floor(age / 1440) AS BIGINT) || ' day' || CASE WHEN floor(age / 1440) = 1 THEN '' ELSE 's' END || ' ago' ELSE CAST(floor(age / 10080) AS BIGINT) || ' week' || CASE WHEN floor(age / 10080) = 1 THEN '' ELSE 's' END || ' ago' END AS shown, CASE WHEN age < 15 THEN 'just_now' WHEN age < 60 THEN 'last_hour' WHEN age < 360 THEN 'last_6_hours' WHEN age < 1440 THEN 'today' WHEN age < 10080 THEN 'this_week' ELSE 'older' END AS band FROM p")
 def t3_relative_time(spark, sf_dir):
     o = page_observations(table(spark, sf_dir, "pages"))

@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newslake.lexicons import ASIDE, FILES, NO_PAGES, SECTIONS
+
 #: Elements without text of their own to read.
 BOILERPLATE = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe", "svg"}
 CONTAINERS = ["article", "main", "body"]
-SKIPPED = r"(?i)(^#|^javascript:|^mailto:|^tel:|/login|/signup|/register|/privacy|/terms|/contact|/about|/tag/|/category/|/author/|\.(jpg|jpeg|png|gif|pdf|zip|mp4)$)"
-ARTICLE = r"(?i)(/\d{4}/\d{1,2}/|/article/|/news/|/story/|/post/|/blog/|/\d{5,}|-[a-z]+-[a-z]+-)"
+#: Patterns over our own lists: links that are left out, and addresses that look like an article's (a section, a date, a long number or a title of four words).
+SKIPPED = rf"(?i)(^#|^({'|'.join(NO_PAGES)}):|(^|/)({'|'.join(ASIDE)})(/|$)|\.({'|'.join(FILES)})$)"
+ARTICLE = rf"(?i)(/({'|'.join(SECTIONS)})/|/(19|20)\d\d[/-]\d\d?[/-]|/\d{{6,}}|/\w+-\w+-\w+-\w+)"
 
 
 class _Text(HTMLParser):

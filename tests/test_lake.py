@@ -59,3 +59,28 @@ def test_entry_without_a_library(hidden):
     code = f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; print(len([q for q in e.queries() if not q.startswith('op')]))"
     ran = subprocess.run([sys.executable, "-c", code], cwd=TOP, env=os.environ | {"PYTHONPATH": os.pathsep.join([TOP, os.environ.get("PYTHONPATH", "")])}, capture_output=True, text=True)
     assert ran.returncode == 0 and int(ran.stdout) > 150, ran.stderr
+
+
+def test_scopes_of_two_threads(spark):
+    """A scope removes what its own thread wrote, not what another's still reads."""
+    import threading
+
+    from newslake.lake import scope, written
+
+    opened, ended, kept = threading.Event(), threading.Event(), {}
+
+    def other():
+        with scope(spark):
+            kept["table"] = written(spark.range(5))
+            opened.set()
+            ended.wait(60)
+            kept["rows"] = kept["table"].count()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scope(spark):
+        opened.wait(60)
+        written(spark.range(3))
+    ended.set()
+    thread.join()
+    assert kept["rows"] == 5
