@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
@@ -54,8 +55,7 @@ class TextIndex:
         self.spark, self.weights, self.id_column = spark, weights, id_column
         self.parts = Segments(spark, path)
         counts = ", ".join(f"f{i} int" for i in range(len(weights)))
-        places = ", ".join(f"p{i} array<int>" for i in range(len(weights)))
-        self.posting = f"term string, id bigint, version bigint, n int, {counts}, {places}, bucket int"
+        self.posting = f"term string, id bigint, version bigint, n int, {counts}, at array<int>, bucket int"
 
     # --- changes ------------------------------------------------------------------------------------------------------
 
@@ -66,8 +66,10 @@ class TextIndex:
         texts = rows.select(F.col(self.id_column).cast("bigint").alias("id"), *own).filter("id IS NOT NULL")
         if not texts.groupBy("id").count().filter("count > 1").isEmpty():
             texts = texts.groupBy("id").agg(F.max(F.struct(*(f"w{i}" for i in range(len(self.weights))))).alias("t")).select("id", "t.*")
-        postings = texts.mapInArrow(_postings(len(self.weights), version + 1), self.posting.rpartition(",")[0])
+        postings = texts.mapInArrow(_postings(len(self.weights)), "term string, id bigint, n int, at array<int>")
         dealt = postings.withColumn("bucket", F.when(F.col("term").isNull(), DOCUMENT).otherwise(bucket(F.col("term")))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+        counts = [F.size(self._of(F.col("at"), i)).alias(f"f{i}") for i in range(len(self.weights))]
+        dealt = dealt.select("term", "id", F.lit(version + 1).cast("bigint").alias("version"), "n", *counts, "at", "bucket")
         new = self.parts.stored(dealt, "postings", "bucket")
         documents = self._documents([new])
         total = documents.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
@@ -79,6 +81,10 @@ class TextIndex:
         version, entries = self.parts.state()
         return self.parts.commit(version, entries + self._gone(entries, ids.select(F.col(self.id_column).cast("bigint").alias("id")).distinct(), version + 1))
 
+    def _of(self, at: Column, column: int) -> Column:
+        """Of places those in a column."""
+        return F.filter(at, lambda x: x % len(self.weights) == column)
+
     def _documents(self, entries: list[dict]) -> DataFrame:
         """id, version, n: each document's own row, dead ones too."""
         return self.parts.read(entries, "postings", self.posting).filter(F.col("bucket") == DOCUMENT).select("id", "version", "n")
@@ -146,18 +152,15 @@ class TextIndex:
         sums = [F.max("n").alias("n")]
         for i, (kind, alternatives) in enumerate(terms):
             if kind == "phrase":
-                sums += [F.max(F.when(F.col("term") == w, F.col(f"p{c}"))).alias(f"t{i}_{j}_{c}") for j, w in enumerate(alternatives[0].split()) for c in range(len(weight))]
+                sums += [F.max(F.when(F.col("term") == w, F.col("at"))).alias(f"t{i}_{j}") for j, w in enumerate(alternatives[0].split())]
             else:
                 fits = reduce(or_, (_fits(w, kind != "prefix") for w in alternatives))
                 sums.append(F.coalesce(F.sum(F.when(fits, weighed)), F.lit(0.0)).alias(f"t{i}"))
         held = rows.groupBy("id").agg(*sums)
 
         def in_a_row(i: int, n: int) -> Column:
-            each = []
-            for c, w in enumerate(weight):
-                starts = [_shifted(F.coalesce(F.col(f"t{i}_{j}_{c}"), F.array().cast("array<int>")), j) for j in range(n)]
-                each.append(F.size(reduce(F.array_intersect, starts)) * w)
-            return reduce(add, each)
+            starts = reduce(F.array_intersect, (_shifted(F.coalesce(F.col(f"t{i}_{j}"), F.array().cast("array<int>")), j * len(weight)) for j in range(n)))
+            return reduce(add, (F.size(self._of(starts, c)) * w for c, w in enumerate(weight)))
 
         held = held.select("id", "n", *((in_a_row(i, len(alternatives[0].split())) if kind == "phrase" else F.col(f"t{i}")).cast("double").alias(f"t{i}") for i, (kind, alternatives) in enumerate(terms)))
         frequency = held.agg(*(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))))  # one row; its scan and shuffle are the other's
@@ -213,37 +216,32 @@ def _apart(a: str, b: str) -> int:
     return last[-1]
 
 
-def _postings(columns: int, version: int):  # noqa: ANN202
-    """Arrow batches of (id, lower-case texts) as postings, and a row without a term for each document."""
+def _postings(columns: int):  # noqa: ANN202
+    """Arrow batches of (id, lower-case texts) as postings, and a row without a term for each document.
+
+    A place is the number of a word in its column, times ``columns``, plus the column's number.
+    """
 
     def rows_of(terms: list, ids: list, sizes: list, places: list) -> pa.RecordBatch:
-        out = {"term": pa.array(terms, pa.string()), "id": pa.array(ids, pa.int64()), "version": pa.array([version] * len(ids), pa.int64()), "n": pa.array(sizes, pa.int32())}
-        for c in range(columns):
-            own = [p[c] for p in places]
-            ends = np.cumsum([0, *map(len, own)])
-            out[f"f{c}"] = pa.array(np.diff(ends), pa.int32())
-            out[f"p{c}"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(own), np.int32, int(ends[-1]))))
-        return pa.record_batch({name: out[name] for name in ["term", "id", "version", "n", *(f"f{c}" for c in range(columns)), *(f"p{c}" for c in range(columns))]})
+        ends = np.cumsum([0, *map(len, places)])
+        at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(places), np.int32, int(ends[-1]))))
+        return pa.record_batch({"term": pa.array(terms, pa.string()), "id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "at": at})
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [], [], [], []
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at, id_ in enumerate(ids):
-                found: dict[str, list[list[int]]] = {}
+            for row, id_ in enumerate(batch.column(0).to_pylist()):
+                found: defaultdict[str, list[int]] = defaultdict(list)
                 n = 0
                 for c in range(columns):
-                    words = WORD.findall(batch.column(c + 1)[at].as_py())
+                    words = WORD.findall(batch.column(c + 1)[row].as_py())
                     n += len(words)
-                    for p, w in enumerate(words):
-                        own = found.get(w)
-                        if own is None:
-                            own = found[w] = [[] for _ in range(columns)]
-                        own[c].append(p)
-                terms, docs, sizes, places = held
+                    for w, at in zip(words, range(c, len(words) * columns + c, columns)):
+                        found[w].append(at)
+                terms, ids, sizes, places = held
                 terms += [None, *found]
-                places += [[[]] * columns, *found.values()]
-                docs += [id_] * (len(found) + 1)
+                places += [[], *found.values()]
+                ids += [id_] * (len(found) + 1)
                 sizes += [n] * (len(found) + 1)
                 if len(terms) > ROWS:
                     yield rows_of(*held)
