@@ -1,15 +1,18 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 Nodes are block elements and the runs of text directly inside them. A node is *on* if it holds main
-text. Each node has a potential from its features (tag, class and id words, for text also its length,
-link share, punctuation and parent) and each parent-child pair has one by the kind of edge. On a tree
+text. Each node has a potential from its features and each parent-child pair has one by the kind of edge.
+A block's features are its tag, class and id words, and what it holds: its words, the share of them in links, how
+many runs of prose and which part of the page's prose. A text's are its length, link share, punctuation, parent,
+the texts before and after it and words that announce what is not the article. On a tree
 sum-product is exact: messages go up from the deepest nodes, then down, and give every node's marginal.
 Weights follow the gradient of the likelihood of labelled pages, observed minus expected counts, with
 the expectations from the same messages. The text of a page is that of its text runs whose marginal is
 at least one half, in page order.
 
 Labelled pages are a bounded training set: a list of (html, main texts). ``labelled_pages`` writes
-some from invented words over many page layouts; pass others for other sites.
+some from invented words over many page layouts, half of them without names that mean anything; pass others for
+other sites. Features that fewer than ``RARE`` of them have are left out, so that the names of one page are not learned.
 
 Null and empty pages give the empty text. Broken markup is closed as browsers do in the common cases. Very long
 and very deep pages take time in proportion to their size; a page's tree is in memory at once. Texts on the edge
@@ -23,6 +26,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +49,18 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>?", re.I) for t in RAW}
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Words that announce what is not the article, in short texts.
+CUES = set("""
+abonnieren abonnez acepto accept advert advertisement also anzeige auch aussi also click comments commentaires comentarios consent
+cookies cookie copyright datenschutz follow impressum kommentare newsletter partager popular privacy publicidad publicite read recommended
+related reply reserved rights share sign sponsored subscribe suscribete tags teilen terms trending werbung
+""".split())
+WORD = re.compile(r"[^\W\d_]+")
+RARE = 3
+
+
+def _step(x: float, *bounds: float) -> int:
+    return bisect.bisect_right(bounds, x)
 
 
 class Page:
@@ -158,18 +174,50 @@ class Page:
             column.append(x)
         return len(self.tag) - 1
 
-    def features(self, i: int) -> list[str]:
-        """Names of the features of node ``i``."""
-        if self.text[i] is None:
-            found = [f"tag={self.tag[i]}", *(f"name={n}" for n in self.names[i])]
-            if self.parent[i] >= 0:
-                found.append(f"tag={self.tag[i]}<{self.tag[self.parent[i]]}")
-            return found
-        text, up = self.text[i], self.parent[i]
-        words = text.count(" ") + 1
-        share = self.linked[i] / max(1, len(text))
-        size = 0 if words < 4 else 1 if words < 10 else 2 if words < 25 else 3
-        return [f"text<{self.tag[up]}", f"size={size}", f"link={0 if share < 0.1 else 1 if share < 0.6 else 2}", f"stop={int(text[-1] in '.!?…')}", f"size={size},link={share >= 0.5}"]
+    def features(self) -> list[list[str]]:
+        """Names of the features of each node, in time in proportion to the nodes."""
+        n = len(self.tag)
+        words, chars, linked, prose = [0] * n, [0] * n, list(self.linked), [0] * n
+        runs = [i for i in range(n) if self.text[i] is not None]
+        for i in runs:
+            text = self.text[i]
+            words[i], chars[i] = text.count(" ") + 1, len(text)
+            prose[i] = int(words[i] >= 10 and linked[i] < 0.3 * chars[i])
+        own = {i: _step(words[i], 4, 10, 25) for i in runs}
+        total = [0] * n  # words of prose below a node
+        for i in runs:
+            total[i] = words[i] * prose[i]
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            words[up] += words[i]
+            chars[up] += chars[i]
+            linked[up] += linked[i]
+            prose[up] += prose[i]
+            total[up] += total[i]
+        all_prose = max(1, total[0])
+        out: list[list[str]] = []
+        for i in range(n):
+            share = _step(linked[i] / max(1, chars[i]), 0.1, 0.6)
+            if self.text[i] is None:
+                tag = self.tag[i]
+                found = [f"tag={tag}", *(f"name={x}" for x in self.names[i])]
+                if self.parent[i] >= 0:
+                    found.append(f"tag={tag}<{self.tag[self.parent[i]]}")
+                held, part = _step(prose[i], 1, 2, 5), _step(total[i] / all_prose, 0.05, 0.3, 0.7)
+                found += [f"holds={_step(words[i], 1, 6, 20, 80)},{share}", f"prose={held},{share}", f"part={part}", f"tag={tag},part={part}"]
+                out.append(found)
+            else:
+                part = _step(total[i] / all_prose, 0.05, 0.3, 0.7)
+                out.append([f"text<{self.tag[self.parent[i]]}", f"size={own[i]},part={part}", f"size={own[i]}", f"link={share}", f"stop={int(self.text[i][-1] in '.!?…')}", f"size={own[i]},link={share == 2}"])
+        for k, i in enumerate(runs):
+            before = own[runs[k - 1]] if k else -1
+            after = own[runs[k + 1]] if k + 1 < len(runs) else -1
+            out[i] += [f"size={own[i]},before={before}", f"size={own[i]},after={after}"]
+            if own[i] < 3:
+                out[i] += [f"cue={x}" for x in CUES.intersection(WORD.findall(self.text[i].lower()))]
+            if "©" in self.text[i]:
+                out[i].append("cue=©")
+        return out
 
 
 EDGES = 4
@@ -193,11 +241,11 @@ class Forest:
         self.first = [0]
         for page in pages:
             base = self.first[-1]
-            for i, up in enumerate(page.parent):
+            for i, (up, names) in enumerate(zip(page.parent, page.features())):
                 parent.append(base + up if up >= 0 else -1)
                 depth.append(depth[base + up] + 1 if up >= 0 else 0)
                 edge.append(_edge(page, i) if up >= 0 else 0)
-                for name in page.features(i):
+                for name in names:
                     f = index.setdefault(name, len(index)) if grow else index.get(name, -1)
                     if f >= 0:
                         node.append(base + i)
@@ -257,16 +305,18 @@ class Model:
         return out
 
 
-def fit(labelled: list[tuple[str, list[str]]], rounds: int = 150, rate: float = 0.5, decay: float = 2e-4) -> Model:
+def fit(labelled: list[tuple[str, list[str]]], rounds: int = 200, rate: float = 1.0, decay: float = 3e-5) -> Model:
     """Weights by gradient ascent (with momentum by coordinate) on the likelihood of ``labelled`` pages."""
-    pages, index, truth = [Page(source) for source, _ in labelled], {}, []
+    pages, truth = [Page(source) for source, _ in labelled], []
+    on_pages = Counter(name for page in pages for name in {x for names in page.features() for x in names})
+    index = {name: k for k, name in enumerate(x for x, n in on_pages.items() if n >= RARE)}
     for page, (_, texts) in zip(pages, labelled):
         wanted = {" ".join(t.split()) for t in texts}
         on = np.array([t is not None and t in wanted for t in page.text])
         for i in range(len(on) - 1, 0, -1):
             on[page.parent[i]] |= on[i]
         truth.append(on)
-    forest, on = Forest(pages, index, grow=True), np.concatenate(truth).astype(float)
+    forest, on = Forest(pages, index), np.concatenate(truth).astype(float)
     weights, pairs = np.zeros(len(index)), np.zeros((EDGES, 2, 2))
     inner = np.flatnonzero(forest.parent >= 0)
     seen = np.zeros((EDGES, 2, 2))
@@ -286,7 +336,7 @@ def fit(labelled: list[tuple[str, list[str]]], rounds: int = 150, rate: float =
     return Model(index, weights, pairs)
 
 
-def labelled_pages(n: int = 800, seed: int = 7) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 1200, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Invented pages of many layouts with their main texts."""
     rng = random.Random(seed)
     parts = "ka lo mi ran tes vol dor en ist ung ble que ona reu sti ver pal nor ez gri".split()
@@ -309,7 +359,25 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[tuple[str, list[str]]]:
     def named(tag: str, names: str) -> str:
         return f'<{tag} {pick(("class", "class", "id"))}="{pick(names.split())}{pick(("", "", "", " wide", " box-" + word()))}">'
 
+    def unnamed(tag: str) -> str:
+        """A tag without names, or with some that say nothing."""
+        return pick((f"<{tag}>", f'<{tag} class="{word()}">', f'<{tag} id="{word()}{rng.randint(1, 99)}">', f'<{tag} class="{word()}-{word()} {word()}">'))
+
+    def cue(k: int) -> str:
+        """A short line that announces what is not the article."""
+        words = run(1, 5).split(" ")
+        for _ in range(k):
+            words.insert(rng.randint(0, len(words)), pick(cues))
+        return " ".join(words).capitalize() + pick(("", "", ".", "…", ":"))
+
+    cues = sorted(CUES)
+    teasers = lambda: "".join(f'<div><a href="/{word()}">{pick((short, sentence))()}</a></div>' for _ in range(rng.randint(2, 6)))
     off_tags = [
+        lambda: unnamed(pick(("div", "div", "section"))) + f"<ul>{links(rng.randint(2, 9))}</ul></div>",
+        lambda: unnamed("div") + pick((f"<h3>{cue(2)}</h3><ul>{links(4)}</ul>", f"<h4>{cue(2)}</h4>{teasers()}", f"<p>{cue(2)}</p>", cue(rng.randint(1, 3)), f"{cue(2)}<button>{word()}</button>", teasers())) + "</div>",
+        lambda: unnamed("div") + f"&copy; {pick((short(), sentence()))} {cue(1)}</div>",
+        lambda: unnamed("p") + pick((f"&copy; {run(1, 8)}", cue(3), "".join(f"<a href=/{word()}>{run(1, 2)}</a> | " for _ in range(4)))) + "</p>",
+        lambda: named("div", "outbrain taboola recirc recirculation recommendations teaser teasers more readnext promo trc") + pick((cue(2), f"<h3>{cue(2)}</h3>{teasers()}", teasers(), f"<p>{cue(1)}</p><ul>{links(4)}</ul>")) + "</div>",
         lambda: f"<nav>{pick(('<ul>' + links(rng.randint(2, 9)) + '</ul>', short()))}</nav>",
         lambda: named("div", "nav menu navbar navigation breadcrumb breadcrumbs main-menu topbar") + pick((f"<ul>{links(rng.randint(2, 9))}</ul>", short(), sentence())) + "</div>",
         lambda: named("ul", "menu nav nav-list pagination tags related-links social share breadcrumb") + links(rng.randint(2, 7)) + "</ul>",
@@ -331,6 +399,8 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[tuple[str, list[str]]]:
     def off() -> str:
         made = pick(off_tags)()
         opened = re.match(r"<(\w+)", made)[1]
+        if opened == "section":
+            made = made.removesuffix("</div>") + ("" if made.endswith("</section>") else "</section>")
         return made if made.endswith((f"</{opened}>", "</noscript>")) else f"{made.removesuffix('</div>')}</{opened}>"
 
     def inline(text: str) -> str:
@@ -350,21 +420,30 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[tuple[str, list[str]]]:
             return inline(text)
 
         body = []
-        if rng.random() < 0.9:
-            body.append(f"<h1>{say(short())}</h1>")
+        lone = rng.random() < 0.1  # one block and no heading
+        if not lone and rng.random() < 0.9:
+            body.append(pick(("{}", "{}", "{}", "{}", "<div>{}</div>")).format(f"<h1>{say(short())}</h1>"))
         if rng.random() < 0.2:
             body.append(f"<p class=\"{pick(('lead', 'intro', 'summary', 'byline', 'dek', 'standfirst'))}\">{say(sentence())}</p>")
-        for _ in range(rng.randint(1, 9)):
-            kind = rng.random()
-            if kind < 0.62:
+        only = rng.random() < 0.08  # nothing but blocks of one kind
+        plain = rng.choice((0.9, 0.955))
+        for _ in range(1 if lone else rng.randint(1, 9)):
+            kind = pick((plain, 0.3, 0.94)) if lone else plain if only else rng.random()
+            if kind < 0.55:
                 body.append(f"<p>{say(pick((prose, prose, prose, sentence, short))())}</p>")
-            elif kind < 0.68:
+            elif kind < 0.61:
                 body.append(f"<p><b>{say(prose())}<br><p>{say(prose())}</p>")
-            elif kind < 0.75:
+            elif kind < 0.67:
                 level = pick("234")
                 body.append(f"<h{level}>{say(short())}</h{level}>")
             elif kind < 0.8:
-                body.append("<ul>" + "".join(f"<li>{say(pick((sentence, short))())}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
+                kind_of = pick(("ul", "ol", "ol", "dl"))
+                if kind_of == "dl":
+                    items = "".join(f"<dt>{say(short())}</dt><dd>{say(sentence())}</dd>" for _ in range(rng.randint(1, 4)))
+                else:
+                    item = lambda: pick(("<li>{}</li>", "<li>{}</li>", "<li>{}", "<li><p>{}</p></li>")).format(say(pick((sentence, sentence, short, prose))()))
+                    items = "".join(item() + (f"<ul>{item()}{item()}</ul>" if rng.random() < 0.1 else "") for _ in range(rng.randint(1, 6)))
+                body.append(pick((f"<{kind_of}>", unnamed(kind_of))) + items + f"</{kind_of}>")
             elif kind < 0.84:
                 body.append(f"<blockquote>{say(sentence())}</blockquote>" if rng.random() < 0.5 else f"<blockquote><p>{say(prose())}</p></blockquote>")
             elif kind < 0.87:
@@ -374,22 +453,33 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[tuple[str, list[str]]]:
             elif kind < 0.93:
                 body.append(f"<figure><img src=x><figcaption>{say(sentence())}</figcaption></figure>")
             elif kind < 0.96:
-                body.append(f"<div>{say(prose())}</div>")
+                body.append(unnamed("div") + pick(("{}", "{}", "<div>{}</div>", "<p>{}</p>")).format(say(prose())) + "</div>")
             else:
                 body.append(f"<section><h2>{say(short())}</h2><p>{say(prose())}</p></section>")
-            if rng.random() < 0.12:
+            if not lone and rng.random() < 0.12:
                 body.append(off())
-        if rng.random() < 0.15:
+        if not lone and rng.random() < 0.15:
             body.append(off())
         container = pick(("article", "article", "article", "main", "div", "div", "section", "td"))
         names = "content article post entry entry-content article-body story main post-content article-text page-content body text"
-        opened = f"<{container}>" if container in ("article", "main") and rng.random() < 0.7 else named(container, names)
+        bare = rng.random() < 0.3  # a container whose names say nothing
+        if bare:
+            container, opened = "div", unnamed("div")
+        else:
+            opened = f"<{container}>" if container in ("article", "main") and rng.random() < 0.7 else named(container, names)
+        if opened == "<article>" and body[0].startswith("<h1") and rng.random() < 0.3:
+            body[0] = f"<header>{body[0]}</header>"
         inner = opened + "".join(body) + f"</{container}>"
+        if bare and rng.random() < 0.25:
+            inner = "".join(body)  # right in the body, or in its wrappers
         if container == "td":
             inner = f"<table><tr><td>{links(2)}</td>{inner}</tr></table>"
-        if rng.random() < 0.3:
+        if not lone and rng.random() < 0.3:
             inner = pick(('<div id="wrapper">', '<div class="container">', "<main>", "<div>", '<div class="row">')) + off() + inner + off() + "</div>"
-        before, after = "".join(off() for _ in range(rng.randint(0, 4))), "".join(off() for _ in range(rng.randint(0, 4)))
+        for _ in range(pick((0, 0, 1, 2)) if bare else 0):
+            inner = unnamed("div") + inner + "</div>"
+        beside = pick((0, 0, 2)) if lone else 4
+        before, after = "".join(off() for _ in range(rng.randint(0, beside))), "".join(off() for _ in range(rng.randint(0, beside)))
         head = f"<!DOCTYPE html><html lang=x><head><meta charset=utf-8><title>{short()}</title><style>a{{}}</style></head>"
         out.append((f"{head}<body>{before}<!-- ad -->{inner}{after}" + pick(("</body></html>", "</body></html>", "")), texts))
     return out
