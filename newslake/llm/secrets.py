@@ -32,12 +32,13 @@ BASE = [
 ]
 #: A private key through its closing line (single hyphens may occur in fields, another opening line may not); where that is
 #: missing, fields and lines of 16 and more base64 characters with a padded last one; or else the opening line alone. Line
-#: breaks may be escaped. Counts of lines are bounded, as Java's groups take stack.
-_LINES = r"([\x20\t\r\n\\]+(r\\)?[A-Za-z0-9+/]{16,}={0,2}){0,60}"
+#: breaks may be escaped. Java keeps no way back into a possessive group, so any number of lines takes no stack; RE2 has no
+#: such groups and needs none. What follows the lines may be empty, so both take the same ones.
 PEM = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----(([^-]+-){0,8}[^-]*-----END [A-Z ]*PRIVATE KEY-----"
-    r"|([\x20\t\r\n\\]+n?Proc-Type: [^\n\\]*[\x20\t\r\n\\]+n?DEK-Info: [^\n\\]*)?" + _LINES * 4 + r"([\x20\t\r\n\\]+(r\\)?[A-Za-z0-9+/]{1,15}={1,2})?)"
+    r"|([\x20\t\r\n\\]+n?Proc-Type: [^\n\\]*[\x20\t\r\n\\]+n?DEK-Info: [^\n\\]*)?([\x20\t\r\n\\]+(r\\)?[A-Za-z0-9+/]{16,}={0,2})*+([\x20\t\r\n\\]+(r\\)?[A-Za-z0-9+/]{1,15}={1,2})?)"
 )
+PEM_RE2 = PEM.replace("*+([", "*([")
 FURTHER = [
     ("pem", PEM, 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
@@ -158,7 +159,7 @@ def oracle(table: str = "documents", repository: str = REPOSITORY, owner: str =
     q = lambda s: "'" + s.replace("'", "''") + "'"
     parts = []
     for i, (_, pattern, group, least) in enumerate(KINDS):
-        p = q(pattern)
+        p = q(PEM_RE2 if pattern == PEM else pattern)
         parts.append(f"SELECT rid, rep, own, {i} AS kind, {least} AS least, unnest(range(len(regexp_extract_all(t, {p}, 0)))) AS i, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS ss FROM d WHERE regexp_matches(t, {p})")
     names = "[" + ", ".join(q(k[0]) for k in KINDS) + "]"
     text = f"string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"

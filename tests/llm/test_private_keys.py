@@ -43,3 +43,21 @@ def test_private_keys_as_sql(spark):
     con.register("documents", documents)
     got = {tuple(r) for r in secrets.scanned_secrets(spark.createDataFrame(documents), repository="source").select("doc_id", "spans", "n_live", "most_owners").collect()}
     assert got == set(con.execute(f"SELECT doc_id, spans, n_live, most_owners FROM ({secrets.oracle(repository='source')})").fetchall())
+
+
+def test_keys_of_any_number_of_lines(spark):
+    """Keys of thousands of lines, with and without a closing line, are one span and go whole; SQL agrees."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(5)
+    keys = [private_key(rng, lines=n, end=end, brk=brk) for n in (300, 20_000) for end in (False, True) for brk in ("\n", "\\n")]
+    texts = [f"before {k}\nand after" for k in keys]
+    documents = pd.DataFrame([(i, t, f"src{i}") for i, t in enumerate(texts)], columns=["doc_id", "text", "source"])
+    rows = spark.createDataFrame(documents)
+    assert {r.text for r in secrets.redacted(rows, repository="source").collect()} == {"before [SECRET]\nand after"}
+    got = {r.doc_id: r.spans for r in secrets.scanned_secrets(rows, repository="source").collect()}
+    assert all(f"pem:7:{7 + len(k)}" in got[i].split(",") for i, k in enumerate(keys))
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert got == dict(con.execute(f"SELECT doc_id, spans FROM ({secrets.oracle(repository='source')})").fetchall())
