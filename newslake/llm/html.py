@@ -213,7 +213,7 @@ class Page:
             before = own[runs[k - 1]] if k else -1
             after = own[runs[k + 1]] if k + 1 < len(runs) else -1
             out[i] += [f"size={own[i]},before={before}", f"size={own[i]},after={after}"]
-            if own[i] < 3:
+            if own[i] < 3 and self.tag[self.parent[i]] != "p":  # paragraphs of an article may say the same
                 out[i] += [f"cue={x}" for x in CUES.intersection(WORD.findall(self.text[i].lower()))]
             if "©" in self.text[i]:
                 out[i].append("cue=©")
@@ -374,9 +374,9 @@ def labelled_pages(n: int = 1200, seed: int = 7) -> list[tuple[str, list[str]]]:
     teasers = lambda: "".join(f'<div><a href="/{word()}">{pick((short, sentence))()}</a></div>' for _ in range(rng.randint(2, 6)))
     off_tags = [
         lambda: unnamed(pick(("div", "div", "section"))) + f"<ul>{links(rng.randint(2, 9))}</ul></div>",
-        lambda: unnamed("div") + pick((f"<h3>{cue(2)}</h3><ul>{links(4)}</ul>", f"<h4>{cue(2)}</h4>{teasers()}", f"<p>{cue(2)}</p>", cue(rng.randint(1, 3)), f"{cue(2)}<button>{word()}</button>", teasers())) + "</div>",
+        lambda: unnamed("div") + pick((f"<h3>{cue(2)}</h3><ul>{links(4)}</ul>", f"<h4>{cue(2)}</h4>{teasers()}", f"<b>{cue(2)}</b>", cue(rng.randint(1, 3)), f"{cue(2)}<button>{word()}</button>", teasers())) + "</div>",
         lambda: unnamed("div") + f"&copy; {pick((short(), sentence()))} {cue(1)}</div>",
-        lambda: unnamed("p") + pick((f"&copy; {run(1, 8)}", cue(3), "".join(f"<a href=/{word()}>{run(1, 2)}</a> | " for _ in range(4)))) + "</p>",
+        lambda: unnamed("p") + pick((f"&copy; {run(1, 8)}", "".join(f"<a href=/{word()}>{run(1, 2)}</a> | " for _ in range(4)))) + "</p>",
         lambda: named("div", "outbrain taboola recirc recirculation recommendations teaser teasers more readnext promo trc") + pick((cue(2), f"<h3>{cue(2)}</h3>{teasers()}", teasers(), f"<p>{cue(1)}</p><ul>{links(4)}</ul>")) + "</div>",
         lambda: f"<nav>{pick(('<ul>' + links(rng.randint(2, 9)) + '</ul>', short()))}</nav>",
         lambda: named("div", "nav menu navbar navigation breadcrumb breadcrumbs main-menu topbar") + pick((f"<ul>{links(rng.randint(2, 9))}</ul>", short(), sentence())) + "</div>",
