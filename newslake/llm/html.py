@@ -55,6 +55,14 @@ abonnieren abonnez acepto accept advert advertisement also anzeige auch aussi al
 cookies cookie copyright datenschutz follow impressum kommentare newsletter partager popular privacy publicidad publicite read recommended
 related reply reserved rights share sign sponsored subscribe suscribete tags teilen terms trending werbung
 """.split())
+#: Words in the names of blocks that hold something else, or the article.
+APART = set("""
+ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer discussion
+footer gdpr header legal logo masthead menu modal nav navbar navigation newsletter notice overlay pagination paywall popular popup promo
+promotion recirc recommended related replies reply responses secondary share sharing sidebar signup social sponsor sponsored subscribe
+taboola tags teaser teasers toolbar topbar trending warning widget
+""".split())
+MAIN = set("article body content entry main post story text".split())
 WORD = re.compile(r"[^\W\d_]+")
 RARE = 3
 
@@ -201,6 +209,9 @@ class Page:
             if self.text[i] is None:
                 tag = self.tag[i]
                 found = [f"tag={tag}", *(f"name={x}" for x in self.names[i])]
+                kind = "apart" if APART.intersection(self.names[i]) else "main" if MAIN.intersection(self.names[i]) else ""
+                if kind:
+                    found += [f"kind={kind}", f"kind={kind},prose={int(prose[i] > 0)}", f"kind={kind},part={_step(total[i] / all_prose, 0.05, 0.3, 0.7)}"]
                 if self.parent[i] >= 0:
                     found.append(f"tag={tag}<{self.tag[self.parent[i]]}")
                 held, part = _step(prose[i], 1, 2, 5), _step(total[i] / all_prose, 0.05, 0.3, 0.7)
