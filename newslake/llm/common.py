@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from newslake.functions.arrays import groups_of, mix64  # noqa: F401
-from newslake.lake import scratch_dir, written  # noqa: F401
+from newslake.lake import forgotten, scratch_dir, written  # noqa: F401
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:

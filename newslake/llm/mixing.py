@@ -8,15 +8,16 @@ meet the targets in least squares, with a small ridge that keeps rates near one:
     least of  |totals(r) - target|^2 / 2 + RIDGE * all tokens * sum of tokens * (r - 1)^2 / 2,  r >= 0
 
 Without the ridge the best rates are not unique, and those that meet a target of zero put all weight on the
-few documents with the smallest posterior. A move scales a document's slope by its tokens, so the rates that
-the projection reaches depend on posteriors alone: r = max(0, 1 - posterior . m) with one number m for each
-domain, and m is the error of the totals over RIDGE at the optimum. Each pass is one distributed sum of totals
-and of the curvature of the rates that may move, which gives the next step of m (Newton's, halved where the
-objective of m does not fall). Passes end when the conditions of the optimum hold to ``TOLERANCE``; if they
-never do, it raises. A target that cannot be met is told by ``Fit``: what each domain reaches and whether that
-is within ``MET`` of all tokens.
-
-A rate becomes whole copies: its whole part, and one more where a hash of the document falls below the
+few documents with the smallest posterior. Each pass is one distributed sum: every task moves the rates of its rows
+against their slope, a full step of the curvature, sets what falls below zero to zero, goes on a little in the direction
+of the last move (Nesterov's acceleration, begun anew where it leads uphill), and adds up the totals at the new rates.
+Only these, a number for each domain, pass through the driver. A slope is scaled by its row's tokens, so rates depend on
+posteriors alone and any task can repeat the moves; every ``KEPT`` moves the rates are written. Passes end when a full
+step of the ridge would change no rate by more than ``TOLERANCE`` over the ridge; if they never do, it raises. Smaller
+ridges take more passes: about 300 at the default and 500 at a tenth of it. A target that cannot be met is told
+by ``Fit``: what each domain reaches and whether that is within ``MET`` of the target (of what there was, for a target of 0).
+
+A rate becomes whole copies: its whole part, and one more where a hash of the document's id and text falls below the
 rest, which any run repeats.
 
 Null and empty texts have no words: they get the prior posteriors and 0 tokens, and keep a rate. Texts of any
@@ -35,15 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.llm.common import bytes_of, groups_of, written
+from newslake.llm.common import bytes_of, forgotten, groups_of, written
 from newslake.llm.tokens import BATCH_BYTES, segments, words
 
 DIM = 1 << 16
 SAMPLE = 6_000  # labelled documents, about: those with the smallest hashes of their id; texts of any length
 EPOCHS = 40
 RIDGE = 1e-3
-PASSES, TOLERANCE = 100, 1e-8  # far more passes than a fit takes; the error allowed in the conditions, of all tokens
-MET = 0.01  # a target is met if the total is as close, of all tokens
+PASSES, TOLERANCE = 3000, 1e-7  # far more passes than a fit takes; the error allowed in the conditions, of all tokens
+KEPT = 24  # moves between two tables of rates
+MET = 0.01  # a target is met if the total is as close, of the target; one of 0, of the tokens that the domain had
 #: The domains of the labelled table and their target weights: shares of all tokens that there are.
 DOMAINS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 
@@ -162,29 +164,55 @@ def classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, float
 
 
 def posteriors(documents: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens and the array of posteriors of each row."""
+    """doc_id, n_tokens, the array of posteriors and a hash of id and text of each row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def compute(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             p, n = shared.value.posteriors(bytes_of(batch.column(1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists, batch.column(2)], names=["doc_id", "n_tokens", "posterior", "hash"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(compute, "doc_id bigint, n_tokens bigint, posterior array<double>")
+    named = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return named.select("doc_id", "text", hash_of(F.col("doc_id"), F.col("text"))).mapInArrow(compute, "doc_id bigint, n_tokens bigint, posterior array<double>, hash bigint")
 
 
-def rates(p: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Rates that a projected move from one by ``m`` gives."""
-    return np.maximum(0, 1 - p @ m)
+@dataclass(frozen=True)
+class Moves:
+    """Projected gradient moves of rates: the error of the totals and the share of momentum of each."""
+
+    weight: float
+    curve: float
+    steps: tuple[tuple[np.ndarray, float], ...] = ()
+
+    def walk(self, p: np.ndarray, x: np.ndarray, y: np.ndarray, after: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Rates ``x`` and the points ahead ``y`` after the moves from number ``after`` on.
+
+        Then of the last move: how far it goes against the one before, and the largest change of a rate that a full step
+        of the ridge would make at the point that it left.
+        """
+        against, far = np.zeros(len(y)), np.inf
+        for k in range(after, len(self.steps)):
+            error, momentum = self.steps[k]
+            slope = p @ error + self.weight * (y - 1)
+            new = np.maximum(0, y - slope / self.curve)
+            if k == len(self.steps) - 1:
+                against = (y - new) * (new - x)
+                far = float(np.abs(y - np.maximum(0, y - slope / self.weight)).max(initial=0))
+            x, y = new, np.maximum(0, new + momentum * (new - x))
+        return x, y, against, far
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        one = np.ones(len(p))
+        return self.walk(p, one, one)[1]
 
 
 @dataclass(frozen=True)
 class Fit:
-    """A fit by domain: the move, targets, totals before and totals reached; and the error left in the optimum's conditions."""
+    """A fit by domain: the moves, targets, totals before and totals reached; and the error left in the optimum's conditions."""
 
     domains: list[str]
-    move: np.ndarray
+    moves: Moves
     target: np.ndarray
     before: np.ndarray
     reached: np.ndarray
@@ -193,7 +221,7 @@ class Fit:
 
     def met(self) -> np.ndarray:
         """Which targets are met; the optimum misses those that no rates near one can meet."""
-        return np.abs(self.reached - self.target) <= MET * max(self.before.sum(), 1.0)
+        return np.abs(self.reached - self.target) <= MET * np.where(self.target > 0, self.target, self.before)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """domain, target, before, reached, met."""
@@ -201,47 +229,68 @@ class Fit:
         return spark.createDataFrame(list(found), "domain string, target double, before double, reached double, met boolean")
 
 
+def _moved(batch: pa.RecordBatch, k: int, moves: Moves, after: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Tokens, posteriors and the walk of a batch of (n_tokens, posterior, x, y)."""
+    tokens, x, y = (batch.column(i).to_numpy().astype(float) for i in (0, 2, 3))
+    p = batch.column(1).flatten().to_numpy().reshape(-1, k)
+    return tokens, p, moves.walk(p, x, y, after)
+
+
 def solve(found: DataFrame, domains: list[str], shares: list[float], ridge: float = RIDGE) -> Fit:
     """The least-squares rates for targets that are ``shares`` of all tokens of ``found`` (n_tokens, posterior)."""
     k = len(shares)
     context = found.sparkSession.sparkContext
-
-    def sums(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Totals by domain at ``m``, the curvature, and half the sum of tokens times squared rates."""
+    p = [F.col("posterior")[i] for i in range(k)]
+    first = found.agg(*(F.sum(F.col("n_tokens") * a).alias(f"t{i}") for i, a in enumerate(p)), *(F.sum(F.col("n_tokens") * a * b).alias(f"c{i}_{j}") for i, a in enumerate(p) for j, b in enumerate(p))).first()
+    first = np.array([x or 0.0 for x in first])
+    before, curvature = first[:k], first[k:].reshape(k, k)
+    all_tokens = max(float(before.sum()), 1.0)
+    target, weight = np.array(shares) * before.sum(), ridge * all_tokens
+    moves = Moves(weight, weight + float(np.linalg.eigvalsh(curvature)[-1]))
+    state, after = found.select("n_tokens", "posterior", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), 0
+
+    def sums(moves: Moves, after: int) -> tuple[np.ndarray, float, float]:
+        """Totals by domain at the points ahead; and of the last move, its product with the one before and its residual."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + k * k + 1)
+            total, against, worst = np.zeros(k), 0.0, 0.0
             for batch in batches:
-                p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                t, r = batch.column(0).to_numpy().astype(float), rates(p, shared.value)
-                total[:k] += (t * r) @ p
-                total[k:-1] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
-                total[-1] += (t * r * r).sum() / 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
-
-        shared = context.broadcast(m)
-        out = np.zeros(k + k * k + 1)
-        for i, x in found.select("n_tokens", "posterior").mapInArrow(add, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-            out[i] = x
-        return out[:k], out[k:-1].reshape(k, k), out[-1]
-
-    m = np.zeros(k)
-    got, curve, half = sums(m)
-    before, all_tokens = got, max(float(got.sum()), 1.0)
-    target, weight = np.array(shares) * got.sum(), ridge * all_tokens
-    value = lambda m, half: half + m @ target + weight * (m @ m) / 2
+                t, p, (_, y, back, far) = _moved(batch, k, shared.value, after)
+                total += (t * y) @ p
+                against += float(t @ back)
+                worst = max(worst, far)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*total, against, worst)], names=names)
+
+        shared = context.broadcast(moves)
+        names = [*(f"t{i}" for i in range(k)), "against", "worst"]
+        row = state.mapInArrow(add, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c) for c in names[:-1]), F.max("worst")).first()
+        shared.unpersist()
+        out = [x or 0.0 for x in row]
+        return np.array(out[:k]), out[k], out[-1]
+
+    def keep(moves: Moves, after: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y, _, _ = _moved(batch, k, shared.value, after)[2]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x), pa.array(y)], schema=batch.schema)
+
+        shared = context.broadcast(moves)
+        return written(state.mapInArrow(run, state.schema))
+
+    got, run, uphill = before, 0, False
     for passes in range(1, PASSES + 1):
-        error = got - target - weight * m  # of the conditions: at the optimum m is the totals' error over the ridge
-        residual = float(np.abs(error).max()) / all_tokens
-        if residual <= TOLERANCE:
-            return Fit(domains, m, target, before, got, residual, passes)
-        step, share = np.linalg.solve(curve + weight * np.eye(k), error), 1.0
-        while True:
-            after = sums(m + share * step)
-            if value(m + share * step, after[2]) <= value(m, half) - 1e-4 * share * float(error @ step) + 1e-12 * all_tokens or share < 1e-6:
-                break
-            share /= 2
-        m, (got, curve, half) = m + share * step, after
+        run = 0 if uphill else run + 1
+        ahead = Moves(weight, moves.curve, (*moves.steps, (got - target, run / (run + 3) if run else 0.0)))
+        totals, against, far = sums(ahead, after)
+        residual = ridge * far
+        if residual <= TOLERANCE:  # where the last move began
+            forgotten(state)
+            return Fit(domains, moves, target, before, got, residual, passes)
+        moves, got, uphill = ahead, totals, against > 0
+        if len(moves.steps) - after == KEPT:
+            last, state = state, keep(moves, after)
+            after = len(moves.steps)
+            forgotten(last)
     raise ArithmeticError(f"rates did not settle: {residual} of all tokens left after {PASSES} passes")
 
 
@@ -257,16 +306,27 @@ def rated(documents: DataFrame, labels: DataFrame, domains: dict[str, float] = D
     share = [F.col("posterior")[at[d]].alias(f"p_{d}") if d in at else F.lit(0.0).alias(f"p_{d}") for d in domains]
     told = [F.lit(float(x[at[d]]) if d in at else 0.0).alias(f"{name}_{d}") for name, x in (("target", fit.target), ("reached", fit.reached)) for d in domains]
     out = found.withColumn("rate", _rate(F.col("posterior"), fit))
-    return out.select("doc_id", "n_tokens", *share, "rate", copies_of(F.col("doc_id"), F.col("rate")).alias("copies"), *told, F.lit(bool(fit.met().all())).alias("met"))
+    return out.select("doc_id", "n_tokens", *share, "rate", copies_of(F.col("hash"), F.col("rate")).alias("copies"), *told, F.lit(bool(fit.met().all())).alias("met"))
 
 
 def _rate(posterior: Column, fit: Fit) -> Column:
-    moved = sum((posterior[i] * float(x) for i, x in enumerate(fit.move)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), 1 - moved)
+    moves, k = fit.moves, len(fit.domains)
+
+    @F.pandas_udf("double")
+    def rate(values):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(moves.rates(np.concatenate([np.zeros(0), *values]).reshape(-1, k)))
+
+    return rate(posterior)
+
+
+def hash_of(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text, F.lit("copies")).alias("hash")
 
 
-def copies_of(doc_id: Column, rate: Column) -> Column:
-    part = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+def copies_of(hashed: Column, rate: Column) -> Column:
+    part = F.pmod(hashed, F.lit(1 << 20)) / F.lit(float(1 << 20))
     return (F.floor(rate) + (part < rate - F.floor(rate)).cast("int")).cast("int")
 
 
@@ -287,6 +347,8 @@ def mixed(documents: DataFrame, labels: DataFrame, domains: dict[str, float] = D
     # the documents with their posteriors: computed once, read for the sums of every pass and for the copies
     found = written(documents.select(row, told(F.col("text").cast("string")).alias("told")))
     fit = solve(found.select("told.n_tokens", "told.posterior"), model.domains, [domains[d] for d in model.domains], ridge)
-    copied = found.select("row", F.coalesce(copies_of(F.col("row.doc_id"), _rate(F.col("told.posterior"), fit)), F.lit(1)).alias("copies"))
+    hashed = hash_of(F.col("row.doc_id").cast("bigint"), F.col("row.text").cast("string"))
+    rate = found.select("row", hashed, _rate(F.col("told.posterior"), fit).alias("rate"))
+    copied = rate.select("row", copies_of(F.col("hash"), F.col("rate")).alias("copies"))
     each = copied.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return each.select(*(F.col("row")[c].alias(c) for c in names))
