@@ -45,6 +45,7 @@ EPOCHS = 40
 RIDGE = 1e-3
 PASSES, TOLERANCE = 3000, 1e-7  # far more passes than a fit takes; the error allowed in the conditions, of all tokens
 KEPT = 24  # moves between two tables of rates
+ROWS = 1 << 19  # rows of rates a task, about: some megabytes, which take less time than a task's start
 MET = 0.01  # a target is met if the total is as close, of the target; one of 0, of the tokens that the domain had
 #: The domains of the labelled table and their target weights: shares of all tokens that there are.
 DOMAINS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
@@ -241,13 +242,13 @@ def solve(found: DataFrame, domains: list[str], shares: list[float], ridge: floa
     k = len(shares)
     context = found.sparkSession.sparkContext
     p = [F.col("posterior")[i] for i in range(k)]
-    first = found.agg(*(F.sum(F.col("n_tokens") * a).alias(f"t{i}") for i, a in enumerate(p)), *(F.sum(F.col("n_tokens") * a * b).alias(f"c{i}_{j}") for i, a in enumerate(p) for j, b in enumerate(p))).first()
-    first = np.array([x or 0.0 for x in first])
+    first = found.agg(*(F.sum(F.col("n_tokens") * a).alias(f"t{i}") for i, a in enumerate(p)), *(F.sum(F.col("n_tokens") * a * b).alias(f"c{i}_{j}") for i, a in enumerate(p) for j, b in enumerate(p)), F.count(F.lit(1)).alias("n")).first()
+    first, tasks = np.array([x or 0.0 for x in first[:-1]]), -(-first[-1] // ROWS) or 1
     before, curvature = first[:k], first[k:].reshape(k, k)
     all_tokens = max(float(before.sum()), 1.0)
     target, weight = np.array(shares) * before.sum(), ridge * all_tokens
     moves = Moves(weight, weight + float(np.linalg.eigvalsh(curvature)[-1]))
-    state, after = found.select("n_tokens", "posterior", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), 0
+    state, after = written(found.select("n_tokens", "posterior", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")).coalesce(tasks)), 0
 
     def sums(moves: Moves, after: int) -> tuple[np.ndarray, float, float]:
         """Totals by domain at the points ahead; and of the last move, its product with the one before and its residual."""
@@ -263,7 +264,7 @@ def solve(found: DataFrame, domains: list[str], shares: list[float], ridge: floa
 
         shared = context.broadcast(moves)
         names = [*(f"t{i}" for i in range(k)), "against", "worst"]
-        row = state.mapInArrow(add, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c) for c in names[:-1]), F.max("worst")).first()
+        row = state.coalesce(tasks).mapInArrow(add, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c) for c in names[:-1]), F.max("worst")).first()
         shared.unpersist()
         out = [x or 0.0 for x in row]
         return np.array(out[:k]), out[k], out[-1]
@@ -275,7 +276,7 @@ def solve(found: DataFrame, domains: list[str], shares: list[float], ridge: floa
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x), pa.array(y)], schema=batch.schema)
 
         shared = context.broadcast(moves)
-        return written(state.mapInArrow(run, state.schema))
+        return written(state.coalesce(tasks).mapInArrow(run, state.schema))
 
     got, run, uphill = before, 0, False
     for passes in range(1, PASSES + 1):
