@@ -1,10 +1,12 @@
 """Ids of the public byte-pair tokenizers: every id comes from the tokenizers library.
 
 Both vocabularies part a text into pieces before they merge, and no piece reaches over a space before a
-visible character. So the ids of a text are those of its chunks in turn, cut there, whatever the script.
-The distinct chunks of a batch of texts go to the library together, and a bounded cache keeps the ids of
-those that came in more than one batch. Texts longer than ``SEGMENT`` go through in segments cut at such
-places, so memory is bounded by a batch.
+visible character, or from a letter to an ASCII sign behind it. So the ids of a text are those of its chunks in turn, cut
+there, whatever the script.
+The distinct chunks of a batch of texts go to the library together, many in one string; its ids are dealt
+to the chunks by the bytes that each id stands for, or by a separator where the vocabulary changes bytes.
+A bounded cache keeps the ids of chunks that came more than once. Texts longer than ``SEGMENT`` go
+through in segments cut at such places, so memory is bounded by a batch.
 
 Vocabulary files are read from a path given by the caller.
 """
@@ -13,9 +15,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,26 @@ from newslake.llm.common import groups_of
 
 #: A visible character: letters, digits and ASCII signs are white space to no engine.
 CUT = re.compile(r"(?= [\w!-~])")
-UNSURE = r"(?s) (?:[^!-~\pL\pN]|\z)"  # a space at which a text may not be cut
-CACHE, SEEN = 250_000, 500_000
+UNSURE = r"(?s) (?:[^!-~\pL\pN]|\z)|<\|"  # a space at which a text may not be cut; what opens an added token
+TAIL = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~])"  # a letter with a sign behind it; İ is two signs in lower case
+CACHE, MARKS = 250_000, 1 << 22  # chunks whose ids are kept, and slots of the marks of those seen
 LONGEST_KEY = 40
-SEGMENT = 1 << 21
-FIRST = "\0"  # opens the first chunk of a text; the others have a space before them
+SEGMENT = 1 << 22
+TOGETHER = 1 << 16  # characters of distinct chunks in one string
+FIRST = "\0"  # opens the first chunk of a text and what stood behind a letter; the others have a space before them
+BETWEEN = "\0"  # parts the chunks of a vocabulary of words; chunks that hold it go alone
+
+
+def _flat(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all parts in turn, and how many each has."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter((i for p in parts for i in p), np.uint32, int(size.sum())), size
+
+
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places first.., as many as ``size`` says, of each range in turn."""
+    end = np.cumsum(size)
+    return np.repeat(first - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 class Encoder:
@@ -40,15 +56,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole, self.words = Tokenizer.from_file(path), words
-        self.known: dict[str, bytes] = {}
-        self.seen: set[int] = set()
+        if words:
+            (self.between,) = self.whole.encode(BETWEEN, add_special_tokens=False).ids
+        else:
+            vocabulary = self.whole.get_vocab()
+            self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # that an id stands for: a character of its name each
+            self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.seen = np.zeros(MARKS, bool)
+        self.known: dict[str, int] = {}  # places in ``first`` and ``size``, in their order
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _chunks(self, texts: list[str]) -> pa.ListArray:
         """The chunks of each text; see ``_spelt`` for how they are written."""
         column = pa.array(texts, pa.string())
         if self.words:
-            return pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
-        out = pc.split_pattern(pc.binary_join_element_wise(FIRST, column, ""), " ")
+            parted = pc.replace_substring_regex(column, TAIL, r"\1 \2")
+            if len(odd := np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False))):
+                parted = pc.replace_with_mask(parted, np.isin(np.arange(len(texts)), odd), column.take(pa.array(odd)))
+            return pc.split_pattern(pc.replace_substring(parted, "\n", " "), " ")
+        parted = pc.replace_substring_regex(column, TAIL, rf"\1 {FIRST}\2")
+        out = pc.split_pattern(pc.binary_join_element_wise(FIRST, parted, ""), " ")
         odd = np.flatnonzero(pc.match_substring_regex(column, UNSURE).to_numpy(zero_copy_only=False))
         if len(odd):
             cut = [CUT.split(texts[i]) for i in odd]
@@ -61,34 +88,77 @@ class Encoder:
     def _spelt(self, chunk: str) -> str:
         return chunk if self.words else chunk[1:] if chunk[:1] == FIRST else " " + chunk
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        known, seen = self.known, self.seen
-        out = list(map(known.get, chunks))
-        at = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(at, self.whole.encode_batch([self._spelt(chunks[i]) for i in at], add_special_tokens=False)):
-            out[i] = array("I", e.ids).tobytes()
-            mark = hash(chunks[i])
-            if mark in seen and len(chunks[i]) <= LONGEST_KEY:
-                known[chunks[i]] = out[i]
-            seen.add(mark)
-        if len(seen) > SEEN:
-            seen.clear()
-        if len(known) > CACHE:  # the older half goes
-            for c in list(islice(known, CACHE // 2)):
-                del known[c]
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids for e in self.whole.encode_batch([self._spelt(c) for c in chunks], add_special_tokens=False)])
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``chunks`` that may stand in one string, and how many each has."""
+        line = f" {BETWEEN} ".join(chunks) if self.words else " " + " ".join(chunks)
+        (found,) = self.whole.encode_batch_fast([line], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        if self.words:
+            edges = np.flatnonzero(ids == self.between)
+            if len(edges) == len(chunks) - 1:
+                return np.delete(ids, edges), np.diff(np.concatenate([[-1], edges, [len(ids)]])) - 1
+        else:
+            ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) + 1 for c in chunks])
+            last = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+                return ids, np.diff(last, prepend=-1)
+        return self._alone(chunks)
+
+    def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``chunks`` by the library, and how many each has."""
+        mark = BETWEEN if self.words else FIRST
+        apart = np.fromiter((mark in c or len(c) > TOGETHER for c in chunks), bool, len(chunks))
+        order = np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)])
+        own = [chunks[i] for i in order]
+        n = int(apart.sum())
+        parts = [self._alone(own[:n])] if n else []
+        parts += [self._joined(own[n + i : n + j]) for i, j in groups_of([len(c) for c in own[n:]], TOGETHER)]
+        ids, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        back = np.argsort(order)
+        return ids[_ragged((np.cumsum(size) - size)[back], size[back])], size[back]
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        if len(self.known) + len(chunks) > CACHE:  # the older half goes
+            half = len(self.known) // 2
+            cut = self.first[half] if half < len(self.first) else 0
+            self.known = dict(zip(list(self.known)[half:], range(len(self.known))))
+            self.ids, self.first, self.size = self.ids[cut:], self.first[half:] - cut, self.size[half:]
+            chunks = chunks[: CACHE - len(self.known)]
+            size = size[: len(chunks)]
+            ids = ids[: size.sum()]
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+
+    def _ids(self, chunks: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids that hold those of all ``chunks``, where each has its first, and how many; ``times`` each occurs."""
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self.ids, self.first[at], self.size[at]
+        new = [chunks[i] for i in missing]
+        ids, n = self._new(new)
+        at[missing] = len(self.first) + np.arange(len(new))
+        begin = np.cumsum(n) - n
+        out = np.concatenate([self.ids, ids]), np.concatenate([self.first, len(self.ids) + begin])[at], np.concatenate([self.size, n])[at]
+        slots = np.fromiter(map(hash, new), np.int64, len(new)) & (MARKS - 1)
+        short = np.fromiter(map(len, new), np.int64, len(new)) <= LONGEST_KEY
+        again = np.flatnonzero((self.seen[slots] | (times[missing] > 1)) & short)
+        self.seen[slots] = True
+        self._keep([new[i] for i in again], ids[_ragged(begin[again], n[again])], n[again])
         return out
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         chunks = self._chunks(texts)
         coded = chunks.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(size) - size
         at = coded.indices.to_numpy()
+        ids, first, size = self._ids(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)))
         n = size[at]
-        end = np.cumsum(n)
-        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(first[at] - end + n, n) + np.arange(int(end[-1]) if len(end) else 0)]
-        return np.split(flat, np.concatenate([[0], end])[chunks.offsets.to_numpy()[1:-1] - chunks.offsets[0].as_py()])
+        flat = ids[_ragged(first[at], n)]
+        return np.split(flat, np.concatenate([[0], np.cumsum(n)])[chunks.offsets.to_numpy()[1:-1] - chunks.offsets[0].as_py()])
 
     def _segments(self, text: str) -> Iterator[str]:
         at = 0
