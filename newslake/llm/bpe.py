@@ -30,7 +30,7 @@ UNSURE = r"(?s) (?:[^!-~\pL\pN]|\z)|<\|"  # a space at which a text may not be c
 TAIL = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~])"  # a letter with a sign behind it; İ is two signs in lower case
 CACHE, MARKS = 250_000, 1 << 22  # chunks whose ids are kept, and slots of the marks of those seen
 LONGEST_KEY = 40
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 TOGETHER = 1 << 16  # characters of distinct chunks in one string
 FIRST = "\0"  # opens the first chunk of a text and what stood behind a letter; the others have a space before them
 BETWEEN = "\0"  # parts the chunks of a vocabulary of words; chunks that hold it go alone

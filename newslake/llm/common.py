@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from newslake.functions.arrays import groups_of, mix64  # noqa: F401
 from newslake.lake import forgotten, scratch_dir, written  # noqa: F401
@@ -21,6 +24,22 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+PART = 1 << 22  # bytes of text that a task has as Python objects at once
+
+
+def parts_of(rows: pa.RecordBatch | pa.Array, text: pa.Array, size: int | None = None) -> Iterator:
+    """Slices of ``rows`` with about ``size`` bytes of their ``text`` each, one row at least."""
+    for i, j in groups_of(pc.fill_null(pc.binary_length(text), 0).to_pylist(), size or PART):
+        yield rows.slice(i, j - i)
+
+
+def freed() -> None:
+    """Give free memory back to the system: a worker waits beside the executor for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Batches of at least ``rows`` rows (the last may have fewer) that do not cut a group of equal keys.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.common import groups_of, texts_of
+from newslake.llm.common import freed, groups_of, parts_of, texts_of
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
@@ -119,7 +119,7 @@ def gram_counts(documents: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, whole.column(1))):
             texts, langs = texts_of(batch.column(1)), batch.column(0).to_pylist()
             by: dict[str, list[str]] = {}
             for lang, text in zip(langs, texts):
@@ -134,6 +134,7 @@ def gram_counts(documents: DataFrame) -> DataFrame:
         for lang, sums in held.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], names=["lang", "bucket", "n"])
+        freed()
 
     rows = documents.filter("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -287,9 +288,10 @@ def identified(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     kept = documents.select(*keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, whole.column(0))):
             names, sure, _ = shared.value.predict(texts_of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+        freed()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"])
     return documents.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(predict, schema)
@@ -316,11 +318,13 @@ def rejected_out(documents: DataFrame, least_fit: float = UNIFORM, min_score: fl
     model = train(documents.filter(~F.coalesce(held_out(), F.lit(False))).select("text", "lang"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keeps(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        names, sure, fit = shared.value.predict([x or "" for x in text])
-        return pd.Series([n != "und" and s >= min_score and f >= least_fit for n, s, f in zip(names, sure, fit)])
+    @F.arrow_udf("boolean")
+    def keeps(text: pa.Array) -> pa.Array:
+        out = []
+        for part in parts_of(text, text):
+            names, sure, fit = shared.value.predict(texts_of(part))
+            out += [n != "und" and s >= min_score and f >= least_fit for n, s, f in zip(names, sure, fit)]
+        freed()
+        return pa.array(out, pa.bool_())
 
     return documents.filter(keeps(F.col("text").cast("string")))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslake.llm.bpe import tokenizer
-from newslake.llm.common import texts_of, written
+from newslake.llm.common import freed, parts_of, texts_of, written
 
 RANKS = 1 << 40  # more pieces of one length than any table has
 
@@ -81,7 +81,7 @@ def document_pieces(documents: DataFrame, encode: Callable[[], Callable[[list[st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, seen = encode(), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, whole.column(1))):
             rows = []
             for doc_id, found in zip(batch.column(0).to_pylist(), ids_of(texts_of(batch.column(1)))):
                 ids = found.astype("<u4").tobytes() + end
@@ -94,6 +94,7 @@ def document_pieces(documents: DataFrame, encode: Callable[[], Callable[[list[st
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
+        freed()
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint")
 
