@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newslake.llm.bpe import tokenizer
-from newslake.llm.common import scratch_dir, texts_of, written
+from newslake.llm.common import freed, parts_of, scratch_dir, texts_of, written
 
 WIDTH = 1024
 ROWS = 256  # rows of a record batch
@@ -145,12 +145,13 @@ def write_shards(documents: DataFrame, folder: str, encode: Callable[[], Callabl
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, shard = encode(), TaskContext.get().partitionId(), None
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, whole.column(1))):
             for doc_id, found in zip(batch.column(0).to_pylist(), ids_of(texts_of(batch.column(1)))):
                 shard = shard or ShardWriter(folder, f"shard-{part:06d}", np.dtype(kind), width)
                 shard.append(doc_id, np.concatenate([found, end]))
         if shard:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int64()), "name": [shard.close()], "n_docs": pa.array([len(shard.docs)], pa.int64()), "n_tokens": pa.array([shard.total], pa.int64())})
+        freed()
 
     # ties of ids by a hash of the text and the row's place, so that no id is bound to one task
     order = ["doc_id", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place")]
