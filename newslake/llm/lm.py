@@ -40,7 +40,7 @@ from newslake.llm.tokens import batches
 CLASSES, UNITS = 16, 16
 ALONE = 160  # words with a unit of their own
 SLOTS = 1 << 18  # of the table of frequent words
-ROWS = (1 << 15, 1 << 16)  # of the weights of classes and of units
+ROWS = (1 << 15, 1 << 16)  # of the weights of classes and of units, whose numbers have 16 bits
 BLOCK = 256  # rows of weights that travel together
 ROUNDS, ROUND_TOKENS = 2, 1 << 29  # rounds, and the tokens from which fourfold ones have one more
 GROUPED = 64  # parts that changes of more than four times as many tasks are merged in first
@@ -187,24 +187,56 @@ class MaxEnt:
         second = ((features + spread) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(48)).astype(np.int64) & (ROWS[1] - 1)
         return [first, second]
 
-    def forward(self, rows: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
-        """Log probabilities of classes, and of units within the token's class."""
+    def shares(self, rows: list[np.ndarray], group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For classes, and units within the token's class: scores less their maximum, their exponentials, and the sums of these.
+
+        ``np.take`` copies whole rows, which fancy indexing takes four times as long for.
+        """
         out = []
         for level in (0, 1):
-            z = self.bias[0][None, :] if level == 0 else self.bias[1][group]
-            z = z + self.weights[level][rows[level][:, 0]]
+            weights = self.weights[level]
+            z = np.take(weights, rows[level][:, 0], axis=0)
             for k in range(1, N_FEATURES):
-                z += self.weights[level][rows[level][:, k]]
+                z += np.take(weights, rows[level][:, k], axis=0)
+            z += self.bias[0][None, :] if level == 0 else np.take(self.bias[1], group, axis=0)
             z -= z.max(axis=1, keepdims=True)
-            out.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
+            e = np.exp(z)
+            out.append((z, e, e @ np.ones(e.shape[1], np.float32)))
         return out
 
+    def forward(self, rows: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
+        """Log probabilities of classes, and of units within the token's class."""
+        return [z - np.log(total)[:, None] for z, _, total in self.shares(rows, group)]
+
+    def learn(self, features: np.ndarray, unit: np.ndarray, square: list[np.ndarray], uses: list[np.ndarray]) -> None:
+        """One AdaGrad step on tokens; ``square`` (sums of squared slopes) and ``uses`` of the rows follow."""
+        group, inner = unit // UNITS, unit % UNITS
+        rows = self.rows(features, group)
+        for level, ((_, e, total), hit) in enumerate(zip(self.shares(rows, group), (group, inner))):
+            slope = e
+            slope *= (-1 / total)[:, None]
+            slope[np.arange(len(unit)), hit] += 1
+            flat = rows[level].ravel().astype(np.uint16)  # 16 bits are sorted by their digits
+            order = np.argsort(flat, kind="stable")
+            kept = flat[order]
+            edge = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]]))
+            own, n = kept[edge].astype(np.int64), np.diff(np.append(edge, len(kept)))
+            sums = np.add.reduceat(np.take(slope, order // N_FEATURES, axis=0), edge, axis=0)
+            spread = np.take(square[level], own, axis=0)
+            spread += sums * sums
+            square[level][own] = spread
+            sums *= np.float32(RATE)
+            sums /= np.sqrt(spread)
+            sums += np.take(self.weights[level], own, axis=0)
+            self.weights[level][own] = sums
+            uses[level][own] += n
+
     def score(self, features: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """log10 P(class) + log10 P(unit | class) of each token."""
         group, inner = unit // UNITS, unit % UNITS
         at = np.arange(len(unit))
-        a, b = self.forward(self.rows(features, group), group)
-        return (a[at, group] + b[at, inner]).astype(np.float64) / np.log(10)
+        logs = [z[at, hit] - np.log(total) for (z, _, total), hit in zip(self.shares(self.rows(features, group), group), (group, inner))]
+        return (logs[0] + logs[1]).astype(np.float64) / np.log(10)
 
 
 def _train(documents: DataFrame, vocabulary, start: tuple) -> DataFrame:  # noqa: ANN001
@@ -217,30 +249,13 @@ def _train(documents: DataFrame, vocabulary, start: tuple) -> DataFrame:  # noqa
         square = [np.full(w.shape, 1e-2, np.float32) for w in old]
         uses = [np.zeros(len(w), np.float32) for w in old]
 
-        def step(features: np.ndarray, unit: np.ndarray) -> None:
-            group, inner = unit // UNITS, unit % UNITS
-            rows = model.rows(features, group)
-            slopes = model.forward(rows, group)
-            for level, hit in enumerate((group, inner)):
-                slope = -np.exp(slopes[level])
-                slope[np.arange(len(unit)), hit] += 1
-                flat = rows[level].ravel()
-                order = np.argsort(flat)
-                kept = flat[order]
-                edge = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]]))
-                own, n = kept[edge], np.diff(np.append(edge, len(kept)))
-                sums = np.add.reduceat(slope[order // N_FEATURES], edge, axis=0)
-                square[level][own] += sums * sums
-                model.weights[level][own] += np.float32(RATE) * sums / np.sqrt(square[level][own])
-                uses[level][own] += n
-
         for batch in arrow:
             for _, _, hashes, suffix, counts in batches(bytes_of(batch.column(0))):
                 tokens, ends, doc = _with_ends(hashes, suffix, counts)
                 unit, _ = voc.lookup(tokens, ends)
                 features = contexts(tokens, doc)
                 for i in range(0, len(tokens), STEP):
-                    step(features[i : i + STEP], unit[i : i + STEP])
+                    model.learn(features[i : i + STEP], unit[i : i + STEP], square, uses)
         for level in (0, 1):
             change = (model.weights[level] - old[level]).astype(np.float16)
             blocks = [(b, change[b : b + BLOCK].tobytes(), uses[level][b : b + BLOCK].tobytes()) for b in range(0, len(change), BLOCK) if uses[level][b : b + BLOCK].any()]
