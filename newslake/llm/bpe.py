@@ -5,6 +5,8 @@ visible character, or from a letter to an ASCII sign behind it. So the ids of a
 there, whatever the script.
 The distinct chunks of a batch of texts go to the library together, many in one string; its ids are dealt
 to the chunks by the bytes that each id stands for, or by a separator where the vocabulary changes bytes.
+Where that vocabulary only lower-cases a chunk, as its letters are Latin-1, it is lowered here and goes to the same model
+of the library without the steps before it; there a chunk's last id is one that ends a word.
 A bounded cache keeps the ids of chunks that came more than once. Texts longer than ``SEGMENT`` go
 through in segments cut at such places, so memory is bounded by a batch.
 
@@ -28,10 +30,11 @@ from newslake.llm.common import groups_of
 CUT = re.compile(r"(?= [\w!-~])")
 UNSURE = r"(?s) (?:[^!-~\pL\pN]|\z)|<\|"  # a space at which a text may not be cut; what opens an added token
 TAIL = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~])"  # a letter with a sign behind it; İ is two signs in lower case
+LETTERS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"  # composed letters alone: nothing to compose, nowhere to part
 CACHE, MARKS = 250_000, 1 << 22  # chunks whose ids are kept, and slots of the marks of those seen
 LONGEST_KEY = 40
 SEGMENT = 1 << 21
-TOGETHER = 1 << 16  # characters of distinct chunks in one string
+TOGETHER, LETTERED = 1 << 16, 1 << 12  # characters of distinct chunks in one string, and of those of letters
 FIRST = "\0"  # opens the first chunk of a text and what stood behind a letter; the others have a space before them
 BETWEEN = "\0"  # parts the chunks of a vocabulary of words; chunks that hold it go alone
 
@@ -53,13 +56,17 @@ class Encoder:
 
     def __init__(self, path: str, words: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.words = Tokenizer.from_file(path), words
+        vocabulary = self.whole.get_vocab()
         if words:
             (self.between,) = self.whole.encode(BETWEEN, add_special_tokens=False).ids
+            self.letters, suffix = Tokenizer(self.whole.model), self.whole.model.end_of_word_suffix
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+            self.last[[i for name, i in vocabulary.items() if name.endswith(suffix)]] = True
         else:
-            vocabulary = self.whole.get_vocab()
             self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # that an id stands for: a character of its name each
             self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.seen = np.zeros(MARKS, bool)
@@ -107,15 +114,29 @@ class Encoder:
                 return ids, np.diff(last, prepend=-1)
         return self._alone(chunks)
 
+    def _lettered(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``chunks`` of ``LETTERS``, and how many each has."""
+        (found,) = self.letters.encode_batch_fast([" ".join(chunks).lower()], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) == len(chunks) and ends[-1] == len(ids) - 1:
+            return ids, np.diff(ends, prepend=-1)
+        return self._alone(chunks)
+
     def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``chunks`` by the library, and how many each has."""
-        mark = BETWEEN if self.words else FIRST
-        apart = np.fromiter((mark in c or len(c) > TOGETHER for c in chunks), bool, len(chunks))
-        order = np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)])
-        own = [chunks[i] for i in order]
-        n = int(apart.sum())
+        column = pa.array(chunks, pa.string())
+        length = pc.utf8_length(column).to_numpy()
+        kind = np.ones(len(chunks), np.int8)  # 0: alone, 1: joined, 2: of letters
+        if self.words:
+            kind[pc.match_substring_regex(column, LETTERS).to_numpy(zero_copy_only=False)] = 2
+        kind[pc.match_substring(column, BETWEEN if self.words else FIRST).to_numpy(zero_copy_only=False) | (length > TOGETHER)] = 0
+        order = np.argsort(kind, kind="stable")
+        own, length = np.array(chunks, object)[order].tolist(), length[order].tolist()
+        n, m = np.searchsorted(kind[order], [1, 2]).tolist()
         parts = [self._alone(own[:n])] if n else []
-        parts += [self._joined(own[n + i : n + j]) for i, j in groups_of([len(c) for c in own[n:]], TOGETHER)]
+        parts += [self._joined(own[n + i : n + j]) for i, j in groups_of(length[n:m], TOGETHER)]
+        parts += [self._lettered(own[m + i : m + j]) for i, j in groups_of(length[m:], LETTERED)]
         ids, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         back = np.argsort(order)
         return ids[_ragged((np.cumsum(size) - size)[back], size[back])], size[back]
@@ -155,7 +176,7 @@ class Encoder:
         chunks = self._chunks(texts)
         coded = chunks.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
-        ids, first, size = self._ids(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)))
+        ids, first, size = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(at, minlength=len(coded.dictionary)))
         n = size[at]
         flat = ids[_ragged(first[at], n)]
         return np.split(flat, np.concatenate([[0], np.cumsum(n)])[chunks.offsets.to_numpy()[1:-1] - chunks.offsets[0].as_py()])

@@ -36,3 +36,15 @@ def test_pieces_that_may_not_be_cut(kind, path):
     own, whole = bpe.Encoder(path, kind == "word"), Tokenizer.from_file(path)
     texts = ["İ. ßsİ<!", "a<|endoftext|>b. c", "a <|startoftext|>.", "a \0b. \0", "it's. a.'s \x01", "é́! x̸> a.\n\n B", "漢字. ", ""]
     assert [x.tolist() for x in own.encode_batch(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_of_letters_skip_the_steps_before_the_model():
+    own, whole = bpe.Encoder(WORD_BPE, True), Tokenizer.from_file(WORD_BPE)
+    own.whole = Counted(own.whole)
+    words = [f"{a}{chr(97 + i % 26)}{chr(97 + i // 26)}{b}" for i in range(100) for a, b in (("Wort", "ü"), ("ßÀ", "ERLY"), ("ñÞ", ""), ("ofth", "ÿ" * (i % 7)))]
+    texts = [" ".join(words), "x" * 5000 + "É" * 5000, "zu\nZu zu"]
+    assert [x.tolist() for x in own.encode_batch(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert own.whole.signs == 0
+    # marks that compose with a small letter alone or a large one, signs lowered to others, digits, letters that are no words of their own
+    odd = ["h\u0331 H\u0331 J\u030c j\u030c T\u0308h e\u0301 E\u0301a", "İstanbul ıI \u212aelvin ſo ÅÅ ªº µm ÷× Ǆ ΑΣ ΑΣa", "a1b2 ab\u00adc ab\u200bc ab\u0301c nbsp\u00a0nbsp", "'S O'RE ''s x</w> </w>y"]
+    assert [x.tolist() for x in own.encode_batch(odd)] == [e.ids for e in whole.encode_batch(odd, add_special_tokens=False)]
