@@ -8,6 +8,10 @@ the number of documents. Pieces then take their slots by joining on rank within
 piece's place among those of its length in its own partition, plus how many stand in the partitions
 before it, so that no task holds all pieces of a frequent length.
 
+Only the pieces are written, and the slots come in no more partitions than the documents did (or the session
+has cores), whatever the number of shuffle partitions: Hadoop's local file system starts a process for each
+file and folder that a task makes, and until it runs its own program it shares, and shows, the executor's memory.
+
 Null and empty texts give the end id alone; very long texts are encoded in segments and give many pieces. Repeated rows are packed as often as they occur; rows with
 a null doc_id are packed too. An empty table gives an empty result. Extra columns are not read.
 """
@@ -103,12 +107,13 @@ def packed(documents: DataFrame, tokenizer_path: str, kind: str = "byte", end_id
     """Slots of all pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = documents.sparkSession
     pieces = written(document_pieces(documents, lambda: tokenizer(kind, tokenizer_path).encode_batch, end_id, capacity))
-    shares = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     # at most one row for each length up to the capacity
-    counts = {r.length: r.n for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = sorted(best_fit(counts, capacity))
+    found = pieces.groupBy("length").agg(F.count("*").alias("n"), F.max("part").alias("part")).collect()
+    plan = sorted(best_fit({r.length: r.n for r in found}, capacity))
+    tasks = max([spark.sparkContext.defaultParallelism, *(r.part + 1 for r in found)])
     table = spark.sparkContext.broadcast(np.array(plan, np.int64).reshape(-1, 5))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     bases = shares.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,4 +127,4 @@ def packed(documents: DataFrame, tokenizer_path: str, kind: str = "byte", end_id
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *map(pa.array, slot)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     ranked = pieces.join(bases.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return ranked.coalesce(tasks).mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
