@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType
 from newslake.functions import text as T
 from newslake.functions.arrays import groups_of, mix64
 from newslake.lake import forgotten, written
+from newslake.operators import ratios
 
 
 def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "id", set_column: str = "set") -> DataFrame:
@@ -113,12 +114,50 @@ def settled_by(rows: DataFrame, tiers: list[Tier]) -> DataFrame:
             return state
 
 
+def settled_on_demand(nodes: DataFrame, pairs: DataFrame, judged: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``settled`` in order of rank, where ``rounds`` judge pairs with an accepted end alone: copies of a text don't make all their pairs.
+
+    ``nodes`` has id and rank (null: never accepted), ``pairs`` has a, b in any order, once each, and holds all pairs that are
+    alike; ``judged`` gives a, b and sim of those that are. What the rounds leave, mostly pairs that are not alike, is judged at
+    once. Returns the accepted (node) and pairs alike, among them all that have an accepted end.
+    """
+    state = written(nodes.select(F.col("id").alias("node"), "rank", F.when(F.col("rank").isNull(), F.lit(False)).alias("ok")))
+    pending = written(pairs.select("a", "b"))
+    edges = []
+    for _ in range(rounds):
+        ends = [state.select(F.col("node").alias(x), F.col("rank").alias(f"rank_{x}"), F.col("ok").alias(f"ok_{x}")) for x in "ab"]
+        both = pending.join(ends[0], "a").join(ends[1], "b")
+        later = F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a"))
+        blocked = both.filter("ok_a IS NULL AND ok_b IS NULL").select(later.alias("node")).distinct().withColumn("blocked", F.lit(True))
+        fresh = written(state.filter("ok IS NULL").join(blocked, "node", "left").filter("blocked IS NULL").select("node"))
+        by = written(pending.join(fresh.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b", F.col("b").alias("other")).union(pending.join(fresh.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", F.col("a").alias("other"))))
+        found = written(judged(by.select("a", "b")))
+        edges.append(found)
+        hit = found.join(by, ["a", "b"]).select(F.col("other").alias("node")).distinct().withColumn("hit", F.lit(True))
+        new = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.col("fresh"), F.lit(True)).when(F.col("hit"), F.lit(False))
+        old, state = state, written(state.join(fresh.withColumn("fresh", F.lit(True)), "node", "left").join(hit, "node", "left").select("node", "rank", new.alias("ok")))
+        ends = [state.select(F.col("node").alias(x), F.col("ok").alias(f"ok_{x}")) for x in "ab"]
+        past, pending = pending, written(pending.join(ends[0], "a").join(ends[1], "b").filter("NOT coalesce(ok_a, false) AND NOT coalesce(ok_b, false) AND (ok_a IS NULL OR ok_b IS NULL)").select("a", "b"))
+        forgotten(old, past, fresh, by)
+    rest = written(judged(pending))
+    still = written(state.filter("ok IS NULL").select("node", "rank"))
+    ends = [still.select(F.col("node").alias(x), F.col("rank").alias(f"rank_{x}")) for x in "ab"]
+    between = written(rest.join(ends[0], "a").join(ends[1], "b").select(F.least("rank_a", "rank_b").alias("a"), F.greatest("rank_a", "rank_b").alias("b")))
+    late = settled(still.select(F.col("rank").alias("id")), between).filter("ok").select(F.col("node").alias("rank")).join(still, "rank")
+    ok = written(state.filter("ok").select("node").union(late.select("node")))
+    return ok, reduce(DataFrame.unionByName, [*edges, rest])
+
+
 def greedy_of(own: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
     """``greedy`` for any likeness: ``own`` has id and class (its smallest id), ``heads`` the classes that may have edges.
 
     Rows of a class decide together and are like their head; ``edges`` has a, b and sim between heads.
     """
-    ok = settled(heads.select("id"), edges).filter("ok").select("node")
+    return told(own, heads, settled(heads.select("id"), edges).filter("ok").select("node"), edges)
+
+
+def told(own: DataFrame, heads: DataFrame, ok: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of ``greedy`` where ``ok`` (node) are the accepted heads; ``edges`` are all with such an end."""
     # accepted earlier neighbours of a class, its own head among them
     near = edges.select(F.col("b").alias("class"), F.col("a").alias("other"), "sim").union(edges.select(F.col("a").alias("class"), F.col("b").alias("other"), "sim"))
     near = near.union(heads.select(F.col("id").alias("class"), F.col("id").alias("other"), F.lit(1.0).alias("sim")))
@@ -127,34 +166,25 @@ def greedy_of(own: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select("id").join(best, "id", "left").select("id", F.col("m").isNull().alias("accepted"), F.col("m.other").alias("matched_id"), F.round("m.sim", 6).alias("similarity"))
 
 
+def ratio_candidates(titles: DataFrame, threshold: float, length_share: float = 1.0) -> DataFrame:
+    """Pairs (a, b), a < b, among which are all of ``ratio_pairs``; ``titles`` has id and title."""
+    sized = written(titles.select(F.col("id").cast("bigint").alias("id"), "title", F.length("title").alias("n")).filter("n > 0"))
+    return ratios.candidates(sized, threshold, max(threshold / (2 - threshold), 1 - length_share))
+
+
+def ratio_judged(pairs: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose matching-block ratio exceeds ``threshold``, with it as sim."""
+    full = pairs.join(titles.select(F.col("id").alias("a"), F.col("title").alias("x")), "a").join(titles.select(F.col("id").alias("b"), F.col("title").alias("y")), "b")
+    return full.select("a", "b", matching_ratio(F.col("x"), F.col("y")).alias("sim")).filter(F.col("sim") > threshold)
+
+
 def ratio_pairs(rows: DataFrame, threshold: float, length_share: float = 1.0) -> DataFrame:
     """Pairs (a, b, sim), a < b, of distinct titles (id, title) whose matching-block ratio exceeds ``threshold``.
 
-    The ratio is 2 m / s for m characters in matching blocks and s in both titles. Above the threshold fewer than
-    (1 - t) s characters are unmatched, which part the m into at most one block more; a block of n characters has n - 2
-    trigrams. So two such titles share at least t s / 2 - 2 (1 - t) s - 2 trigrams (a repeated one as often as both have
-    it), and only the rarest ones that this lets them miss are joined. Titles too short for that bound are joined by
-    length. ``length_share``: the most that lengths may differ by, of the longer.
+    ``length_share``: the most that lengths may differ by, of the longer. Candidates come from ``ratios``.
     """
-    t = threshold
-    titles = written(rows.select("id", "title", F.length("title").alias("n")).filter("n > 0"))
-    # a bound for a title of n against any that its own length allows: the shorter s, the weaker
-    fewest = F.ceil(F.col("n") * (1 + t / (2 - t)) * (t / 2 - 2 * (1 - t)) - 2 - 1e-9)
-    long, short = (titles.filter(fewest >= 1), titles.filter(fewest < 1)) if t / 2 > 2 * (1 - t) else (titles.limit(0), titles)
-    each = long.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substr("title", i, F.lit(3)))).alias("pos", "gram"))
-    each = each.withColumn("k", F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))).select("id", "n", F.xxhash64("gram", "k").alias("gram"))
-    rare = each.groupBy("gram").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    first = written(each.join(rare, "gram").withColumn("p", place).filter(F.col("p") <= F.col("n") - 2 - fewest + 1).select("id", "n", "gram"))
-    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * F.lit(max(t / (2 - t), 1 - length_share) - 1e-9))
-    side = lambda d, x, *more: d.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *more)
-    by_gram = side(first, "a", "gram").join(side(first, "b", "gram"), "gram").filter(fit).select("a", "b")
-    # short titles with short ones, and with long ones of about their length
-    step = F.explode(F.sequence(F.floor(F.col("n") * (t / (2 - t))), F.ceil(F.col("n") * ((2 - t) / t)))).alias("at")
-    few = side(short, "a", step).join(side(titles, "b", F.col("n").alias("at")), "at").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").filter(fit).select("a", "b")
-    candidates = by_gram.union(few).distinct()
-    full = candidates.join(titles.select(F.col("id").alias("a"), F.col("title").alias("x")), "a").join(titles.select(F.col("id").alias("b"), F.col("title").alias("y")), "b")
-    return full.select("a", "b", matching_ratio(F.col("x"), F.col("y")).alias("sim")).filter(F.col("sim") > threshold)
+    titles = written(rows.select("id", "title"))
+    return ratio_judged(written(ratio_candidates(titles, threshold, length_share)), titles, threshold)
 
 
 @F.pandas_udf(DoubleType())
@@ -169,7 +199,9 @@ def edit_dedup(rows: DataFrame, threshold: float = 0.85, length_share: float = 0
     first = written(low.groupBy("title").agg(F.min("id").alias("class")))
     own = written(low.join(first, "title").select("id", "class", "title"))
     heads = own.filter("id = class AND title <> ''").select("id", "title")
-    return greedy_of(own.select("id", "class"), heads.select("id"), written(ratio_pairs(heads, threshold, length_share)))
+    near = ratio_candidates(heads, threshold, length_share)
+    ok, edges = settled_on_demand(heads.select("id", F.col("id").alias("rank")), near, lambda pairs: ratio_judged(pairs, heads, threshold))
+    return told(own.select("id", "class"), heads, ok, edges)
 
 
 def minhash_gate(rows: DataFrame, threshold: float = 0.80) -> DataFrame:

@@ -98,3 +98,50 @@ def test_bloom(spark):
     assert both.held(others, "v").filter("maybe").count() / 3000 < 0.03
     f = both.fill().first()
     assert 0.4 < f.fill < 0.6 and 0.002 < f.expected_false_share < 0.03 and f.bytes == 8 * -(-both.m // 64)
+
+
+def test_ratios_of_long_titles(spark):
+    """Titles on both sides of 200 characters, from which on difflib skips frequent ones; lengths apart."""
+    rng = random.Random(12)
+    syllables = "th er on an re he in ed nd ha at en es of or".split()
+    own = []
+    for k in range(40):
+        t = list(" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(rng.choice([20, 36, 40, 60, 150]))).capitalize() + rng.choice([".", "!?", " K7", ""]))
+        own.append("".join(t))
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rng.randrange(1, max(2, len(u) // 8))):
+                at = rng.randrange(len(u))
+                u[at : at + rng.randrange(3)] = rng.choice(["", "é", "q", "th", "漢"])
+            own.append("".join(u))
+    own = list(dict.fromkeys(own))
+    rng.shuffle(own)
+    rows = spark.createDataFrame(list(enumerate(own)), "id bigint, title string")
+    for least, share in ((0.85, 0.2), (0.9, 1.0)):
+        got = {(r.a, r.b) for r in dedup.ratio_pairs(rows, least, share).collect()}
+        fits = lambda x, y: min(len(x), len(y)) > max(len(x), len(y)) * (1 - share - 1e-9)  # noqa: E731, B023
+        want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if fits(own[i], own[j]) and ratio(own[i], own[j]) > least}
+        assert got == want and len(want) > 10
+
+
+def test_ratio_candidates_are_few(spark):
+    """Titles of the same syllables share most trigrams, but few of their pairs are left to difflib."""
+    rng = random.Random(13)
+    syllables = "th er on an re he in ed nd ha at en es of or".split()
+    own = list(dict.fromkeys(" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(rng.randrange(12, 30)))[:120] for _ in range(400)))
+    rows = spark.createDataFrame(list(enumerate(own)), "id bigint, title string")
+    assert dedup.ratio_candidates(rows, 0.85, 0.2).count() < len(own) / 10
+
+
+def test_pairs_on_demand(spark):
+    """Of 300 titles that are all alike, the pairs of the first are judged and no others."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def judged(pairs):
+        seen.add(pairs.count())
+        return pairs.selectExpr("a", "b", "1.0D AS sim")
+
+    nodes = spark.range(300).selectExpr("id", "IF(id % 7 = 0, NULL, 1000 - id) AS rank")
+    pairs = spark.range(300).selectExpr("id AS a").crossJoin(spark.range(300).selectExpr("id AS b")).filter("a < b")
+    ok, edges = dedup.settled_on_demand(nodes, pairs, judged)
+    assert [r.node for r in ok.collect()] == [299] and edges.count() == 299 and seen.value == 299
