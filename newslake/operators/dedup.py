@@ -20,29 +20,102 @@ from newslake.functions import text as T
 from newslake.functions.arrays import groups_of, mix64
 from newslake.lake import forgotten, written
 from newslake.operators import ratios
+from newslake.operators.graph import components
 
 
-def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "id", set_column: str = "set") -> DataFrame:
-    """Pairs (a, b, sim), a < b, of distinct sets with a Jaccard of at least ``threshold``.
+def hashed(members: Column) -> Column:
+    """Members as 64-bit hashes, which candidates meet by: two members that share one are a candidate more at most."""
+    return F.transform(members, lambda m: F.xxhash64(m))
 
-    Two such sets share one of their rarest members: those in the first n - ceil(t * n) + 1 by falling
-    rarity. Only these are joined; the full sets are compared after. ``rows`` has each set once.
-    """
-    sets = written(rows.select(F.col(id_column).alias("id"), F.col(set_column).alias("set")).filter(F.size("set") > 0))
-    members = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("m"))
-    rare = members.groupBy("m").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "m"))
-    first = members.join(rare, "m").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "m", "k")
-    first = written(first)
-    a, b = (first.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "m", F.col("k").alias(f"k{x}")) for x in "ab")
-    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9))
+
+def sketch(members: Column) -> list[Column]:
+    """256 bits of a set of hashes, as four numbers: sets that differ in many bits cannot share much."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
+    none = F.lit(0).cast("bigint")
+    return [F.aggregate(members, none, lambda o, x: o.bitwiseOR(F.when(F.shiftright(x, 6).bitwiseAND(3) == w, bit(x)).otherwise(none))).alias(f"s{w}") for w in range(4)]  # noqa: B023
+
+
+#: What a member of a prefix is kept with: its set's size, its own place, the member before it and the set's sketch.
+PLACE = ["n", "k", "prev", "s0", "s1", "s2", "s3"]
+
+
+def prefix_rows(ordered: DataFrame, threshold: float) -> DataFrame:
+    """m, id and ``PLACE`` from rows (id, ms: hashes in an order that all sets share): the first n - ceil(t * n) + 1 members."""
+    n = F.size("ms")
+    held = ordered.select("id", "ms", n.alias("n"), *sketch(F.col("ms")))
+    first = F.slice("ms", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    each = F.transform(first, lambda m, i: F.struct(m.alias("m"), (i + 1).cast("int").alias("k"), F.when(i > 0, F.get("ms", i - 1)).alias("prev")))
+    return held.select("id", "n", "s0", "s1", "s2", "s3", F.explode(each).alias("e")).select("e.m", "id", "n", "e.k", "e.prev", "s0", "s1", "s2", "s3")
+
+
+def side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("m", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in PLACE))
+
+
+def may_be_similar(threshold: float) -> Column:
+    """Of two sides a and b that share a member: whether sizes, places and sketches allow ``threshold``, at their first shared member or a few more."""
+    least = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    fit = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9)
     # the first shared member leaves enough behind it in both sets
-    fit &= 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
-    candidates = a.join(b, "m").filter(fit).select("a", "b").distinct()
-    full = candidates.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    fit &= 1 + F.least(F.col("n_a") - F.col("k_a"), F.col("n_b") - F.col("k_b")) >= least
+    apart = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(4)), F.lit(0))
+    fit &= (F.col("n_a") + F.col("n_b") - apart) / 2 >= least
+    # where the members before are one, the pair was met there
+    return fit & ~F.coalesce(F.col("prev_a") == F.col("prev_b"), F.lit(False))
+
+
+def rare_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``prefix_rows`` of sets (id, set) by falling rarity, without members that one set alone has."""
+    members = sets.select("id", F.explode(hashed(F.col("set"))).alias("m"))
+    rare = members.groupBy("m").agg(F.count("*").alias("df"))
+    ordered = members.join(rare, "m").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "m"))).alias("of"))
+    rows = prefix_rows(ordered.select("id", F.transform("of", lambda x: x["m"]).alias("ms")), threshold)
+    return rows.join(rare.filter("df > 1").select("m"), "m", "left_semi")
+
+
+def similar_candidates(rows: DataFrame, threshold: float, id_column: str = "id", set_column: str = "set") -> DataFrame:
+    """Pairs (a, b), a < b, among which are all of ``similar_pairs``.
+
+    Two similar sets share one of their rarest members: those in the first n - ceil(t * n) + 1 by falling
+    rarity. Only these are joined. ``rows`` has each set once.
+    """
+    first = written(rare_prefixes(rows.select(F.col(id_column).alias("id"), F.col(set_column).alias("set")).filter(F.size("set") > 0), threshold))
+    return side(first, "a").join(side(first, "b"), "m").filter((F.col("a") < F.col("b")) & may_be_similar(threshold)).select("a", "b").distinct()
+
+
+def similar_judged(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets (id, set) have a Jaccard of at least ``threshold``, with it as sim."""
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     return full.withColumn("sim", T.jaccard(F.col("sa"), F.col("sb"))).filter(F.col("sim") >= threshold - 1e-12).select("a", "b", "sim")
 
 
+def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "id", set_column: str = "set") -> DataFrame:
+    """Pairs (a, b, sim), a < b, of distinct sets with a Jaccard of at least ``threshold`` (J6, J7): candidates, then whole sets."""
+    sets = written(rows.select(F.col(id_column).alias("id"), F.col(set_column).alias("set")).filter(F.size("set") > 0))
+    return similar_judged(written(similar_candidates(sets, threshold)), sets, threshold)
+
+
+def linked(sets: DataFrame, threshold: float) -> DataFrame:
+    """Components (node, root) of the graph of ``similar_pairs`` over sets (id, set), without all its pairs.
+
+    First each set is compared with the smallest id at each member of its prefix; then sets that this leaves in different components are.
+    """
+    sets = written(sets.select("id", "set").filter(F.size("set") > 0))
+    first = written(rare_prefixes(sets, threshold))
+    heads = first.groupBy("m").agg(F.min_by(F.struct("id", *PLACE), "id").alias("h")).select("m", "h.*")
+    # the member before may be met by another head, so that it says nothing here
+    star = side(heads, "a").withColumn("prev_a", F.lit(None).cast("bigint")).join(side(first, "b"), "m").filter((F.col("a") < F.col("b")) & may_be_similar(threshold)).select("a", "b").distinct()
+    near = written(similar_judged(written(star), sets, threshold).select("a", "b"))
+    found = written(components(near))
+    rooted = written(first.join(found, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"))
+    forgotten(first)
+    a, b = (rooted.select("m", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in PLACE)) for x in "ab")
+    rest = a.join(b, "m").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & may_be_similar(threshold)).select("a", "b").distinct()
+    more = written(similar_judged(written(rest), sets, threshold).select("a", "b"))
+    forgotten(rooted, sets)
+    return components(near.union(more))
+
+
 def classes(rows: DataFrame, id_column: str, title_column: str, members: Callable[[Column], Column] = T.shingles) -> DataFrame:
     """Rows with their sorted title shingles (or other ``members``) and the class (smallest id) of equal sets: id, set, class."""
     sets = rows.select(F.col(id_column).alias("id"), F.array_sort(members(F.col(title_column))).alias("set")).withColumn("key", F.sha2(F.array_join("set", "\u0001"), 256))
@@ -60,8 +133,8 @@ def greedy(rows: DataFrame, id_column: str = "id", title_column: str = "title",
     """
     own = written(classes(rows, id_column, title_column, members))
     heads = own.filter((F.col("id") == F.col("class")) & (F.size("set") > 0))
-    edges = written(similar_pairs(heads.select("id", "set"), threshold))
-    return greedy_of(own.select("id", "class"), heads.select("id"), edges)
+    ok, edges = settled_on_demand(heads.select("id", F.col("id").alias("rank")), similar_candidates(heads, threshold), lambda pairs: similar_judged(pairs, heads, threshold))
+    return told(own.select("id", "class"), heads.select("id"), ok, edges)
 
 
 def settled(heads: DataFrame, edges: DataFrame) -> DataFrame:

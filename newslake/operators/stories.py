@@ -25,7 +25,6 @@ from pyspark.sql.streaming import StreamingQuery
 from newslake.functions import text as T
 from newslake.lake import forgotten, written
 from newslake.operators import dedup
-from newslake.operators.graph import components
 from newslake.operators.segments import Segments
 
 EVENT = "event bigint, set array<string>, tags array<string>, last timestamp, founded timestamp, since bigint, version bigint"
@@ -112,8 +111,7 @@ def parted(rows: DataFrame, least: float, window_hours: float) -> DataFrame:
     """
     keyed = written(rows.withColumn("key", F.sha2(F.array_join("set", "\u0001"), 256)))
     first = written(keyed.groupBy("key").agg(F.min("id").alias("class"), F.first("set").alias("of")))
-    pairs = dedup.similar_pairs(first.select(F.col("class").alias("id"), F.col("of").alias("set")), least)
-    found = written(components(pairs.select("a", "b")))
+    found = written(dedup.linked(first.select(F.col("class").alias("id"), F.col("of").alias("set")), least))
     full = keyed.join(first.select("key", "class"), "key").join(found, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("root", "class")).drop("key", "class", "node", "root")
     order = Window.partitionBy("part").orderBy("kind", "at", "id")
     reach = F.max(F.unix_micros("last")).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -177,7 +175,7 @@ class EventStore:
 
 
 TITLE = "id bigint, set array<string>, version bigint"
-PREFIX = "member string, id bigint, n int, version bigint"
+PREFIX = "m bigint, id bigint, n int, k int, prev bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, version bigint"
 DECISION = "id bigint, accepted boolean, matched_id bigint, similarity double"
 
 
@@ -188,11 +186,9 @@ class TitleIndex:
         self.parts, self.threshold, self.cap = Segments(spark, path), threshold, cap
 
     def _prefixes(self, sets: DataFrame) -> DataFrame:
-        """member, id, n: the first members of each set, under the fixed order, of which a similar one has one among its own."""
-        ordered = F.transform(F.array_sort(F.transform("set", lambda m: F.struct((-F.size(F.split(m, " "))).alias("words"), F.xxhash64(m).alias("hash"), m.alias("m")))), lambda x: x["m"])
-        n = F.size("set")
-        first = F.slice(ordered, 1, (n - F.ceil(n * F.lit(self.threshold) - 1e-9) + 1).cast("int"))
-        return sets.select(F.explode(first).alias("member"), "id", n.alias("n"))
+        """``dedup.prefix_rows`` under the fixed order: of the first members of each set a similar one has one among its own."""
+        ordered = F.transform(F.array_sort(F.transform("set", lambda m: F.struct((-F.size(F.split(m, " "))).alias("words"), F.xxhash64(m).alias("hash")))), lambda x: x["hash"])
+        return dedup.prefix_rows(sets.select("id", ordered.alias("ms")), self.threshold)
 
     def _live(self, rows: DataFrame, entries: list[dict]) -> DataFrame:
         """Titles that the cap has not taken: what comes at or after the floor, in order of commits and ids."""
@@ -205,9 +201,8 @@ class TitleIndex:
 
     def evaluated(self, sets: DataFrame, entries: list[dict]) -> DataFrame:
         """D1, read only: class, other, sim: titles of the index similar to ``sets`` (id, set)."""
-        held = self._live(self.parts.read(entries, "prefixes", PREFIX), entries).select("member", F.col("id").alias("other"), F.col("n").alias("m"))
-        fit = F.least("n", "m") >= F.greatest("n", "m") * (self.threshold - 1e-9)
-        candidates = self._prefixes(sets).join(held, "member").filter(fit).select(F.col("id").alias("class"), "other").distinct()
+        held = self._live(self.parts.read(entries, "prefixes", PREFIX), entries)
+        candidates = dedup.side(self._prefixes(sets), "a").join(dedup.side(held, "b"), "m").filter(dedup.may_be_similar(self.threshold)).select(F.col("a").alias("class"), F.col("b").alias("other")).distinct()
         other = self._live(self.parts.read(entries, "titles", TITLE), entries).select(F.col("id").alias("other"), F.col("set").alias("theirs"))
         full = candidates.join(other, "other").join(sets.select(F.col("id").alias("class"), "set"), "class")
         return full.withColumn("sim", T.jaccard(F.col("set"), F.col("theirs"))).filter(F.col("sim") >= self.threshold - 1e-12).select("class", "other", "sim")
@@ -230,13 +225,11 @@ class TitleIndex:
         heads = written(own.filter(F.size("set") > 0).groupBy("class").agg(F.first("set").alias("set"), F.min(F.when(F.col("passed"), F.col("id"))).alias("first")))
         sets = heads.select(F.col("class").alias("id"), "set")
         hits = written(self.evaluated(sets, entries))
-        edges = written(dedup.similar_pairs(sets, self.threshold))
         # who may reject others: the first passed row of each class without a hit, in order of that row's id
-        free = written(heads.join(hits.select("class"), "class", "left_anti").filter("first IS NOT NULL"))
-        at = free.select("class", "first")
-        both = edges.join(at.select(F.col("class").alias("a"), F.col("first").alias("x")), "a").join(at.select(F.col("class").alias("b"), F.col("first").alias("y")), "b")
-        between = written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        ok = written(dedup.settled(free.select(F.col("first").alias("id")), between).filter("ok").select(F.col("node").alias("first")).join(at, "first"))
+        free = written(heads.join(hits.select("class"), "class", "left_anti").filter("first IS NOT NULL").select("class", F.col("first").alias("rank")))
+        nodes = written(heads.select("class").join(free, "class", "left").select(F.col("class").alias("id"), "rank"))
+        accepted, edges = dedup.settled_on_demand(nodes, dedup.similar_candidates(sets, self.threshold), lambda pairs: dedup.similar_judged(pairs, sets, self.threshold))
+        ok = written(accepted.select(F.col("node").alias("class")).join(free.select("class", F.col("rank").alias("first")), "class"))
         near = edges.select(F.col("b").alias("class"), F.col("a").alias("of"), "sim").union(edges.select(F.col("a").alias("class"), F.col("b").alias("of"), "sim")).union(heads.select("class", F.col("class").alias("of"), F.lit(1.0).alias("sim")))
         near = written(near.join(ok.select(F.col("class").alias("of"), F.col("first").alias("other")), "of").select("class", "other", "sim"))
         there = own.join(hits, "class").select("id", "other", "sim", F.lit(0).alias("place"))
@@ -249,7 +242,7 @@ class TitleIndex:
         decisions = self.parts.stored(told.drop("passed"), "decisions")
         entries = self._capped([*entries, titles, prefixes, decisions])
         self.parts.commit(version, entries)
-        forgotten(rows, new, own, heads, hits, edges, free, between, ok, near, kept)
+        forgotten(rows, new, own, heads, hits, free, nodes, ok, near, kept)
         return told.drop("passed").unionByName(known)
 
     def _capped(self, entries: list[dict]) -> list[dict]:

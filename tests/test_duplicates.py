@@ -145,3 +145,32 @@ def test_pairs_on_demand(spark):
     pairs = spark.range(300).selectExpr("id AS a").crossJoin(spark.range(300).selectExpr("id AS b")).filter("a < b")
     ok, edges = dedup.settled_on_demand(nodes, pairs, judged)
     assert [r.node for r in ok.collect()] == [299] and edges.count() == 299 and seen.value == 299
+
+
+def test_similar_sets_without_all_pairs(spark):
+    """Candidates of sets that share frequent members are few; components equal those of all pairs by brute force."""
+    rng = random.Random(21)
+    common, seen = [f"c{k}" for k in range(40)], {}
+    for i in range(240):
+        base = random.Random(i % 12)
+        own = set(base.sample(common, 12)) | {f"w{i % 12}-{k}" for k in range(14)}
+        for _ in range(rng.randrange(9)):
+            own.discard(rng.choice(sorted(own)))
+            own.add(f"n{rng.randrange(400)}")
+        seen.setdefault(tuple(sorted(own)), i)
+    rows = [(i, list(s)) for s, i in seen.items()] + [(1000 + i, rng.sample(common, 12) + [f"x{i}-{k}" for k in range(9)]) for i in range(150)]
+    sets = spark.createDataFrame(rows, "id bigint, set array<string>")
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for least in (0.7, 0.45):
+        want = {(i, j) for i, a in rows for j, b in rows if i < j and alike(a, b) >= least - 1e-12}
+        assert {(r.a, r.b) for r in dedup.similar_pairs(sets, least).collect()} == want and len(want) > 100
+        assert dedup.similar_candidates(sets, least).count() < 3 * len(want)
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, j in want:
+        root[max(top(i), top(j))] = min(top(i), top(j))
+    linked = {r.node: r.root for r in dedup.linked(sets, 0.45).collect()}
+    assert {i: linked.get(i, i) for i, _ in rows} == {i: top(i) for i, _ in rows}
