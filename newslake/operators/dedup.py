@@ -20,7 +20,6 @@ from newslake.functions import text as T
 from newslake.functions.arrays import groups_of, mix64
 from newslake.lake import forgotten, written
 from newslake.operators import ratios
-from newslake.operators.graph import components
 
 
 def hashed(members: Column) -> Column:
@@ -95,27 +94,6 @@ def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "id", set_
     return similar_judged(written(similar_candidates(sets, threshold)), sets, threshold)
 
 
-def linked(sets: DataFrame, threshold: float) -> DataFrame:
-    """Components (node, root) of the graph of ``similar_pairs`` over sets (id, set), without all its pairs.
-
-    First each set is compared with the smallest id at each member of its prefix; then sets that this leaves in different components are.
-    """
-    sets = written(sets.select("id", "set").filter(F.size("set") > 0))
-    first = written(rare_prefixes(sets, threshold))
-    heads = first.groupBy("m").agg(F.min_by(F.struct("id", *PLACE), "id").alias("h")).select("m", "h.*")
-    # the member before may be met by another head, so that it says nothing here
-    star = side(heads, "a").withColumn("prev_a", F.lit(None).cast("bigint")).join(side(first, "b"), "m").filter((F.col("a") < F.col("b")) & may_be_similar(threshold)).select("a", "b").distinct()
-    near = written(similar_judged(written(star), sets, threshold).select("a", "b"))
-    found = written(components(near))
-    rooted = written(first.join(found, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"))
-    forgotten(first)
-    a, b = (rooted.select("m", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in PLACE)) for x in "ab")
-    rest = a.join(b, "m").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & may_be_similar(threshold)).select("a", "b").distinct()
-    more = written(similar_judged(written(rest), sets, threshold).select("a", "b"))
-    forgotten(rooted, sets)
-    return components(near.union(more))
-
-
 def classes(rows: DataFrame, id_column: str, title_column: str, members: Callable[[Column], Column] = T.shingles) -> DataFrame:
     """Rows with their sorted title shingles (or other ``members``) and the class (smallest id) of equal sets: id, set, class."""
     sets = rows.select(F.col(id_column).alias("id"), F.array_sort(members(F.col(title_column))).alias("set")).withColumn("key", F.sha2(F.array_join("set", "\u0001"), 256))
